@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": "dedup",
     "op7_minhash": "minhash",
     "op9_packing": "packing",
+    "op10_katz": "katz",
 }
 
 
