@@ -9,6 +9,7 @@ QUERIES = {
     "op2_quality_rules": "quality",
     "op3_mixing": "mixing",
     "op4_exact_dedup": "dedup",
+    "op5_chat_format": "chat",
     "op7_minhash": "minhash",
     "op9_packing": "packing",
     "op10_katz": "katz",
