@@ -69,6 +69,63 @@ def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return out, [at, row]
 
 
+def choose_places(rows: DataFrame, at: list[str], chosen: DataFrame, keep: bool) -> DataFrame:
+    """The rows whose place (columns ``at``) is among ``chosen`` (at, row), or with ``keep=False`` those whose place isn't.
+
+    Neither side is shuffled or broadcast with its texts: the chosen row numbers of each input file are written to one
+    small file in the shared folder, and each task reads those of the files that it scans.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
+    from pyarrow import fs
+
+    spark = rows.sparkSession
+    root = new_path(spark, "places")
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    name = lambda file: xxhash.xxh3_128_hexdigest(file.encode())
+
+    def write(key, t):
+        store, top = fs.FileSystem.from_uri(root)
+        file = key[0].as_py()
+        part = f"{top}/{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part, compression=None) as f:
+            f.write(np.sort(t["row"].to_numpy()).astype(np.int64).tobytes())
+        store.move(part, f"{top}/{name(file)}")
+        return pa.table({"file": [file], "n": [t.num_rows]})
+
+    listed = staged(chosen.select("at", "row").groupBy("at").applyInArrow(write, "file string, n long"), "places-listed")
+    total = listed.agg({"n": "sum"}).first()[0]
+    if not total:
+        return rows.limit(0) if keep else rows
+    i, j = rows.columns.index(at[0]), rows.columns.index(at[1])
+
+    def run(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        kept: dict[str, np.ndarray] = {}
+
+        def numbers(file):
+            if file not in kept:
+                if len(kept) >= 4:
+                    kept.clear()
+                path = f"{top}/{name(file)}"
+                there = store.get_file_info(path).type != fs.FileType.NotFound
+                kept[file] = np.frombuffer(store.open_input_file(path).read(), np.int64) if there else np.empty(0, np.int64)
+            return kept[file]
+
+        for b in batches:
+            files, row = b.column(i), b.column(j).to_numpy()
+            mask = np.zeros(b.num_rows, dtype=bool)
+            for file in pc.unique(files).to_pylist():
+                own = pc.equal(files, file).to_numpy(zero_copy_only=False)
+                mask[own] = np.isin(row[own], numbers(file), assume_unique=False)
+            yield b.filter(pa.array(mask if keep else ~mask))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def free_name(taken: set[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"

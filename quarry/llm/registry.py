@@ -6,10 +6,12 @@ import importlib
 
 #: query name -> module
 QUERIES = {
+    "op1_warc": "warc",
     "op2_quality_rules": "quality",
     "op3_mixing": "mixing",
     "op4_exact_dedup": "dedup",
     "op5_chat_format": "chat",
+    "op6_url_filter": "urls",
     "op7_minhash": "minhash",
     "op9_packing": "packing",
     "op10_katz": "katz",
