@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import WORD, located, staged, table
 
-BUCKET_ROWS, CELLS, WINDOW_ROWS = 4096, 4096, 100_000
+BUCKET_ROWS, CELLS, WINDOW_ROWS = 512, 4096, 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most_epochs: int) -> DataFrame:
