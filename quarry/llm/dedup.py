@@ -19,7 +19,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, drop_path, located, new_path, staged, table
+from quarry.llm.common import SPACE, choose_places, located, new_path, staged, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -72,7 +72,7 @@ def keyed_state(log: DataFrame, log_path: str, state_path: str | None = None, fi
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__minBatchesToRetain="2"):
+    with _conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true"):
         grouped.writeStream.outputMode("update").option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     made = spark._jvm.org.apache.hadoop.fs.Path(out)
     if not made.getFileSystem(spark._jsc.hadoopConfiguration()).exists(made):
@@ -90,10 +90,12 @@ def classes(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | No
     light.write.parquet(path)
     log = spark.read.schema(light.schema).parquet(path)
     groups = staged(keyed_state(log, path, files_per_trigger=files_per_trigger), "dedup-groups")
-    again = staged(groups.filter("n > 1").select("digest", F.col("best.at").alias("b_at"), F.col("best.row").alias("b_row")), "dedup-hits")
-    digest = F.unhex(F.sha2(normalised("text").cast("binary"), 256))
-    texts = rows.select(F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), normalised("text").alias("bytes"), (F.substring(digest, 1, digest_bytes) if digest_bytes < 32 else digest).alias("digest"))
-    hits = texts.join(again, "digest")
+    again = groups.filter("n > 1").select("digest", F.col("best.at").alias("b_at"), F.col("best.row").alias("b_row"))
+    places = log.join(again, "digest").select("at", "row")
+    texts = choose_places(rows.select(*at, "text"), at, places, keep=True)
+    digest = F.unhex(F.sha2(F.col("bytes").cast("binary"), 256))
+    texts = texts.select(F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), normalised("text").alias("bytes")).withColumn("digest", F.substring(digest, 1, digest_bytes) if digest_bytes < 32 else digest)
+    hits = staged(texts.join(again, "digest"), "dedup-hits")
     retained = hits.filter("at = b_at and row = b_row").select("digest", F.col("bytes").alias("b_bytes"))
     odd = hits.join(retained, "digest").filter("bytes != b_bytes").select("digest", "at", "row", "bytes")
     odd = staged(odd, "dedup-odd")
@@ -109,11 +111,9 @@ def classes(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | No
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.  Only locators of dropped rows are joined to the texts;
-    Spark broadcasts them where their file is small enough and merges otherwise."""
+    """The rows of ``docs`` that stay, with all their columns."""
     rows, found, at = classes(docs, **options)
-    dropped = staged(found.filter("not kept").select(F.col("at").alias(at[0]), F.col("row").alias(at[1])), "dedup-dropped")
-    out = rows.join(dropped, at, "left_anti")
+    out = choose_places(rows, at, found.filter("not kept"), keep=False)
     return out.select(*[out[c] for c in docs.columns])
 
 
@@ -127,4 +127,3 @@ with d as (select doc_id, coalesce(length(text), 0) as chars, regexp_replace(coa
 g as (select t, count(*) as n, first(doc_id order by chars desc, doc_id) as keep_id from d group by t)
 select doc_id, keep_id, n as group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from d join g using (t)
 """
-__all__ = ["classes", "drop_path", "exact_dedup", "keyed_state", "op4_exact_dedup", "records"]

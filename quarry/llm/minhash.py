@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import components, located, staged, table
+from quarry.llm.common import choose_places, components, located, staged, table
 
 WORDS, SKETCH, INDEX, SHORT, BLOCK = 5, 64, 16, 24, 4096
 #: Similarity threshold as hundredths; estimates below LEAST_ESTIMATE (five standard deviations under it) are dropped.
@@ -170,7 +170,8 @@ def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["cid", "full"])
 
-    return staged(texts.select("at", "row", "text").join(used, ["at", "row"]).select("cid", "text").mapInArrow(sets, "cid long, full binary"), "near-sets")
+    picked = choose_places(texts.select("at", "row", "text"), ["at", "row"], used, keep=True)
+    return staged(picked.join(used, ["at", "row"]).select("cid", "text").mapInArrow(sets, "cid long, full binary"), "near-sets")
 
 
 def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: DataFrame, words: int, index: int) -> DataFrame:
@@ -270,12 +271,12 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, in
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the one with the smallest doc_id, and of rows
-    that repeat this doc_id the first by file and row.  Only locators of dropped rows are joined to the texts."""
+    that repeat this doc_id the first by file and row."""
     rows, found, at = near_groups(docs, **options)
     found = staged(found, "near-found")
     again = found.filter("id = component_id and n > 0").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("at", "row"))).filter("k > 1").select("at", "row")
-    dropped = staged(found.filter("id != component_id").select("at", "row").unionByName(again).select(F.col("at").alias(at[0]), F.col("row").alias(at[1])), "near-dropped")
-    out = rows.join(dropped, at, "left_anti")
+    dropped = found.filter("id != component_id").select("at", "row").unionByName(again)
+    out = choose_places(rows, at, dropped, keep=False)
     return out.select(*[out[c] for c in docs.columns])
 
 
