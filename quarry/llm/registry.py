@@ -13,6 +13,7 @@ QUERIES = {
     "op5_chat_format": "chat",
     "op6_url_filter": "urls",
     "op7_minhash": "minhash",
+    "op8_substrings": "substrings",
     "op9_packing": "packing",
     "op10_katz": "katz",
 }
