@@ -72,7 +72,7 @@ def keyed_state(log: DataFrame, log_path: str, state_path: str | None = None, fi
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true"):
+    with _conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true", spark__sql__streaming__stateStore__unloadOnCommit="true"):
         grouped.writeStream.outputMode("update").option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     made = spark._jvm.org.apache.hadoop.fs.Path(out)
     if not made.getFileSystem(spark._jsc.hadoopConfiguration()).exists(made):
