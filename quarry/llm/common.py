@@ -48,6 +48,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that are done with: it does so once the driver's objects are collected."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """mapInArrow over all columns, whatever their names: the batches' columns are c0, c1, ... and so are the results'."""
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with two more columns that name each row's place: file and row number in it.
 
@@ -83,8 +103,7 @@ def choose_places(rows: DataFrame, at: list[str], chosen: DataFrame, keep: bool)
 
     spark = rows.sparkSession
     root = new_path(spark, "places")
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    make_dir(spark, root)
     name = lambda file: xxhash.xxh3_128_hexdigest(file.encode())
 
     def write(key, t):
@@ -123,7 +142,7 @@ def choose_places(rows: DataFrame, at: list[str], chosen: DataFrame, keep: bool)
                 mask[own] = np.isin(row[own], numbers(file), assume_unique=False)
             yield b.filter(pa.array(mask if keep else ~mask))
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_rows(rows, run)
 
 
 def free_name(taken: set[str], name: str) -> str:

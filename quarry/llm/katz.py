@@ -1,9 +1,9 @@
 """Language-model scores by a Katz backoff bigram model (operator 10).
 
-Texts become units of about a million tokens: a sorted vocabulary of 64-bit word hashes and token numbers into it.
+Texts become units of about two million tokens: a sorted vocabulary of 64-bit word hashes and token numbers into it.
 Each stage is one exchange by hash bucket: units send the distinct words or word pairs of each bucket with their
 training counts, a bucket adds the counts of all units, and sends the totals back in the order they were asked in.
-So a frequent word or pair travels once per unit, contexts with very many continuations are split over several
+Replies go to one file per unit in the shared folder, so the units themselves are never shuffled.  So a frequent word or pair travels once per unit, contexts with very many continuations are split over several
 buckets, and no task holds more than one unit or bucket.  Everything is staged in the shared folder:
 
 * unigram counts and pair counts by bucket, and per context its total, its counts of counts and its mass below;
@@ -20,19 +20,21 @@ rows that repeat a doc_id are scored each; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import staged, table
+from quarry.llm.common import make_dir, new_path, release, staged, table
 
-UNIT_TOKENS, BUCKET_TOKENS, SPLIT, K = 1_000_000, 4_000_000, 1_000_000, 5
+UNIT_TOKENS, BUCKET_TOKENS, SPLIT, K = 2_000_000, 4_000_000, 1_000_000, 5
 FOLDS, HELD_OUT = 5, 1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Neither is the hash of a word in any likely text; the end is a token, the start only a context.
@@ -40,11 +42,25 @@ END, START = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0x57A7_0000_0000_0001)
 
 
 def _zip(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    """Arrays one after the other, each as byte planes, which compress well where numbers are small or alike."""
+    parts = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() for a in map(np.ascontiguousarray, arrays)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unzip(data: bytes, *kinds) -> list[np.ndarray]:
+    """``kinds``: (dtype, length) of each array; a length of -1 takes the rest."""
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
+    for kind, n in kinds:
+        size = np.dtype(kind).itemsize
+        n = (len(raw) - at) // size if n < 0 else n
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
 
 
-def _unzip(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+def _rising(x: np.ndarray) -> np.ndarray:
+    """Differences of a rising array."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,7 +89,7 @@ def units_of(docs: DataFrame, unit_tokens: int) -> DataFrame:
         """words: 64-bit hash per token."""
         vocab, tokens = np.unique(np.concatenate(words), return_inverse=True)
         unit = TaskContext.get().partitionId() * 2**24 + number
-        cols = [pa.array([unit]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(lens, np.int32).tobytes()]), pa.array([vocab.tobytes()]), pa.array([_zip(tokens.astype(np.int32))])]
+        cols = [pa.array([unit]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(lens, np.int32).tobytes()]), pa.array([_zip(_rising(vocab))]), pa.array([_zip(tokens.astype(np.int32))])]
         return pa.RecordBatch.from_arrays(cols, ["unit", "ids", "lens", "vocab", "tokens"])
 
     def run(batches):
@@ -107,14 +123,17 @@ def units_of(docs: DataFrame, unit_tokens: int) -> DataFrame:
 class Unit:
     def __init__(self, ids: list, lens: bytes, vocab: bytes, tokens: bytes):
         self.ids, self.lens = ids, np.frombuffer(lens, np.int32)
-        self.vocab, self.tokens = np.frombuffer(vocab, np.uint64), np.frombuffer(_unzip(tokens), np.int32).astype(np.int64)
+        self.vocab, self.tokens = np.cumsum(_unzip(vocab, (np.uint64, -1))[0], dtype=np.uint64), _unzip(tokens, (np.int32, -1))[0].astype(np.int64)
         self.owner = np.repeat(np.arange(len(ids)), self.lens)
         self.held = np.array([fold(i) == HELD_OUT for i in ids], dtype=bool)
         self.trains = ~self.held[self.owner]
 
     @classmethod
-    def of(cls, t: pa.Table) -> Unit:
-        return cls(*(t[c][0].as_py() for c in ("ids", "lens", "vocab", "tokens")))
+    def each(cls, batches):
+        """(unit, its contents) of batches of the units' table."""
+        for b in batches:
+            for i in range(b.num_rows):
+                yield b["unit"][i].as_py(), cls(*(b[c][i].as_py() for c in ("ids", "lens", "vocab", "tokens")))
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.trains], minlength=len(self.vocab)).astype(np.int64)
@@ -175,33 +194,63 @@ def _sum_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _cuts(b: np.ndarray, buckets: int):
+    """(bucket, start, end) of the runs of a sorted array of buckets."""
+    cut = np.searchsorted(b, np.arange(buckets + 1))
+    return [(int(k), int(cut[k]), int(cut[k + 1])) for k in np.flatnonzero(cut[1:] > cut[:-1])]
+
+
+def _save(replies: DataFrame, root: str, name: str) -> None:
+    """One file per unit: its replies (unit, bucket, data) in the order of buckets."""
+
+    def write(key, t):
+        store, top = fs.FileSystem.from_uri(root)
+        rows = sorted(zip(t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True))
+        part = f"{top}/{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part, compression=None) as f:
+            for _, d in rows:
+                f.write(len(d).to_bytes(8, "little") + d)
+        store.move(part, f"{top}/{name}-{key[0].as_py()}")
+        return pa.table({"unit": [key[0].as_py()]})
+
+    staged(replies.select("unit", "bucket", "data").groupBy("unit").applyInArrow(write, "unit long"), "katz-saved")
+    release(replies.sparkSession)
+
+
+def _load(store, top: str, name: str, unit: int, kind) -> np.ndarray:
+    data, at, out = store.open_input_file(f"{top}/{name}-{unit}").read(), 0, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(_unzip(data[at + 8 : at + 8 + n], (kind, -1))[0])
+        at += 8 + n
+    return np.concatenate(out)
+
+
 def katz_scores(docs: DataFrame, *, unit_tokens: int = UNIT_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    units = staged(units_of(docs, unit_tokens), "katz-units")
-    size = units.select(F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, _: a + 1)), F.count(F.lit(1))).first()
+    spark = docs.sparkSession
+    units = staged(units_of(docs, unit_tokens), "katz-units", compression="none")
+    n_units = units.count()
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if not size[0]:
-        return docs.sparkSession.createDataFrame([], out_schema)
-    # Words of a bucket come once from each unit; a tenth of the tokens is a usual share of distinct words.
-    buckets = max(12, -(-size[1] * unit_tokens // bucket_tokens))
+    if not n_units:
+        return spark.createDataFrame([], out_schema)
+    root = new_path(spark, "katz-replies")
+    make_dir(spark, root)
+    buckets = max(12, -(-n_units * unit_tokens // bucket_tokens))
 
     def ask_words(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                t = pa.Table.from_batches([batch.slice(i, 1)])
-                u = Unit.of(t)
-                counts, b = u.word_counts(), _bucket(u.vocab, buckets).astype(np.int64)
-                cut = np.searchsorted(b, np.arange(buckets + 1))
-                used = np.flatnonzero(cut[1:] > cut[:-1])
-                starts = int((~u.held).sum())
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.full(len(used), t["unit"][0].as_py())), pa.array([_zip(u.vocab[cut[k] : cut[k + 1]]) for k in used], pa.binary()), pa.array([_zip(counts[cut[k] : cut[k + 1]]) for k in used], pa.binary()), pa.array([starts if k == used[0] else 0 for k in used])], ["bucket", "unit", "words", "counts", "starts"])
+        for unit, u in Unit.each(batches):
+            counts, starts = u.word_counts(), int((~u.held).sum())
+            runs = _cuts(_bucket(u.vocab, buckets).astype(np.int64), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in runs]), pa.array([unit] * len(runs)), pa.array([_zip(_rising(u.vocab[a:z])) for _, a, z in runs], pa.binary()), pa.array([_zip(counts[a:z]) for _, a, z in runs], pa.binary()), pa.array([starts] + [0] * (len(runs) - 1))], ["bucket", "unit", "words", "counts", "starts"])
 
-    asked = staged(units.mapInArrow(ask_words, "bucket long, unit long, words binary, counts binary, starts long"), "katz-words")
+    asked = staged(units.mapInArrow(ask_words, "bucket long, unit long, words binary, counts binary, starts long"), "katz-words", compression="none")
+    hashes_of = lambda x: np.cumsum(_unzip(x, (np.uint64, -1))[0], dtype=np.uint64)
 
     def add_words(key, t):
-        words = [np.frombuffer(_unzip(x), np.uint64) for x in t["words"].to_pylist()]
+        words = [hashes_of(x) for x in t["words"].to_pylist()]
         uniq, at = np.unique(np.concatenate(words), return_inverse=True)
-        total = _sum_by(at, np.concatenate([np.frombuffer(_unzip(x), np.int64) for x in t["counts"].to_pylist()]), len(uniq))
+        total = _sum_by(at, np.concatenate([_unzip(x, (np.int64, -1))[0] for x in t["counts"].to_pylist()]), len(uniq))
         ends = np.cumsum([len(x) for x in words])
         data = [_zip(total[at[e - len(w) : e]]) for w, e in zip(words, ends, strict=True)]
         seen = total[total > 0]
@@ -210,97 +259,75 @@ def katz_scores(docs: DataFrame, *, unit_tokens: int = UNIT_TOKENS, bucket_token
         return pa.table({"unit": [*t["unit"].to_pylist(), None], "kind": pa.array([0] * (len(data) + 1), pa.int32()), "bucket": [key[0].as_py()] * (len(data) + 1), "data": pa.array([*data, b""], pa.binary()), "stats": pa.array([*[None] * len(data), stats], pa.list_(pa.int64()))})
 
     reply_schema = "unit long, kind int, bucket long, data binary, stats array<long>"
-    counted = staged(asked.groupBy("bucket").applyInArrow(add_words, reply_schema), "katz-unigrams")
+    counted = staged(asked.groupBy("bucket").applyInArrow(add_words, reply_schema), "katz-unigrams", compression="none")
     s = [x or 0 for x in counted.filter("unit is null").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first()]
     words = Words(s[0], s[1], {r: s[1 + r] for r in range(1, K + 2)})
     starts = asked.agg(F.sum("starts")).first()[0] or 0
-
-    def replies(t: pa.Table, kind: int, dtype) -> np.ndarray:
-        rows = sorted((b, d) for k, b, d in zip(t["kind"].to_pylist(), t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True) if k == kind)
-        return np.concatenate([np.frombuffer(_unzip(d), dtype) for _, d in rows] or [np.empty(0, dtype)])
-
-    def ask_pairs(key, unit, known):
-        u = Unit.of(unit)
-        counts = replies(known, 0, np.int64)
-        c, w, trained, b, _ = u.pairs(counts, starts, buckets)
-        hashes = np.append(u.vocab, START)
-        cut = np.searchsorted(b, np.arange(buckets + 1))
-        used = np.flatnonzero(cut[1:] > cut[:-1])
-        data = []
-        for k in used:
-            lo, hi = cut[k], cut[k + 1]
-            cs, ci = np.unique(c[lo:hi], return_inverse=True)
-            ws, wi = np.unique(w[lo:hi], return_inverse=True)
-            data.append(_zip(np.array([len(cs), len(ws), hi - lo], np.int64), hashes[cs], u.vocab[ws], counts[ws], ci.astype(np.int32), wi.astype(np.int32), trained[lo:hi]))
-        return pa.table({"bucket": used, "unit": np.full(len(used), key[0].as_py()), "data": pa.array(data, pa.binary())})
-
-    word_counts = counted.filter("unit is not null").select("unit", "kind", "bucket", "data")
-    pairs = units.groupBy("unit").cogroup(word_counts.groupBy("unit")).applyInArrow(ask_pairs, "bucket long, unit long, data binary")
+    _save(counted.filter("unit is not null"), root, "c1")
+
+    def ask_pairs(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        for unit, u in Unit.each(batches):
+            counts = _load(store, top, "c1", unit, np.int64)
+            c, w, trained, b, _ = u.pairs(counts, starts, buckets)
+            hashes = np.append(u.vocab, START)
+            for k, lo, hi in _cuts(b, buckets):
+                cs, ci = np.unique(c[lo:hi], return_inverse=True)
+                ws, wi = np.unique(w[lo:hi], return_inverse=True)
+                head = np.array([len(cs), len(ws), hi - lo], np.int64).tobytes()
+                # Words are numbered in the order of their hashes, contexts too (but for the start), and pairs by context.
+                data = head + _zip(hashes[cs], _rising(u.vocab[ws]), counts[ws], _rising(ci.astype(np.int32)), wi.astype(np.int32), trained[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([unit]), pa.array([data], pa.binary())], ["bucket", "unit", "data"])
 
     def add_pairs(key, t):
         ctx, w, c1, c2 = [], [], [], []
         for x in t["data"].to_pylist():
-            x = _unzip(x)
-            nc, nw, n = np.frombuffer(x, np.int64, 3)
-            o = 24
-            parts = []
-            for m, kind in ((nc, np.uint64), (nw, np.uint64), (nw, np.int64), (n, np.int32), (n, np.int32), (n, np.int32)):
-                parts.append(np.frombuffer(x, kind, m, o))
-                o += parts[-1].nbytes
-            ctx.append(parts[0][parts[3]])
-            w.append(parts[1][parts[4]])
-            c1.append(parts[2][parts[4]])
-            c2.append(parts[5])
+            nc, nw, n = np.frombuffer(x, np.int64, 3).tolist()
+            cs, ws, counts, ci, wi, trained = _unzip(x[24:], (np.uint64, nc), (np.uint64, nw), (np.int64, nw), (np.int32, n), (np.int32, n), (np.int32, n))
+            ws, ci = np.cumsum(ws, dtype=np.uint64), np.cumsum(ci)
+            ctx.append(cs[ci])
+            w.append(ws[wi])
+            c1.append(counts[wi])
+            c2.append(trained)
         ends = np.cumsum([len(x) for x in w])
         ctx, w, c1, c2 = map(np.concatenate, (ctx, w, c1, c2))
         uniq, first, at = np.unique(_pair(ctx, w), return_index=True, return_inverse=True)
         total = np.bincount(at, weights=c2, minlength=len(uniq)).astype(np.int64)
-        data = [_zip(total[at[a:b]].astype(np.int32)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        data = [_zip(total[at[a:z]].astype(np.int32)) for a, z in zip([0, *ends[:-1]], ends, strict=True)]
         seen = total > 0
         total, first = total[seen], first[seen]
         owners, at = np.unique(ctx[first], return_inverse=True)
         cols = [_sum_by(at, total, len(owners)), *(np.bincount(at[total == r], minlength=len(owners)) for r in range(1, K + 1))]
         below = np.bincount(at, weights=words.p(c1[first]), minlength=len(owners))
         n_r = np.bincount(total[total <= K + 1], minlength=K + 2)[1 : K + 2].tolist()
-        n, m = len(data), len(owners)
+        n = len(data)
         return pa.table({
             "unit": pa.array([*t["unit"].to_pylist(), None, None], pa.int64()), "kind": pa.array([1] * n + [3, 4], pa.int32()), "bucket": pa.array([key[0].as_py()] * (n + 2), pa.int64()),
-            "data": pa.array([*data, _zip(np.array([m], np.int64), owners, *[c.astype(np.int64) for c in cols], below), b""], pa.binary()), "stats": pa.array([*[None] * (n + 1), n_r], pa.list_(pa.int64())),
+            "data": pa.array([*data, _sums(owners, np.stack(cols), below), b""], pa.binary()), "stats": pa.array([*[None] * (n + 1), n_r], pa.list_(pa.int64())),
         })
 
-    added = staged(pairs.groupBy("bucket").applyInArrow(add_pairs, reply_schema), "katz-pairs")
+    pairs = units.mapInArrow(ask_pairs, "bucket long, unit long, data binary")
+    added = staged(pairs.groupBy("bucket").applyInArrow(add_pairs, reply_schema), "katz-pairs", compression="none")
+    del pairs
     s = [x or 0 for x in added.filter("kind = 4").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 1)]).first()]
     d2 = discounts({r: s[r - 1] for r in range(1, K + 2)})
+    _save(added.filter("kind = 1"), root, "c2")
 
     def split_contexts(batches):
         """Per-context sums of a bucket, dealt out by the buckets of words."""
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                x = _unzip(x)
-                m = int(np.frombuffer(x, np.int64, 1)[0])
-                owners = np.frombuffer(x, np.uint64, m, 8)
-                rest = np.frombuffer(x, np.int64, m * (K + 1), 8 + 8 * m).reshape(K + 1, m)
-                below = np.frombuffer(x, np.float64, m, 8 + 8 * m * (K + 2))
-                b = _bucket(owners, buckets).astype(np.int64)
-                cut = np.searchsorted(b, np.arange(buckets + 1))
-                used = np.flatnonzero(cut[1:] > cut[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([_zip(np.array([cut[k + 1] - cut[k]], np.int64), owners[cut[k] : cut[k + 1]], np.ascontiguousarray(rest[:, cut[k] : cut[k + 1]]), below[cut[k] : cut[k + 1]]) for k in used], pa.binary())], ["bucket", "data"])
-
-    contexts = added.filter("kind = 3").select("data").mapInArrow(split_contexts, "bucket long, data binary")
+                owners, rest, below = _unsums(x)
+                for k, a, z in _cuts(_bucket(owners, buckets).astype(np.int64), buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([_sums(owners[a:z], rest[:, a:z], below[a:z])], pa.binary())], ["bucket", "data"])
 
     def weigh(key, ask, sums):
-        """Total and backoff weight of every context that a unit asks for; the start goes with the last bucket asked for."""
-        owners, rest, below = [], [], []
-        for x in sums["data"].to_pylist():
-            x = _unzip(x)
-            m = int(np.frombuffer(x, np.int64, 1)[0])
-            owners.append(np.frombuffer(x, np.uint64, m, 8))
-            rest.append(np.frombuffer(x, np.int64, m * (K + 1), 8 + 8 * m).reshape(K + 1, m))
-            below.append(np.frombuffer(x, np.float64, m, 8 + 8 * m * (K + 2)))
-        if owners:
-            uniq, at = np.unique(np.concatenate(owners), return_inverse=True)
-            rest = np.stack([_sum_by(at, r, len(uniq)) for r in np.concatenate(rest, axis=1)])
-            below = np.bincount(at, weights=np.concatenate(below), minlength=len(uniq))
+        """Total and backoff weight of every context that a unit asks for."""
+        parts = [_unsums(x) for x in sums["data"].to_pylist()]
+        if parts:
+            uniq, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            rest = np.stack([_sum_by(at, r, len(uniq)) for r in np.concatenate([p[1] for p in parts], axis=1)])
+            below = np.bincount(at, weights=np.concatenate([p[2] for p in parts]), minlength=len(uniq))
         else:
             uniq, rest, below = np.empty(0, np.uint64), np.zeros((K + 1, 0), np.int64), np.empty(0)
         total = rest[0].astype(np.float64)
@@ -309,47 +336,58 @@ def katz_scores(docs: DataFrame, *, unit_tokens: int = UNIT_TOKENS, bucket_token
         alpha = np.where(left > 0, left, 1 / (total + 1)) / np.maximum(1 - below, 1e-12)
         total = np.where(left > 0, total, total + 1)
         uniq, total, alpha = np.append(uniq, np.uint64(2**64 - 1)), np.append(total, 0.0), np.append(alpha, 1.0)
-        rows = {"unit": [], "kind": [], "bucket": [], "data": []}
+        units, data = [], []
         for unit, x in zip(ask["unit"].to_pylist(), ask["words"].to_pylist(), strict=True):
-            h = np.frombuffer(_unzip(x), np.uint64)
+            h = hashes_of(x)
             at = np.minimum(np.searchsorted(uniq, h), len(uniq) - 1)
             hit = uniq[at] == h
-            for k, v in (("unit", unit), ("kind", 2), ("bucket", key[0].as_py()), ("data", _zip(np.stack([np.where(hit, total[at], 0.0), np.where(hit, alpha[at], 1.0)], axis=1)))):
-                rows[k].append(v)
-        return pa.table({"unit": pa.array(rows["unit"], pa.int64()), "kind": pa.array(rows["kind"], pa.int32()), "bucket": pa.array(rows["bucket"], pa.int64()), "data": pa.array(rows["data"], pa.binary())})
+            units.append(unit)
+            data.append(_zip(np.stack([np.where(hit, total[at], 0.0), np.where(hit, alpha[at], 1.0)], axis=1).ravel()))
+        return pa.table({"unit": pa.array(units, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(units), pa.int64()), "data": pa.array(data, pa.binary())})
 
-    # The start is a context of every unit, asked for as one more word of its bucket.
-    def with_start(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            n = t.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([int(_bucket(np.array([START]), buckets)[0])] * n, pa.int64()), t["unit"].combine_chunks(), pa.array([_zip(np.array([START]))] * n, pa.binary())], ["bucket", "unit", "words"])
-
-    asks = asked.select("bucket", "unit", "words")
-    weights = asks.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(weigh, "unit long, kind int, bucket long, data binary")
-    start_ask = units.select("unit").mapInArrow(with_start, "bucket long, unit long, words binary")
-    start_sums = added.filter("kind = 3").select("data").mapInArrow(split_contexts, "bucket long, data binary").filter(F.col("bucket") == int(_bucket(np.array([START]), buckets)[0]))
-    start_weights = start_ask.groupBy("bucket").cogroup(start_sums.groupBy("bucket")).applyInArrow(weigh, "unit long, kind int, bucket long, data binary").withColumn("kind", F.lit(5))
-    known = word_counts.unionByName(added.filter("kind = 1").select("unit", "kind", "bucket", "data")).unionByName(weights).unionByName(start_weights)
-
-    def score(key, unit, known):
-        u = Unit.of(unit)
-        c1 = replies(known, 0, np.int64)
-        c, w, _, _, at = u.pairs(c1, starts, buckets)
-        c2 = replies(known, 1, np.int32).astype(np.int64)
-        weight = np.concatenate([replies(known, 2, np.float64), replies(known, 5, np.float64)]).reshape(-1, 2)
-        total, alpha = weight[c, 0], weight[c, 1]
-        d = np.where(c2 <= K, d2[np.minimum(c2, K)], 1.0)
-        p = np.where(c2 > 0, d * c2 / np.maximum(total, 1), np.where(total > 0, alpha, 1.0) * words.p(c1)[w])
-        docs, tokens = len(u.ids), u.tokens
-        by_doc = lambda v: np.bincount(u.owner, weights=v, minlength=docs)
-        base = np.log10((c1 + 0.5) / (words.total + 0.5 * (words.types + 1)))
-        return pa.table({
-            "doc_id": pa.array(u.ids, pa.int64()), "held_out": u.held, "n_tokens": u.lens.astype(np.int64), "n_known": by_doc(c1[tokens] > 0).astype(np.int64),
-            "train_tokens": np.full(docs, words.total, dtype=np.int64), "base_score": by_doc(base[tokens]), "score": by_doc(np.log10(p)[at]),
-        })
+    start_bucket = int(_bucket(np.array([START]), buckets)[0])
 
-    return units.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(score, out_schema)
+    def ask_start(batches):
+        """The start is one more context of every unit."""
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([start_bucket] * n, pa.int64()), batch["unit"], pa.array([_zip(np.array([START]))] * n, pa.binary())], ["bucket", "unit", "words"])
+
+    def weights(asks: DataFrame, sums: DataFrame) -> DataFrame:
+        return asks.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(weigh, "unit long, bucket long, data binary")
+
+    contexts = staged(added.filter("kind = 3").select("data").mapInArrow(split_contexts, "bucket long, data binary"), "katz-contexts", compression="none")
+    _save(weights(asked.select("bucket", "unit", "words"), contexts), root, "w")
+    _save(weights(units.select("unit").mapInArrow(ask_start, "bucket long, unit long, words binary"), contexts.filter(F.col("bucket") == start_bucket)), root, "ws")
+
+    def score(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        for unit, u in Unit.each(batches):
+            c1 = _load(store, top, "c1", unit, np.int64)
+            c, w, _, _, at = u.pairs(c1, starts, buckets)
+            c2 = _load(store, top, "c2", unit, np.int32).astype(np.int64)
+            weight = np.concatenate([_load(store, top, n, unit, np.float64) for n in ("w", "ws")]).reshape(-1, 2)
+            total, alpha = weight[c, 0], weight[c, 1]
+            d = np.where(c2 <= K, d2[np.minimum(c2, K)], 1.0)
+            p = np.where(c2 > 0, d * c2 / np.maximum(total, 1), np.where(total > 0, alpha, 1.0) * words.p(c1)[w])
+            docs, tokens = len(u.ids), u.tokens
+            by_doc = lambda v: np.bincount(u.owner, weights=v, minlength=docs)  # noqa: B023, E731
+            base = np.log10((c1 + 0.5) / (words.total + 0.5 * (words.types + 1)))
+            cols = [pa.array(u.ids, pa.int64()), pa.array(u.held), pa.array(u.lens.astype(np.int64)), pa.array(by_doc(c1[tokens] > 0).astype(np.int64)), pa.array(np.full(docs, words.total, dtype=np.int64)), pa.array(by_doc(base[tokens])), pa.array(by_doc(np.log10(p)[at]))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return units.mapInArrow(score, out_schema)
+
+
+def _sums(owners: np.ndarray, rest: np.ndarray, below: np.ndarray) -> bytes:
+    """Contexts in rising order with their totals and counts of counts (K + 1 rows), and the mass below of their words."""
+    return len(owners).to_bytes(8, "little") + _zip(_rising(owners), np.ascontiguousarray(rest, dtype=np.int64).ravel(), below)
+
+
+def _unsums(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = int.from_bytes(x[:8], "little")
+    owners, rest, below = _unzip(x[8:], (np.uint64, m), (np.int64, m * (K + 1)), (np.float64, m))
+    return np.cumsum(owners, dtype=np.uint64), rest.reshape(K + 1, m), below
 
 
 def op10_katz(spark, sf_dir):
