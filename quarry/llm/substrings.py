@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import located, new_path, staged, table
+from quarry.llm.common import located, make_dir, new_path, release, staged, table
 from quarry.llm.suffixes import permuted_lcp, suffix_array
 
 WINDOW, GRAM, UNIT_ROWS, SHARD_BYTES = 100, 16, 2048, 4 << 20
@@ -161,6 +161,7 @@ def repeated_minimizers(texts: DataFrame, root: str, buckets: int) -> None:
 
     asked = staged(texts.mapInArrow(ask, "bucket long, unit long, m binary, again binary"), "sub-asked")
     replied = staged(asked.groupBy("bucket").applyInArrow(match, "unit long, bucket long, m binary"), "sub-replied")
+    release(asked.sparkSession)
     staged(replied.filter("length(m) > 0").groupBy("unit").applyInArrow(write, "unit long"), "sub-written")
 
 
@@ -287,8 +288,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(at, row, start, end): spans to remove, not merged."""
     spark = texts.sparkSession
     root = new_path(spark, "substrings")
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    make_dir(spark, root)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     repeated_minimizers(texts, root, parts)
     found = staged(repeated_segments(texts, root), "sub-segments", compression="zstd")
@@ -307,8 +307,7 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False) -> DataFrame:
     spans = repeated_spans(texts)
     spark = docs.sparkSession
     root = new_path(spark, "spans")
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    make_dir(spark, root)
 
     def write(key, t):
         """The merged spans of the rows of one unit, as one file: row, start, end."""

@@ -29,10 +29,10 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import new_path, staged, table
+from quarry.llm.common import make_dir, new_path, staged, table
 
 BLOCK_ROWS, FILE_BYTES, GAP = 3000, 256 << 20, 64 << 10
 _DATE = "2024-01-01T00:00:00Z"
@@ -129,15 +129,10 @@ def write_archives(pages: DataFrame, root: str, *, min_bytes: int = 0, level: in
         if out is not None:
             out.close()
 
-    _make(pages.sparkSession, root)
+    make_dir(pages.sparkSession, root)
     return staged(marked.mapInArrow(run, "key string, page_id long, file string, offset long, size long"), "warc-captures")
 
 
-def _make(spark: SparkSession, root: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(root)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
-
-
 def write_index(captures: DataFrame, root: str, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Shards, directories and the top level (first_key, shard), staged; ``captures`` as from write_archives."""
 
