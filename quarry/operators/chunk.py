@@ -176,7 +176,7 @@ def chunk_files(files: DataFrame, *, max_lines: int = MAX_LINES, overlap: int =
 
     schema = "rel_path string, last_modified long, ordinal int, start_line int, end_line int, symbol_name string, symbol_type string, content string"
     code = files.filter(language_of("rel_path").isNotNull())
-    parsed = code.select("rel_path", "content", "last_modified", language_of("rel_path")).mapInArrow(run, schema)
+    parsed = code.select("rel_path", "content", "last_modified", language_of("rel_path").alias("language")).mapInArrow(run, schema)
     windows = sliding_chunks(files.filter(language_of("rel_path").isNull()), doc_lines=doc_lines)
     windows = windows.withColumns({"symbol_name": F.lit(None).cast("string"), "symbol_type": F.lit(None).cast("string")})
     return finished(parsed.unionByName(windows))

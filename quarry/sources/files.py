@@ -101,10 +101,10 @@ def discover_files(spark: SparkSession, path: str, *, max_file_kb: int = MAX_FIL
         raise FileNotFoundError(path)
     root = os.path.abspath(path if os.path.isdir(path) else os.path.dirname(path) or ".")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(os.path.abspath(path))
-    # The listing skips names that begin with "." or "_"; these are read by their own paths, so hidden files count.
-    hidden = _hidden(path, root)
+    # Spark's listing skips names that begin with "." or "_"; these are few, and are read by their own paths.
+    hidden = [f for f in _hidden(path, root) if os.path.getsize(f) <= max_file_kb * 1024]
     if hidden:
-        more = spark.read.format("binaryFile").load(hidden)
+        more = _read_paths(spark, hidden)
         files = more if not os.path.isdir(path) else files.unionByName(more)
     here = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), "^" + re.escape(root) + "/", "")
     rel = normal_path(F.url_decode(F.regexp_replace(here, r"\+", "%2B")))
@@ -118,6 +118,23 @@ def discover_files(spark: SparkSession, path: str, *, max_file_kb: int = MAX_FIL
     return out.select(*cols, *(["content"] if with_content else [])).dropDuplicates(["rel_path"])
 
 
+def _read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows that ``binaryFile`` gives, for files that it does not list."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            data = []
+            for p in b.column(0).to_pylist():
+                with open(p, "rb") as f:
+                    data.append(f.read())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], ["path", "modificationTime", "length", "content"])
+
+    rows = [(p, int(os.path.getmtime(p)), os.path.getsize(p)) for p in paths]
+    listed = spark.createDataFrame(rows, "path string, at long, length long").select("path", F.timestamp_seconds("at").alias("modificationTime"), "length").filter(~skip_file("path"))
+    return listed.mapInArrow(run, "path string, modificationTime timestamp, length long, content binary")
+
+
 def _hidden(path: str, root: str) -> list[str]:
     if os.path.isfile(path):
         return [os.path.abspath(path)] if os.path.basename(path)[0] in "._" else []

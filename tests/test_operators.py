@@ -1,0 +1,147 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.operators import chunk, context, evaluate, fusion, keyword, vector
+
+FILE = "rel_path string, content string, last_modified long"
+RESULT = "query_id int, id string, rel_path string, start_line int, end_line int, symbol_name string, symbol_type string, language string, content string, last_modified long, score float, rank int"
+
+
+def lines(n):
+    return "\n".join(f"line {i}" for i in range(1, n + 1))
+
+
+def test_sliding_windows(spark):
+    f = spark.createDataFrame([("a.md", lines(70), 0), ("a.txt2", lines(100), 0), ("e.md", "", 0)], FILE)
+    got = {}
+    for r in chunk.sliding_chunks(f).collect():
+        got.setdefault(r.rel_path, []).append((r.start_line, r.end_line))
+    assert got == {"a.md": [(1, 40), (25, 64), (49, 70)], "a.txt2": [(1, 80), (61, 100)]}
+
+
+def test_python_chunks():
+    src = "import os\n\n@dec\ndef f():\n    def inner():\n        pass\n\nclass A:\n    def m(self):\n        return 1\n\nclass B:\n    x = 1\n"
+    assert [(a, z, n, k) for a, z, n, k, _ in chunk.syntax_chunks(src, "python")] == [(4, 6, "f", "function_definition"), (9, 10, "m", "function_definition"), (12, 13, "B", "class_definition")]
+    big = "def f():\n" + "\n".join("    x = 1" for _ in range(249))
+    got = chunk.syntax_chunks(big, "python")
+    assert [(a, z) for a, z, *_ in got] == [(1, 200), (151, 250)] and got[1][4].startswith("def f():\n    x = 1")
+    assert chunk.syntax_chunks("def (", "python") == []
+
+
+@pytest.mark.parametrize(
+    "language,src,want",
+    [
+        ("rust", "pub struct S { a: u8 }\nstruct T;\nimpl S {\n    pub fn new() -> Self { S { a: 1 } }\n    fn g(&self) {}\n}\nfn main() { let s = \"}\"; }\n", [("S", "struct_item"), ("T", "struct_item"), ("new", "function_item"), ("g", "function_item"), ("main", "function_item")]),
+        ("go", "package m\nfunc A() { }\nfunc (s *S) B(x int) error { if x > 0 { return nil }; return nil }\n", [("A", "function_declaration"), ("B", "method_declaration")]),
+        ("typescript", "export class C {\n  m(a: string): void { if (a) { b(); } }\n}\nfunction f() { return `}`; }\nclass D {}\n", [("m", "method_definition"), ("f", "function_declaration"), ("D", "class_declaration")]),
+    ],
+)
+def test_braced_chunks(language, src, want):
+    assert [(n, k) for _, _, n, k, _ in chunk.syntax_chunks(src, language)] == want
+    assert chunk.syntax_chunks(src + "{", language) == []
+
+
+def test_chunk_files_and_shallow(spark):
+    f = spark.createDataFrame([("a.py", "def f():\n    return 1\n", 5), ("b.py", "x = 1\n", 5), ("c.md", lines(3), 5), ("d.rs", "fn broken( {", 5)], FILE)
+    got = {r.rel_path: r for r in chunk.chunk_files(f).collect()}
+    assert got["a.py"].symbol_name == "f" and got["b.py"].symbol_name is None and got["c.md"].language == "unknown" and got["d.rs"].content == "fn broken( {"
+    s = {r.rel_path: r.content for r in chunk.shallow_documents(f).collect()}
+    assert s["b.py"] == "path: b.py\nx = 1\n"
+
+
+def docs(spark):
+    rows = [("1", "rate limit handler", "limit"), ("2", "the quick handlers of requests", ""), ("3", "nothing here", ""), ("4", "validate the token then validate_token again", "")]
+    return spark.createDataFrame(rows, "id string, content string, symbol_name string")
+
+
+def terms(spark, *words):
+    return spark.createDataFrame([(1, w, 1) for w in words], "query_id int, term string, weight int")
+
+
+def test_bm25(spark):
+    index = keyword.build_index(docs(spark))
+    assert [r.id for r in keyword.keyword_search(index, terms(spark, "handler"), 5).orderBy("rank").collect()] == ["1", "2"]
+    assert [r.id for r in keyword.keyword_search(index, terms(spark, "limit"), 5).collect()] == ["1"]
+    assert [r.id for r in keyword.keyword_search(index, terms(spark, "validate_token"), 5).collect()] == ["4"]
+    assert keyword.keyword_search(index, terms(spark, "zzz"), 5).count() == 0
+    assert [r.id for r in keyword.keyword_search(index, terms(spark, "handler"), 1, filters=F.col("id") != "1").collect()] == ["2"]
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id int, vector array<float>, label int").repartition(5)
+    want = sorted((float(((x[i] - x[7]) ** 2).sum()), i) for i in range(200))[:5]
+    assert [r.id for r in vector.search_vector(df, x[7].tolist(), 5).orderBy("distance").collect()] == [i for _, i in want]
+    many = vector.search_vectors(df, df.filter("id in (7, 9)").select(F.col("id").alias("query_id"), "vector"), 5)
+    assert [r.id for r in many.filter("query_id = 7").orderBy("rank").collect()] == [i for _, i in want]
+    assert {r.label for r in vector.search_vector(df, x[7].tolist(), 5, filters=F.col("label") == 1).collect()} == {1}
+    with pytest.raises(ValueError):
+        vector.search_vector(df, [1.0], 5, dim=8)
+    assert vector.search_vector(df, x[7].tolist(), 0).count() == 0
+
+
+def test_rrf(spark):
+    s = spark.createDataFrame([(1, "shared", 0.1, 1), (1, "sem", 0.2, 2)], "query_id int, id string, distance double, rank int")
+    k = spark.createDataFrame([(1, "shared", 9.0, 1), (1, "kw", 5.0, 2)], "query_id int, id string, score double, rank int")
+    w = spark.createDataFrame([(1, 0.4, 0.6)], "query_id int, w_semantic float, w_keyword float")
+    got = fusion.fused_top_k(s, k, 10, w).orderBy("rank").collect()
+    assert [r.id for r in got] == ["shared", "kw", "sem"]
+    assert got[0].score == float(np.float32(np.float32(0.4) / 61) + np.float32(np.float32(0.6) / 61))
+
+
+def results(spark, rows):
+    """rows: (path, start, end, score)."""
+    return spark.createDataFrame([(1, f"c{i}", p, a, z, None, None, "rust", f"text {i}", 0, float(s), i + 1) for i, (p, a, z, s) in enumerate(rows)], RESULT)
+
+
+def test_merge_overlaps(spark):
+    rows = [("a", 1, 10, 0.9), ("a", 5, 12, 0.8), ("b", 1, 10, 0.9), ("b", 6, 15, 0.8), ("c", 1, 20, 0.5), ("c", 5, 8, 0.9), ("d", 1, 5, 0.5), ("d", 6, 9, 0.5)]
+    df = results(spark, rows).withColumn("relevance", F.col("score"))
+    got = sorted((r.rel_path, r.start_line, r.end_line, r.content) for r in context.merge_overlaps(df).collect())
+    assert got == [("a", 1, 12, "text 0"), ("b", 1, 10, "text 2"), ("b", 6, 15, "text 3"), ("c", 1, 20, "text 5"), ("d", 1, 5, "text 6"), ("d", 6, 9, "text 7")]
+
+
+def test_related(spark):
+    df = spark.createDataFrame([(1, "src/auth/login.py", 1)], "query_id int, rel_path string, rank int")
+    got = {r.path: round(r.multiplier, 1) for r in context.related_paths(df).collect()}
+    assert got["tests/test_login.py"] == 0.6 and got["tests/auth/login_test.py"] == 0.6 and got["src/auth/mod.rs"] == 0.4 and len(got) == 11
+    chunks = spark.createDataFrame([("x", "tests/test_login.py", [1.0, 0.0], 1), ("y", "src/auth/mod.rs", [0.5, 0.0], 1), ("z", "tests/login_test.py", [9.0, 9.0], 1)], "id string, rel_path string, vector array<float>, start_line int")
+    q = spark.createDataFrame([(1, [0.5, 0.0])], "query_id int, query_vector array<float>")
+    out = {r.id: round(r.relevance, 2) for r in context.expand_related(df, chunks, q).collect()}
+    assert out == {"x": 0.48, "y": 0.4}
+
+
+def test_filter_results(spark):
+    df = results(spark, [("a.rs", 1, 2, 4.0), ("docs/b.md", 1, 2, 8.0), ("src/c.rs", 1, 2, 2.0), ("src/d.rs", 1, 2, 1.0)])
+    assert [r.id for r in context.filter_results(df, include_docs=False, min_relevance=0.5).orderBy("rank").collect()] == ["c0", "c2"]
+    assert [r.id for r in context.filter_results(df, scope="src", max_files=1).collect()] == ["c2"]
+    assert context.filter_results(df, extensions=["MD"]).first().relevance == 1.0
+
+
+def test_allocate():
+    count = lambda s: len(s.split())
+    rows = [{"rel_path": f"f{i}", "content": "w " * 20, "language": "rust"} for i in range(4)]
+    got = context.allocate([dict(r) for r in rows], 50, 10, count)
+    assert count("\n".join(r["content"] for r in got)) <= 50 and got
+    assert len(context.allocate([dict(r) for r in rows], 1000, 2, count)) == 2
+    cut = context.allocate([rows[0] | {"content": "word " * 100}], 10, 5, count)
+    assert count(cut[0]["content"]) == 10
+    assert context.allocate([], 10, 5, count) == [] and context.allocate(rows, 0, 5, count) == []
+
+
+def test_assemble(spark):
+    df = results(spark, [("a/x.rs", 1, 5, 4.0), ("b/y.rs", 1, 5, 3.0), ("c/z.rs", 1, 5, 3.5), ("d/w.rs", 1, 5, 0.1)])
+    package, meta = context.assemble(df, budget=100, now=10)
+    m = meta.first()
+    assert [r.rel_path for r in package.orderBy("place").collect()] == ["a/x.rs", "c/z.rs", "b/y.rs"]
+    assert m.result_confidence == "high" and m.budget_gap_reason == "threshold_filtered" and m.files_included == 3 and len(m.clusters) == 3 and m.total_tokens <= 100
+    assert '"relevance":1.0' in context.to_wire(package, meta).first().json
+
+
+def test_scores(spark):
+    ranked = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "a", 3)], "query_id string, rel_path string, rank int")
+    rel = spark.createDataFrame([("q", "b")], "query_id string, rel_path string")
+    r = evaluate.score_queries(ranked, rel).first()
+    assert (r.precision, r.recall, r.reciprocal_rank) == (0.2, 1.0, 0.5)
