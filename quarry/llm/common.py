@@ -145,6 +145,11 @@ def choose_places(rows: DataFrame, at: list[str], chosen: DataFrame, keep: bool)
     return map_rows(rows, run)
 
 
+def only(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, whatever characters are in the names."""
+    return df.select(*[F.col("`" + n.replace("`", "``") + "`") for n in names])
+
+
 def free_name(taken: set[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"

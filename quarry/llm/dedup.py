@@ -19,7 +19,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, choose_places, located, new_path, staged, table
+from quarry.llm.common import SPACE, choose_places, located, new_path, only, staged, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -114,7 +114,7 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows, found, at = classes(docs, **options)
     out = choose_places(rows, at, found.filter("not kept"), keep=False)
-    return out.select(*[out[c] for c in docs.columns])
+    return only(out, docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import choose_places, components, located, staged, table
+from quarry.llm.common import choose_places, components, located, only, staged, table
 
 WORDS, SKETCH, INDEX, SHORT, BLOCK = 5, 64, 16, 24, 4096
 #: Similarity threshold as hundredths; estimates below LEAST_ESTIMATE (five standard deviations under it) are dropped.
@@ -277,7 +277,7 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     again = found.filter("id = component_id and n > 0").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("at", "row"))).filter("k > 1").select("at", "row")
     dropped = found.filter("id != component_id").select("at", "row").unionByName(again)
     out = choose_places(rows, at, dropped, keep=False)
-    return out.select(*[out[c] for c in docs.columns])
+    return only(out, docs.columns)
 
 
 def op7_minhash(spark, sf_dir):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WORD, located, staged, table
+from quarry.llm.common import WORD, located, only, staged, table
 
 BUCKET_ROWS, CELLS, WINDOW_ROWS = 512, 4096, 100_000
 
@@ -113,9 +113,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as taken, globally range-sorted by finish time."""
     rows, at = located(docs)
     plan = mix_plan(rows, at, **options).filter("taken > 0").select(*at, F.explode("finish").alias("finish_"))
-    names = [*docs.columns]
     out = rows.join(plan, at).repartitionByRange(F.col("finish_"), *[F.col(c) for c in at]).sortWithinPartitions("finish_", *at)
-    return out.select(*[out[c] for c in names])
+    return only(out, docs.columns)
 
 
 def op3_mixing(spark, sf_dir):
