@@ -233,7 +233,7 @@ def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: D
 
 
 def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, index: int = INDEX, short: int = SHORT) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(rows with locator, groups, locator names); groups: id, at, row, n, component_id for every row of ``docs``."""
+    """(rows with locator, groups, locator names); groups: id, at, row, n, sig, component_id for every row of ``docs``."""
     rows, at = located(docs)
     texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), "text")
     all_docs = staged(document_sketches(texts, words, sketch), "near-sketches", compression="zstd")
@@ -266,15 +266,15 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, in
         roots = components(links.unionByName(more), "near-roots")
     group = classes.select("sig", "cid").join(roots.withColumnRenamed("v", "cid"), "cid", "left").select("sig", F.coalesce("root", "cid").alias("root"))
     out = all_docs.select("id", "at", "row", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("sig")).alias("sig")).join(group, "sig", "left")
-    return rows, out.select("id", "at", "row", "n", F.coalesce("root", "id").alias("component_id")), at
+    return rows, out.select("id", "at", "row", "n", "sig", F.coalesce("root", "id").alias("component_id")), at
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the one with the smallest doc_id, and of rows
-    that repeat this doc_id the first by file and row."""
+    that repeat both this doc_id and the set the first by file and row."""
     rows, found, at = near_groups(docs, **options)
     found = staged(found, "near-found")
-    again = found.filter("id = component_id and n > 0").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("at", "row"))).filter("k > 1").select("at", "row")
+    again = found.filter("id = component_id and n > 0").withColumn("k", F.row_number().over(Window.partitionBy("id", "sig").orderBy("at", "row"))).filter("k > 1").select("at", "row")
     dropped = found.filter("id != component_id").select("at", "row").unionByName(again)
     out = choose_places(rows, at, dropped, keep=False)
     return only(out, docs.columns)
