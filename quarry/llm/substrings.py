@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import located, make_dir, new_path, release, staged, table
 from quarry.llm.suffixes import permuted_lcp, suffix_array
 
-WINDOW, GRAM, UNIT_ROWS, SHARD_BYTES = 100, 16, 2048, 4 << 20
+WINDOW, GRAM, UNIT_ROWS, SHARD_BYTES = 100, 32, 2048, 2 << 20
 _MISSING = 2**63 - 1
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +59,11 @@ def segments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         e = np.empty(0, dtype=np.int64)
         return e.astype(np.uint64), e, e, e
     eights = np.ndarray((n - 7,), dtype="<u8", buffer=text, strides=(1,))
-    grams = _mix(eights[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + _mix(eights[8 : n - GRAM + 9] + np.uint64(0xC2B2AE3D27D4EB4F)))
+    # The hash only brings equal grams together; unequal ones that agree by chance are told apart by the suffix array.
+    total = eights[: n - GRAM + 1] * _ODD[0]
+    for k in range(1, GRAM // 8):
+        total += eights[8 * k : n - GRAM + 1 + 8 * k] * _ODD[k]
+    grams = _mix(total)
     low = _sliding_min(grams, WINDOW - GRAM + 1)
     cut = np.flatnonzero(low[1:] != low[:-1]) + 1
     start = np.concatenate([[0], cut])
@@ -294,6 +299,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     found = staged(repeated_segments(texts, root), "sub-segments", compression="zstd")
     order = F.struct(F.col("id").isNull().alias("n"), "id", "at", "row", "pos")
     firsts = staged(found.groupBy("m", "sig").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"), F.max("times").alias("times")), "sub-distinct", compression="zstd")
+    release(spark)
     copies = found.select("m", "sig", "at", "row", "pos", "len").join(firsts.filter("n > 1").select("m", "sig", "first"), ["m", "sig"])
     copies = copies.filter("at != first.at or row != first.row or pos != first.pos").select("at", "row", F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end"))
     distinct = firsts.select("m", "sig", "first.id", "first.at", "first.row", "first.pos", "bytes", "times")
