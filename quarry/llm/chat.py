@@ -197,3 +197,15 @@ def op5_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(rows.unionByName(extra)).withColumnRenamed("conv_id", "path"))
+
+
+SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?ROLE\]|ROLE=)', '\1\\\2\3', 'g') as t from c),
+f as (select *, case role when 'user' then '<s>[INST] ' || t || ' [/INST]' when 'assistant' then ' ' || t || ' </s>' else '<s>[ROLE=' || role || '] ' || t || ' [/ROLE]' end as shown from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(length(shown))::bigint as formatted_chars
+from f group by conv_id
+"""

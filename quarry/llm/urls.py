@@ -91,3 +91,24 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
 
 def op6_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL = r"""
+with recursive rules(h, p, a) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+u as (select row_number() over () as i, page_id, html, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages),
+f as (select i, arg_max(h || p, (length(h || p), a)) as rule, arg_max(a, (length(h || p), a)) as act from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by i),
+j as (select u.*, rule, act from u left join f using (i)),
+c as (select host, count(*) as n, count(*) filter (where act = 'allow') as trust, count(*) filter (where act = 'block') as distrust from j where host != '' group by host),
+seed as (select 'trust' as kind, host from c where trust / n >= 0.5 union all select 'distrust', host from c where distrust / n >= 0.5),
+l as (select host as src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as dst from u where html is not null),
+e as (select src, dst, count(*) as n from l where src != '' and src != dst group by all),
+b as (select 'trust' as kind, src, dst, n from e union all select 'distrust', dst, src, n from e),
+w as (select kind, src, dst, n / sum(n) over (partition by kind, src) as w from b),
+r as (select 1 as step, kind, host, 0.15::double as score from seed
+      union all
+      select step + 1, kind, host, sum(score) from (select step, r.kind, dst as host, score * w * 0.85 as score from r join w on w.kind = r.kind and w.src = r.host union all select s.step, seed.kind, seed.host, 0.15 from seed, (select distinct step from r) s)
+      where step < 20 group by step, kind, host),
+x as (select host, coalesce(sum(score) filter (where kind = 'trust'), 0) as t, coalesce(sum(score) filter (where kind = 'distrust'), 0) as d from r where step = (select max(step) from r) group by host)
+select page_id, j.host, path, rule, coalesce(act, case when coalesce(d, 0) >= 0.01 and d > 0.5 * (t + d) then 'block' else 'allow' end) as verdict from j left join x on x.host = j.host
+"""

@@ -27,14 +27,15 @@ def test_stages_and_run(spark, docs, sf_dir, rows):
             assert sorted(str(r.doc_id) for r in now.collect()) == sorted(str(r[0]) for r in left)
     out = corpus_pipeline.run(spark, sf_dir)
     got = out.groupBy("doc_id", "piece").count()
-    assert got.agg(F.max("count")).first()[0] <= 2
     allowed = {r[0] for r in left}
     assert {r.doc_id for r in got.collect()} <= allowed
-    words = sum(len((r[1] or "").split()) for r in left)
-    size = {r[0]: len((r[1] or "").encode().split()) for r in left}
-    taken = sum(size[r.doc_id] * r["count"] for r in got.filter("piece = 0").collect())
-    assert abs(taken - 1.5 * words) <= 2 * max(size.values()) * 5
+    ids = [r[0] for r in left]
+    assert all(r["count"] <= 2 * ids.count(r.doc_id) for r in got.collect())
     encode = packing.encoder()
+    size = {r[0]: len((r[1] or "").encode().split()) for r in left}
     lengths = {r[0]: len(encode(r[1])) + 1 for r in left}
     total = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.sum(F.when(F.col("piece") == 0, 1)).alias("k")).collect()
-    assert all(r.n == r.k * lengths[r.doc_id] for r in total)
+    assert all(r.n == r.k * lengths[r.doc_id] for r in total if ids.count(r.doc_id) == 1)
+    words = sum(len((r[1] or "").encode().split()) for r in left)
+    taken = sum(size[r.doc_id] * r.k for r in total)
+    assert abs(taken - 1.5 * words) <= 10 * max(size.values())
