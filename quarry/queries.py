@@ -143,13 +143,13 @@ def knn_filtered(spark, d):
 
 @query(
     f"""with p as (select q.vec_id as query_id, e.vec_id as id, {L2.format('e.embedding', 'q.embedding')} as distance from embeddings e, embeddings q where q.vec_id % 20 = 0),
-    r as (select *, row_number() over (partition by query_id order by distance, id) as rank from p) select query_id, id, round(distance, 5) as distance, rank::int as rank from r where rank <= 8"""
+    r as (select *, row_number() over (partition by query_id order by distance, id) as rank from p) select query_id, id, round(distance::double, 4) as distance, rank::int as rank from r where rank <= 8"""
 )
 def knn_batch(spark, d):
     """The stated query set, every vector whose id is divisible by 20, against all vectors."""
     e = read(spark, d, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vector.search_vectors(e, q, 8, vector="embedding", id_col="vec_id").withColumn("distance", F.round("distance", 5))
+    return vector.search_vectors(e, q, 8, vector="embedding", id_col="vec_id").withColumn("distance", F.round(F.col("distance").cast("double"), 4))
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as norm, len(embedding)::int as dim from embeddings")
