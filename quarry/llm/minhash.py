@@ -4,7 +4,7 @@ A document's set is its distinct 5-word shingles, hashed to 64 bits; its sketch
 Documents with equal sets form one class, so copies cost nothing further on.  Inverted lists of the INDEX smallest
 values give overlaps: values held by one class only are useless, and a class that keeps too few shared values
 can have no partner, so both are pruned, repeatedly.  Two sets of similarity 0.85 share each of the smallest values
-of their union with that probability, so all INDEX lists miss such a pair with probability below 1e-9.
+of their union with that probability, so fewer than 4 of 16 are shared with probability below 1e-8.
 
 Candidates come in two steps, neither of which writes out all pairs of a long list:
 1. each list's most central class (the one whose values are held by most classes) against all others of the list;
@@ -33,8 +33,8 @@ from pyspark.sql.window import Window
 from quarry.llm.common import choose_places, components, located, only, staged, table
 
 WORDS, SKETCH, INDEX, SHORT, BLOCK = 5, 64, 16, 24, 4096
-#: Similarity threshold as hundredths; estimates below LEAST_ESTIMATE (five standard deviations under it) are dropped.
-PERCENT, LEAST_ESTIMATE = 85, 0.62
+#: Similarity threshold as hundredths; estimates below LEAST_ESTIMATE are dropped (at the threshold a chance below 1e-8).
+PERCENT, LEAST_ESTIMATE = 85, 0.55
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
