@@ -8,7 +8,7 @@ from quarry.llm.common import staged, table
 STAGES = [
     ("quality rules", lambda spark, docs, sf_dir: quality.quality_filter(docs, table(spark, sf_dir, "labels"))),
     ("exact dedup", lambda spark, docs, sf_dir: dedup.exact_dedup(docs)),
-    ("near dedup", lambda spark, docs, sf_dir: minhash.near_dedup(docs)),
+    ("near dedup", lambda spark, docs, sf_dir: minhash.near_dedup(docs, percent=80)),
     ("mixing", lambda spark, docs, sf_dir: mixing.mix_documents(docs)),
     ("packing", lambda spark, docs, sf_dir: packing.pack_documents(docs)),
 ]

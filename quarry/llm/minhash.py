@@ -3,8 +3,9 @@
 A document's set is its distinct 5-word shingles, hashed to 64 bits; its sketch the SKETCH smallest values.
 Documents with equal sets form one class, so copies cost nothing further on.  Inverted lists of the INDEX smallest
 values give overlaps: values held by one class only are useless, and a class that keeps too few shared values
-can have no partner, so both are pruned, repeatedly.  Two sets of similarity 0.85 share each of the smallest values
-of their union with that probability, so fewer than 4 of 16 are shared with probability below 1e-8.
+can have no partner, so both are pruned, repeatedly.  Two sets at the threshold share each of the smallest values
+of their union with that probability; what fewer are shared with probability below 1e-8 follows from it (:func:`_least`):
+4 of 16 at 0.85, 2 of 16 at 0.8.
 
 Candidates come in two steps, neither of which writes out all pairs of a long list:
 1. each list's most central class (the one whose values are held by most classes) against all others of the list;
@@ -22,6 +23,8 @@ doc_id count as documents that share an id; an empty table gives an empty result
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,12 +36,22 @@ from pyspark.sql.window import Window
 from quarry.llm.common import choose_places, components, located, only, staged, table
 
 WORDS, SKETCH, INDEX, SHORT, BLOCK = 5, 64, 16, 24, 4096
-#: Similarity threshold as hundredths; estimates below LEAST_ESTIMATE are dropped (at the threshold a chance below 1e-8).
-PERCENT, LEAST_ESTIMATE = 85, 0.55
+#: Similarity threshold of operator 7 as hundredths; the chance with which pruning or the estimate may miss a pair at a threshold.
+PERCENT, MISSED = 85, 1e-8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def _least(percent: int, size: int) -> int:
+    """The most of ``size`` smallest values that a pair at the threshold shares with a chance of at least 1 - MISSED."""
+    p, below = percent / 100, 0.0
+    for k in range(size):
+        below += math.comb(size, k) * p**k * (1 - p) ** (size - k)
+        if below >= MISSED:
+            return k
+    return size
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -110,9 +123,9 @@ def _index(classes: DataFrame, index: int) -> DataFrame:
     return classes.select("cid", "n", "sketch").mapInArrow(run, "val long, cid long, n long")
 
 
-def _prune(rows: DataFrame, index: int, rounds: int = 2) -> DataFrame:
+def _prune(rows: DataFrame, index: int, percent: int, rounds: int = 2) -> DataFrame:
     """Index rows that may take part in a pair, with df, the classes that hold the value."""
-    need = F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(index)) * 0.3))
+    need = F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(index)) * _least(percent, index) / index))
     for k in range(rounds):
         shared = rows.groupBy("val").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         rows = staged(rows.join(shared, "val"), "near-shared")
@@ -122,8 +135,8 @@ def _prune(rows: DataFrame, index: int, rounds: int = 2) -> DataFrame:
     return rows
 
 
-def _sized() -> F.Column:
-    return (F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT)
+def _sized(percent: int) -> F.Column:
+    return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
 
 
 def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
@@ -135,13 +148,14 @@ def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return float(np.isin(union, both, assume_unique=True).mean()) if len(union) else 0.0
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, sketch: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, sketch: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     sk = classes.select("cid", "sketch")
+    least = _least(percent, sketch) / sketch
 
     def sift(batches):
         for b in batches:
-            keep = [_estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), sketch) >= LEAST_ESTIMATE for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            keep = [_estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), sketch) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sk.withColumnsRenamed({"cid": "a", "sketch": "s_a"}), "a").join(sk.withColumnsRenamed({"cid": "b", "sketch": "s_b"}), "b").select("a", "b", "s_a", "s_b")
@@ -154,7 +168,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     whole = likely.join(full.withColumnsRenamed({"cid": "a", "full": "f_a"}), "a").join(full.withColumnsRenamed({"cid": "b", "full": "f_b"}), "b").select("a", "b", "f_a", "f_b")
@@ -174,7 +188,7 @@ def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     return staged(picked.join(used, ["at", "row"]).select("cid", "text").mapInArrow(sets, "cid long, full binary"), "near-sets")
 
 
-def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: DataFrame, words: int, index: int) -> DataFrame:
+def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: DataFrame, words: int, index: int, percent: int) -> DataFrame:
     """Links of long lists: each class outside of its list's largest component against all of the list.
 
     Members and queries are both dealt into blocks of a bounded number of hashes, and a task holds one block of each.
@@ -213,10 +227,10 @@ def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: D
             m_most, q_most = shared(m_set, m_cid, q_set, q_cid), shared(q_set, q_cid, m_set, m_cid)
             for c, r, s, most in zip(q_cid, q_root, q_set, q_most, strict=True):
                 n = len(s)
-                if 100 * most < PERCENT * n:
+                if 100 * most < percent * n:
                     continue
                 bound = np.minimum(m_most, most)
-                near = (m_root != r) & (100 * bound >= PERCENT * (n + m_n - bound))
+                near = (m_root != r) & (100 * bound >= percent * (n + m_n - bound))
                 low = s[:index]
                 low = low[low < val]
                 for m in np.flatnonzero(near):
@@ -224,7 +238,7 @@ def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: D
                     if len(low) and np.isin(low, t[:index], assume_unique=True).any():
                         continue
                     k = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * k >= PERCENT * (n + len(t) - k):
+                    if 100 * k >= percent * (n + len(t) - k):
                         got.add((min(c, m_cid[m]), max(c, m_cid[m])))
         x = np.array(sorted(got), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": x[:, 0], "b": x[:, 1]})
@@ -232,20 +246,21 @@ def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: D
     return staged(rows.groupBy("val", "m", "k").applyInArrow(run, "a long, b long").distinct(), "near-block-links")
 
 
-def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, index: int = INDEX, short: int = SHORT) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(rows with locator, groups, locator names); groups: id, at, row, n, sig, component_id for every row of ``docs``."""
+def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, index: int = INDEX, short: int = SHORT, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows with locator, groups, locator names); groups: id, at, row, n, sig, component_id for every row of ``docs``;
+    documents are linked at a similarity of ``percent`` hundredths or more."""
     rows, at = located(docs)
     texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), "text")
     all_docs = staged(document_sketches(texts, words, sketch), "near-sketches", compression="zstd")
     known = all_docs.filter("n > 0 and id is not null")
     classes = staged(known.groupBy("sig").agg(F.min(F.struct("id", "at", "row")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("sig", F.col("x.id").alias("cid"), F.col("x.at").alias("at"), F.col("x.row").alias("row"), "n", "sketch"), "near-classes", compression="zstd")
-    lists = _prune(_index(classes, index), index)
+    lists = _prune(_index(classes, index), index, percent)
 
     # Step 1: the centre of each list against the others.
     centre = lists.groupBy("val").agg(F.min(F.struct((-F.col("central")).alias("o"), "cid", "n")).alias("p")).select("val", F.col("p.cid").alias("pivot"), F.col("p.n").alias("n_b"))
-    star = lists.join(centre, "val").filter("cid != pivot").withColumnRenamed("n", "n_a").filter(_sized())
+    star = lists.join(centre, "val").filter("cid != pivot").withColumnRenamed("n", "n_a").filter(_sized(percent))
     star = star.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-    links = _verified(star, classes, texts, words, sketch)
+    links = _verified(star, classes, texts, words, sketch, percent)
 
     # Step 2: what lists still hold apart.
     roots = components(links, "near-roots")
@@ -256,12 +271,12 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, in
     open_short = joined.drop("df").join(main.filter(F.col("df") <= short).select("val"), "val").select("val", "cid", "n", "root")
     left = open_short.select("val", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
     right = open_short.select("val", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-    pairs = left.join(right, "val").filter("a < b and r_a != r_b").filter(_sized()).select("a", "b").distinct()
+    pairs = left.join(right, "val").filter("a < b and r_a != r_b").filter(_sized(percent)).select("a", "b").distinct()
     pairs = staged(pairs.join(star, ["a", "b"], "left_anti"), "near-pairs")
-    more = _verified(pairs, classes, texts, words, sketch)
+    more = _verified(pairs, classes, texts, words, sketch, percent)
     long_lists = main.filter(F.col("df") > short)
     if not long_lists.isEmpty():
-        more = more.unionByName(_block_links(joined.select("val", "cid", "root"), long_lists, classes, texts, words, index))
+        more = more.unionByName(_block_links(joined.select("val", "cid", "root"), long_lists, classes, texts, words, index, percent))
     if not more.isEmpty():
         roots = components(links.unionByName(more), "near-roots")
     group = classes.select("sig", "cid").join(roots.withColumnRenamed("v", "cid"), "cid", "left").select("sig", F.coalesce("root", "cid").alias("root"))
@@ -281,5 +296,5 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_minhash(spark, sf_dir):
-    _, found, _ = near_groups(table(spark, sf_dir, "documents"))
+    _, found, _ = near_groups(table(spark, sf_dir, "documents"), percent=85)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

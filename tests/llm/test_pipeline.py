@@ -1,10 +1,12 @@
+import random
 import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import packing, quality
+from quarry.llm import minhash, packing, quality
 from test_minhash import brute as near_brute
+from test_minhash import shingles
 
 
 def test_stages_and_run(spark, docs, sf_dir, rows):
@@ -39,3 +41,29 @@ def test_stages_and_run(spark, docs, sf_dir, rows):
     words = sum(len((r[1] or "").encode().split()) for r in left)
     taken = sum(size[r.doc_id] * r.k for r in total)
     assert abs(taken - 1.5 * words) <= 10 * max(size.values())
+
+
+def similar(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_stage_links_at_80(spark):
+    """Pairs on both sides of 0.8, most of them under the 0.85 of op7, against all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(60):
+        text = [f"g{g}x{i}" for i in range(120)]
+        extra = [f"new{g}x{i}" for i in range(18 + g % 24)]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(text + extra))]
+    # At 0.8 exactly: 116 of 145 shingles.
+    assert similar(rows[22][1], rows[23][1]) == 0.8
+    exact = [similar(rows[2 * g][1], rows[2 * g + 1][1]) for g in range(60)]
+    assert any(0.8 <= s < 0.85 for s in exact) and any(s < 0.8 for s in exact) and any(s >= 0.85 for s in exact)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = dict(corpus_pipeline.STAGES)["near dedup"]
+    want = sorted([2 * g for g in range(60)] + [2 * g + 1 for g in range(60) if exact[g] < 0.8])
+    assert sorted(r.doc_id for r in near(spark, df, None).collect()) == want
+    by_op7 = sorted([2 * g for g in range(60)] + [2 * g + 1 for g in range(60) if exact[g] < 0.85])
+    assert sorted(r.doc_id for r in minhash.near_dedup(df, percent=85).collect()) == by_op7
