@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +35,15 @@ def search_vectors(chunks: DataFrame, queries: DataFrame, k: int, *, filters: Co
     """(query_id, id, distance, rank): nearest chunks of many queries (query_id, vector).
 
     Queries, a stated set whose size is checked, travel with the task; each Arrow batch of chunks is one matrix
-    product and gives at most k rows per query, so neither all pairs nor vectors are shuffled.
+    product and gives at most k rows per query, the first by distance and id, so neither all pairs nor vectors are shuffled.
     """
     rows = queries.select("query_id", "vector").toArrow()
     if rows.nbytes > MOST_QUERY_BYTES:
         raise ValueError(f"queries take {rows.nbytes} bytes; search them in parts of at most {MOST_QUERY_BYTES}")
     ids = rows["query_id"].combine_chunks()
     matrix = np.array(rows["vector"].to_pylist(), dtype=np.float32).reshape(rows.num_rows, -1)
+    wide = matrix.astype(np.float64)
+    own = (wide**2).sum(1)
     kinds = (queries.schema["query_id"].dataType.simpleString(), chunks.schema[id_col].dataType.simpleString())
 
     def run(batches):
@@ -48,14 +51,25 @@ def search_vectors(chunks: DataFrame, queries: DataFrame, k: int, *, filters: Co
             n = b.num_rows
             if not n or not len(matrix):
                 continue
-            x = b.column(1).flatten().to_numpy().astype(np.float32).reshape(n, -1)
+            x = b.column(1).flatten().to_numpy().astype(np.float32).astype(np.float64).reshape(n, -1)
             m = min(k, n)
-            # Approximate distances choose a few more than k, exact ones decide.
-            rough = (x.astype(np.float64) ** 2).sum(1)[None, :] - 2 * (matrix.astype(np.float64) @ x.T.astype(np.float64))
-            near = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < n else np.tile(np.arange(n), (len(matrix), 1))
-            owner = np.repeat(np.arange(len(matrix)), near.shape[1])
-            at = near.ravel()
-            d = ((x[at].astype(np.float64) - matrix[owner]) ** 2).sum(1).astype(np.float32)
+            place = np.empty(n, dtype=np.int64)
+            place[pc.sort_indices(b.column(0), null_placement="at_start").to_numpy()] = np.arange(n)
+            size = (x**2).sum(1)
+            rough = size[None, :] - 2 * (wide @ x.T)
+            # Whatever may be as near as the k-th by its float32 distance is kept; exact distances, then ids, decide.
+            error = (wide.shape[1] + 4) * 2.0**-50 * (size.max() + own)
+            cut = np.partition(rough, m - 1, axis=1)[:, m - 1]
+            most = np.maximum(cut + own + error, 0)
+            cut = np.where(most < 3.4e38, cut + 2 * error + most * 2.0**-22 + 1e-44, np.inf)
+            picked, near = [], []
+            for i, q in enumerate(wide):
+                at = np.flatnonzero(~(rough[i] > cut[i]))
+                d = ((x[at] - q) ** 2).sum(1).astype(np.float32)
+                best = np.lexsort((place[at], d))[:m]
+                picked.append(at[best])
+                near.append(d[best])
+            owner, at, d = np.repeat(np.arange(len(matrix)), m), np.concatenate(picked), np.concatenate(near)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), b.column(0).take(pa.array(at)), pa.array(d)], ["query_id", "id", "distance"])
 
     df = chunks if filters is None else chunks.filter(filters)

@@ -82,6 +82,27 @@ def test_vectors(spark):
     assert vector.search_vector(df, x[7].tolist(), 0).count() == 0
 
 
+def test_vectors_ties_at_the_last_place(spark):
+    """Equal vectors, and distances equal only as float32: the smaller ids are in, as the single search orders them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 8)).astype(np.float32)
+    x[100:1600] = 0.01
+    x[1600:1800] = 3.0
+    x[1600:1800, 0] += np.arange(200)[::-1].astype(np.float32) * np.float32(2e-7)
+    ids = rng.permutation(2000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id int, vector array<float>").coalesce(1)
+    asked = {1: [0.0] * 8, 2: [3.0] * 8, 3: x[5].tolist()}
+    q = spark.createDataFrame(list(asked.items()), "query_id int, vector array<float>")
+    got = {}
+    for r in vector.search_vectors(df, q, 8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for key, v in asked.items():
+        d = ((x.astype(np.float64) - np.array(v, np.float32)) ** 2).sum(1).astype(np.float32)
+        assert got[key] == [int(i) for _, i in sorted(zip(d.tolist(), ids))[:8]]
+    names = df.withColumn("id", F.format_string("%05d", "id"))
+    assert [int(r.id) for r in vector.search_vectors(names, q.filter("query_id = 1"), 8).orderBy("rank").collect()] == got[1]
+
+
 def test_rrf(spark):
     s = spark.createDataFrame([(1, "shared", 0.1, 1), (1, "sem", 0.2, 2)], "query_id int, id string, distance double, rank int")
     k = spark.createDataFrame([(1, "shared", 9.0, 1), (1, "kw", 5.0, 2)], "query_id int, id string, score double, rank int")
