@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,28 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@contextmanager
+def conf(spark: SparkSession, **values: str):
+    """Settings of the session for as long as the block runs; ``__`` in a name stands for a dot."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of few rows, for stages whose rows are wide."""
+    return conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,11 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a qualified URI.
 
     It is ``spark.checkpoint.dir`` of the session; only where that is unset (tests on one machine)
-    is a folder under /tmp/checkpoints chosen and set.
+    is a folder under /tmp/checkpoints chosen and set; a cluster without it is an error.
     """
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not top:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(f"/tmp/checkpoints/quarry-{uuid.uuid4().hex}")
         top = sc.getCheckpointDir()
     path = spark._jvm.org.apache.hadoop.fs.Path(top)

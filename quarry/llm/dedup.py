@@ -14,12 +14,10 @@ are kept by :func:`exact_dedup` whatever their names.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, choose_places, located, new_path, only, staged, table
+from quarry.llm.common import SPACE, choose_places, conf, located, new_path, only, staged, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,22 +26,6 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
 
 
-@contextmanager
-def _conf(spark: SparkSession, **values: str):
-    keys = {k.replace("__", "."): v for k, v in values.items()}
-    old = {k: spark.conf.get(k, None) for k in keys}
-    try:
-        for k, v in keys.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def records(docs: DataFrame, digest_bytes: int = 32) -> tuple[DataFrame, DataFrame, list[str]]:
     """(rows with locator, light records (digest, sha, chars, id, at, row), names of the locator's columns)."""
     rows, at = located(docs)
@@ -72,7 +54,7 @@ def keyed_state(log: DataFrame, log_path: str, state_path: str | None = None, fi
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true", spark__sql__streaming__stateStore__unloadOnCommit="true"):
+    with conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true", spark__sql__streaming__stateStore__unloadOnCommit="true"):
         grouped.writeStream.outputMode("update").option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     made = spark._jvm.org.apache.hadoop.fs.Path(out)
     if not made.getFileSystem(spark._jsc.hadoopConfiguration()).exists(made):

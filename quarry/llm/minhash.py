@@ -15,6 +15,8 @@ Candidates come in two steps, neither of which writes out all pairs of a long li
 The union's sketch estimates the similarity of candidates; what may reach the threshold is verified on the full sets, and
 components of the verified links give the groups.
 
+Full sets are made in slices of a batch; no dictionary of words is kept.
+
 Defined results: a null text or one without words has an empty set and is linked with nothing; fewer words than a shingle
 make the whole sequence one shingle; rows with a null doc_id are linked with nothing and kept; rows that repeat a
 doc_id count as documents that share an id; an empty table gives an empty result; extra columns are kept by
@@ -33,13 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import choose_places, components, located, only, staged, table
+from quarry.llm.common import choose_places, components, located, only, small_batches, staged, table
+from quarry.llm.hashing import binaries, shingles, slices
 
-WORDS, SKETCH, INDEX, SHORT, BLOCK = 5, 64, 16, 24, 4096
+WORDS, SKETCH, INDEX, SHORT, BLOCK_HASHES = 5, 64, 16, 24, 1 << 19
 #: Similarity threshold of operator 7 as hundredths; the chance with which pruning or the estimate may miss a pair at a threshold.
 PERCENT, MISSED = 85, 1e-8
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
 def _least(percent: int, size: int) -> int:
@@ -52,56 +53,16 @@ def _least(percent: int, size: int) -> int:
     return size
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads every input bit over the 64 output bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles; word hashes are kept between texts (a bounded cache)."""
-
-    def __init__(self, words: int = WORDS, most_kept: int = 1_000_000):
-        self.words, self.most, self.kept = words, most_kept, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        w = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-        if not w:
-            return np.empty(0, dtype=np.uint64)
-        if len(w) < self.words:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], dtype=np.uint64)
-        kept = self.kept
-        try:
-            ids = [kept[x] for x in w]
-        except KeyError:
-            if len(kept) > self.most:
-                kept.clear()
-            for x in w:
-                if x not in kept:
-                    kept[x] = xxhash.xxh3_64_intdigest(x)
-            ids = [kept[x] for x in w]
-        h = np.array(ids, dtype=np.uint64)
-        n = len(h) - self.words + 1
-        total = np.zeros(n, dtype=np.uint64)
-        for k in range(self.words):
-            total = _mix(total * _ODD[k % 5] + h[k : k + n])
-        return np.unique(total)
-
-
 def document_sketches(docs: DataFrame, words: int = WORDS, sketch: int = SKETCH) -> DataFrame:
     """(id, at, row, n, sig binary, sketch binary): sig identifies the set, sketch holds its smallest values."""
 
     def run(batches):
-        shingle = Shingler(words)
-        for b in batches:
-            n, sig, low = [], [], []
-            for t in b.column(3).to_pylist():
-                s = shingle(t)
-                n.append(len(s))
-                sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-                low.append(s[:sketch].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], ["id", "at", "row", "n", "sig", "sketch"])
+        for part in (p for b in batches for p in slices(b)):
+            sets = shingles(binaries(part.column(3)), words)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            sig = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            low = pa.array([s[:sketch].tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], n, sig, low], ["id", "at", "row", "n", "sig", "sketch"])
 
     return docs.mapInArrow(run, "id long, at string, row long, n long, sig binary, sketch binary")
 
@@ -148,44 +109,51 @@ def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return float(np.isin(union, both, assume_unique=True).mean()) if len(union) else 0.0
 
 
+def _pairs_where(test):
+    """mapInArrow over (a, b, bytes of a, bytes of b): the pairs for which ``test`` of both arrays holds."""
+
+    def run(batches):
+        for part in (p for b in batches for p in slices(b, 256)):
+            both = zip(part.column(2), part.column(3), strict=True)
+            keep = [test(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in both]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, bytes of a, bytes of b) from ``sets`` (cid, bytes)."""
+    one, two = (sets.toDF(*x) for x in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, sketch: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    sk = classes.select("cid", "sketch")
     least = _least(percent, sketch) / sketch
 
-    def sift(batches):
-        for b in batches:
-            keep = [_estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), sketch) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def similar(x, y):
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
-    both = pairs.join(sk.withColumnsRenamed({"cid": "a", "sketch": "s_a"}), "a").join(sk.withColumnsRenamed({"cid": "b", "sketch": "s_b"}), "b").select("a", "b", "s_a", "s_b")
-    likely = staged(both.mapInArrow(sift, "a long, b long"), "near-likely")
+    sift, check = _pairs_where(lambda x, y: _estimate(x, y, sketch) >= least), _pairs_where(similar)
+    likely = staged(_beside(pairs, classes.select("cid", "sketch")).mapInArrow(sift, "a long, b long"), "near-likely")
     full = _full_sets(likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))), classes, docs, words)
-
-    def check(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    whole = likely.join(full.withColumnsRenamed({"cid": "a", "full": "f_a"}), "a").join(full.withColumnsRenamed({"cid": "b", "full": "f_b"}), "b").select("a", "b", "f_a", "f_b")
-    return staged(whole.mapInArrow(check, "a long, b long"), "near-links")
+    with small_batches(docs.sparkSession):
+        return staged(_beside(likely, full).mapInArrow(check, "a long, b long"), "near-links")
 
 
 def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(cid, full binary) for the given classes: their sorted shingle hashes, from one text of each."""
     used = staged(cids.distinct().join(classes.select("cid", "at", "row"), "cid"), "near-used")
+    picked = choose_places(texts.select("at", "row", "text"), ["at", "row"], used, keep=True)
 
     def sets(batches):
-        shingle = Shingler(words)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["cid", "full"])
+        for part in (p for b in batches for p in slices(b, 256)):
+            full = [s.tobytes() for s in shingles(binaries(part.column(1)), words)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(full, pa.binary())], ["cid", "full"])
 
-    picked = choose_places(texts.select("at", "row", "text"), ["at", "row"], used, keep=True)
-    return staged(picked.join(used, ["at", "row"]).select("cid", "text").mapInArrow(sets, "cid long, full binary"), "near-sets")
+    with small_batches(texts.sparkSession):
+        return staged(picked.join(used, ["at", "row"]).select("cid", "text").mapInArrow(sets, "cid long, full binary"), "near-sets")
 
 
 def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: DataFrame, words: int, index: int, percent: int) -> DataFrame:
@@ -196,7 +164,7 @@ def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: D
     below the threshold; the others are compared on their full sets.  A pair is compared only in
     the list of the smallest value that both have, and only links are written.
     """
-    blocks = F.ceil(F.col("hashes") / (BLOCK * 256)).cast("long")
+    blocks = F.ceil(F.col("hashes") / BLOCK_HASHES).cast("long")
     rows = lists.join(main.withColumn("blocks", blocks), "val")
     rows = rows.join(_full_sets(rows.select("cid"), classes, texts, words), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
@@ -243,7 +211,8 @@ def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: D
         x = np.array(sorted(got), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
-    return staged(rows.groupBy("val", "m", "k").applyInArrow(run, "a long, b long").distinct(), "near-block-links")
+    with small_batches(texts.sparkSession):
+        return staged(rows.groupBy("val", "m", "k").applyInArrow(run, "a long, b long").distinct(), "near-block-links")
 
 
 def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, index: int = INDEX, short: int = SHORT, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
