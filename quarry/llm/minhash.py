@@ -219,6 +219,12 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, in
     """(rows with locator, groups, locator names); groups: id, at, row, n, sig, component_id for every row of ``docs``;
     documents are linked at a similarity of ``percent`` hundredths or more."""
     rows, at = located(docs)
+    with small_batches(docs.sparkSession, 2000):
+        return rows, _grouped(rows, at, words, sketch, index, short, percent), at
+
+
+def _grouped(rows: DataFrame, at: list[str], words: int, sketch: int, index: int, short: int, percent: int) -> DataFrame:
+    """The groups, staged but for a last join of light rows."""
     texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), "text")
     all_docs = staged(document_sketches(texts, words, sketch), "near-sketches", compression="zstd")
     known = all_docs.filter("n > 0 and id is not null")
@@ -250,7 +256,7 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, in
         roots = components(links.unionByName(more), "near-roots")
     group = classes.select("sig", "cid").join(roots.withColumnRenamed("v", "cid"), "cid", "left").select("sig", F.coalesce("root", "cid").alias("root"))
     out = all_docs.select("id", "at", "row", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("sig")).alias("sig")).join(group, "sig", "left")
-    return rows, out.select("id", "at", "row", "n", "sig", F.coalesce("root", "id").alias("component_id")), at
+    return out.select("id", "at", "row", "n", "sig", F.coalesce("root", "id").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:

@@ -1,40 +1,124 @@
-"""Suffix arrays by induced sorting, on numpy arrays.
+"""Suffix arrays of many strings at once, by induced sorting on numpy arrays.
 
 Suffixes are classified as larger (L) or smaller (S) than the next; leftmost-smaller (LMS) substrings are sorted by
-induction and named; the string of names is sorted recursively; its order induces the order of all suffixes.  Induction
-runs bucket by bucket: entries of one bucket are taken as one array, their left neighbours are dealt to the buckets of
-their symbols in the same order as the sequential scan would, and neighbours in the same bucket form the next array.
-Each array costs a few numpy calls, so recursion goes on while the names are few (``_FEW``); a string with
-more names than that, where most arrays would hold one entry, is sorted by doubling of names.
+induction and named; strings whose names repeat are sorted recursively as strings of names; the order of the LMS suffixes
+then induces the order of all suffixes.  Every level works this way, whatever the number of symbols or names.
+
+Induction is one scan over each string's suffix array, in which each entry depends on those before.  So the strings are
+scanned side by side: step t takes the t-th entry of all strings that are long enough, as one array.  Where only a
+few strings are left, as for one very long one, the same scan runs over plain lists.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_FEW = 2048
-
-
-def _by_doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling of names; s ends with its unique smallest symbol."""
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    h = 1
-    while True:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = new
-        if rank[order[-1]] == n - 1:
-            return order
-        h *= 2
+#: Below this number of strings, steps of arrays cost more than steps of single entries.
+FEW = 12
+
+
+class _Strings:
+    """Symbols of strings one after the other; each ends with its only 0."""
+
+    def __init__(self, s: np.ndarray, lens: np.ndarray):
+        self.s, self.lens = s, lens
+        self.end = np.cumsum(lens)
+        self.start = self.end - lens
+        self.owner = np.repeat(np.arange(len(lens)), lens)
+        self.small = _types(s)
+        self.is_lms = np.zeros(len(s), dtype=bool)
+        self.is_lms[1:] = self.small[1:] & ~self.small[:-1]
+        # A bucket for each symbol of each string; positions of buckets are places in the common suffix array.
+        sigma = np.maximum.reduceat(s, self.start) + 1
+        self.bucket = (np.cumsum(sigma) - sigma)[self.owner] + s
+        self.tail = np.cumsum(np.bincount(self.bucket, minlength=int(sigma.sum())))
+        self.head = np.concatenate([[0], self.tail[:-1]])
+        # Whether a suffix is taken when the one behind it is met; two more entries for places before the first string.
+        self.larger, self.smaller = np.zeros(len(s) + 2, dtype=bool), np.zeros(len(s) + 2, dtype=bool)
+        self.larger[:-2], self.smaller[:-2] = ~self.small, self.small
+        self.smaller[self.end - 1] = False
+        by_length = np.argsort(-lens, kind="stable")
+        self.first, self.last = self.start[by_length], self.end[by_length] - 1
+        self.longer = len(lens) - np.searchsorted(np.sort(lens), np.arange(int(lens.max())), side="right")
+
+    def induce(self, lms: np.ndarray) -> np.ndarray:
+        """Order of all suffixes from LMS positions, of which those of one bucket come in order."""
+        sa = np.full(len(self.s), -1, dtype=np.int64)
+        b = self.bucket[lms]
+        order = np.argsort(b, kind="stable")
+        b = b[order]
+        upto = np.cumsum(np.bincount(b, minlength=len(self.tail)))
+        sa[self.tail[b] - upto[b] + np.arange(len(b))] = lms[order]
+        if len(self.lens) < FEW:
+            return self._scan_lists(sa)
+        head, tail = self.head.copy(), self.tail.copy()
+        for t, m in enumerate(self.longer.tolist()):
+            j = sa[self.first[:m] + t] - 1
+            j = j[self.larger[j]]
+            b = self.bucket[j]
+            p = head[b]
+            sa[p] = j
+            head[b] = p + 1
+        for t, m in enumerate(self.longer.tolist()):
+            j = sa[self.last[:m] - t] - 1
+            j = j[self.smaller[j]]
+            b = self.bucket[j]
+            p = tail[b] - 1
+            sa[p] = j
+            tail[b] = p
+        return sa
+
+    def _scan_lists(self, sa: np.ndarray) -> np.ndarray:
+        """Both scans, entry by entry."""
+        out, bucket, head, tail = sa.tolist(), self.bucket.tolist(), self.head.tolist(), self.tail.tolist()
+        larger, smaller = self.larger.tolist(), self.smaller.tolist()
+        for i in range(len(out)):
+            j = out[i] - 1
+            if larger[j]:
+                b = bucket[j]
+                out[head[b]] = j
+                head[b] += 1
+        for i in range(len(out) - 1, -1, -1):
+            j = out[i] - 1
+            if smaller[j]:
+                b = bucket[j]
+                tail[b] -= 1
+                out[tail[b]] = j
+        return np.array(out, dtype=np.int64)
+
+    def sorted_lms(self) -> np.ndarray:
+        """LMS suffixes of each string in order, string after string."""
+        lms = np.flatnonzero(self.is_lms)
+        order = self.induce(lms)
+        order = order[self.is_lms[order]]
+        length = np.zeros(len(self.s), dtype=np.int64)
+        length[lms[:-1]] = np.diff(lms)
+        length[self.end - 1] = 0
+        a, b = order[:-1], order[1:]
+        same = (length[a] == length[b]) & (length[a] > 0) & (self.owner[a] == self.owner[b])
+        live, k = np.flatnonzero(same), 0
+        while len(live):
+            differ = self.s[a[live] + k] != self.s[b[live] + k]
+            same[live[differ]] = False
+            live = live[~differ]
+            live = live[length[a[live]] > k]
+            k += 1
+        own = self.owner[order]
+        names = np.concatenate([[0], np.cumsum(~same)])
+        count = np.bincount(own, minlength=len(self.lens))
+        opening = np.cumsum(count) - count
+        names -= np.repeat(names[opening], count)
+        again = names[np.cumsum(count) - 1] + 1 < count  # strings in which a name repeats
+        if again.any():
+            name = np.empty(len(self.s), dtype=np.int64)
+            name[order] = names
+            part = lms[again[self.owner[lms]]]
+            order[again[own]] = part[suffix_arrays(name[part], count[again])]
+        return order
 
 
 def _types(s: np.ndarray) -> np.ndarray:
-    """True where the suffix is smaller than the next one; the last is S."""
+    """True where the suffix is smaller than the next one; the 0 that ends a string is."""
     n = len(s)
     diff = np.empty(n, dtype=bool)
     diff[:-1] = s[:-1] != s[1:]
@@ -47,94 +131,13 @@ def _types(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(parts: list[list[np.ndarray]], s: np.ndarray, j: np.ndarray, own: int) -> np.ndarray:
-    """Append positions to the buckets of their symbols, in order; those of bucket ``own`` come back as well."""
-    c = s[j]
-    order = np.argsort(c, kind="stable")
-    j, c = j[order], c[order]
-    cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    mine = j[:0]
-    for a, b in zip(cuts, np.append(cuts[1:], len(j)), strict=True):
-        parts[c[a]].append(j[a:b])
-        if c[a] == own:
-            mine = j[a:b]
-    return mine
-
+def suffix_arrays(s: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Suffixes (places in ``s``) of each string in order, string after string.
 
-def _join(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-
-
-def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """Order of all suffixes from LMS positions in the given order."""
-    n = len(s)
-    seeds: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    _deal(seeds, s, lms, -1)
-    larger: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    for c in range(sigma):
-        queue = _join(larger[c])
-        while len(queue):
-            j = queue[queue > 0] - 1
-            j = j[~small[j]]
-            queue = _deal(larger, s, j, c) if len(j) else j
-        queue = _join(seeds[c])
-        j = queue[queue > 0] - 1
-        j = j[~small[j]]
-        if len(j):
-            _deal(larger, s, j, -1)
-    smaller: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    smaller[s[n - 1]].append(np.array([n - 1]))
-    out: list[np.ndarray] = [None] * sigma
-    for c in range(sigma - 1, -1, -1):
-        queue = _join(smaller[c])
-        if len(queue) == 1 and queue[0] == n - 1 and c == s[n - 1]:
-            queue = queue[:0]
-        while len(queue):
-            j = queue[queue > 0] - 1
-            j = j[small[j]]
-            queue = _deal(smaller, s, j, c) if len(j) else j
-        big = _join(larger[c])
-        j = big[::-1]
-        j = j[j > 0] - 1
-        j = j[small[j]]
-        if len(j):
-            _deal(smaller, s, j, -1)
-        out[c] = np.concatenate([big, _join(smaller[c])[::-1]])
-        larger[c] = smaller[c] = []
-    return np.concatenate(out)
-
-
-def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array of symbols 0..sigma-1; the last symbol must be its only 0."""
-    n = len(s)
-    if n < 3 or sigma > _FEW:
-        return _by_doubling(s)
-    small = _types(s)
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[1:] = small[1:] & ~small[:-1]
-    lms = np.flatnonzero(is_lms)
-    if len(lms) < 2:
-        return _induce(s, small, lms, sigma)
-    length = np.zeros(n, dtype=np.int64)
-    length[lms[:-1]] = np.diff(lms)
-    order = _induce(s, small, lms, sigma)
-    order = order[is_lms[order]]
-    a, b = order[:-1], order[1:]
-    same = length[a] == length[b]
-    same &= (a != n - 1) & (b != n - 1)
-    live, k = np.flatnonzero(same), 0
-    while len(live):
-        differ = s[a[live] + k] != s[b[live] + k]
-        same[live[differ]] = False
-        live = live[~differ]
-        live = live[length[a[live]] > k]
-        k += 1
-    names = np.concatenate([[0], np.cumsum(~same)])
-    if names[-1] + 1 == len(lms):
-        return _induce(s, small, order, sigma)
-    reduced = np.empty(n, dtype=np.int64)
-    reduced[order] = names
-    return _induce(s, small, lms[suffix_array(reduced[lms], int(names[-1]) + 1)], sigma)
+    ``s`` holds strings of ``lens`` symbols, two at least, one after the other; the last symbol of each is its only 0.
+    """
+    x = _Strings(np.asarray(s, dtype=np.int64), np.asarray(lens, dtype=np.int64))
+    return x.induce(x.sorted_lms())
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
