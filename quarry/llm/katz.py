@@ -1,21 +1,27 @@
-"""Language-model scores by a Katz backoff bigram model (operator 10).
-
-Texts become units of about two million tokens: a sorted vocabulary of 64-bit word hashes and token numbers into it.
-Each stage is one exchange by hash bucket: units send the distinct words or word pairs of each bucket with their
-training counts, a bucket adds the counts of all units, and sends the totals back in the order they were asked in.
-Replies go to one file per unit in the shared folder, so the units themselves are never shuffled.  So a frequent word or pair travels once per unit, contexts with very many continuations are split over several
-buckets, and no task holds more than one unit or bucket.  Everything is staged in the shared folder:
-
-* unigram counts and pair counts by bucket, and per context its total, its counts of counts and its mass below;
-* Good-Turing discounts from the counts of counts (k = 5), for words and for pairs;
-* backoff weights that make each context's distribution sum to one exactly:
-  P(w | v) = d(c) c / c(v) for pairs seen in training, else alpha(v) P(w), and alpha(v) = what v's discounted pairs
-  leave over, divided by the P of the words not seen after v.  P(w) itself is discounted and leaves the rest to the
-  unknown word.
+"""Language-model scores by a Katz backoff model (operator 10).
+
+P(w | h) = d(c) c(hw) / c(h) for n-grams seen in training, else alpha(h) P(w | h without its first word): the recursion runs
+from the highest order (a parameter) down to single words, token by token.  d are Good-Turing discounts (k = 5, from
+the counts of counts of each order; counts above k keep all but TAIL of one count, so every context leaves mass),
+and alpha(h) = what the discounted n-grams after h leave over, divided by the P(w | shorter h) of the words not seen after
+h, so each context's distribution sums to one.  Single words are discounted as well, for the unknown word.
+
+Texts become units of about a million tokens: a sorted vocabulary of 64-bit word hashes and token numbers into it.
+Counts are tables by order and hash bucket.  For each order, units send the distinct n-grams of each bucket with their
+training counts; the bucket adds them up and replies with the totals, with which unit is the first of those that have
+the n-gram in training, and whether a held-out text has it.  What the order below tells is not asked: an n-gram with an
+unseen part is unseen, and one with a part that occurs once, and in no held-out text, occurs once.
+For the backoff weights, the first unit of each n-gram adds its discounted mass and its probability at the order below to
+its context, units send these sums by context (only of contexts that held-out texts have: training texts never back
+off), and get back the weights of the contexts they need.
+
+So a frequent n-gram or context travels once per unit, no task holds more than one unit or bucket, and the units themselves
+are never shuffled: replies go to one file per unit in the shared folder.
 
 Defined results: a null or empty text is the end token alone; a null doc_id counts as an empty string for the
 fold; an empty table gives an empty result; without training tokens every token has probability 1;
-rows that repeat a doc_id are scored each; extra columns are ignored.
+rows that repeat a doc_id, or a text, are scored each; a text of any length is scored whole, within one unit;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,18 +31,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import make_dir, new_path, release, staged, table
+from quarry.llm.common import make_dir, new_path, release, small_batches, staged, table
+from quarry.llm.hashing import ODD, binaries, mix, slices, word_hashes
 
-UNIT_TOKENS, BUCKET_TOKENS, SPLIT, K = 2_000_000, 4_000_000, 1_000_000, 5
+ORDER, UNIT_TOKENS, BUCKET_TOKENS, K, TAIL = 3, 1_000_000, 2_000_000, 5, 0.01
 FOLDS, HELD_OUT = 5, 1
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Neither is the hash of a word in any likely text; the end is a token, the start only a context.
 END, START = np.uint64(0xE4D0_0000_0000_0001), np.uint64(0x57A7_0000_0000_0001)
 
@@ -63,16 +69,6 @@ def _rising(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _pair(ctx: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _mix(_mix(ctx * np.uint64(0x9E3779B97F4A7C15)) + w)
-
-
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """Equal ranges of the hash space, so a sorted array falls into runs."""
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -83,50 +79,58 @@ def fold(doc_id) -> int:
 
 
 def units_of(docs: DataFrame, unit_tokens: int) -> DataFrame:
-    """(unit, ids, lens, vocab, tokens): lens counts each text's tokens, tokens are numbers into vocab."""
+    """(unit, n, ids, lens, vocab, tokens): lens counts each text's tokens and its start, tokens are numbers into vocab."""
 
     def pack(number, ids, lens, words):
-        """words: 64-bit hash per token."""
         vocab, tokens = np.unique(np.concatenate(words), return_inverse=True)
         unit = TaskContext.get().partitionId() * 2**24 + number
-        cols = [pa.array([unit]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(lens, np.int32).tobytes()]), pa.array([_zip(_rising(vocab))]), pa.array([_zip(tokens.astype(np.int32))])]
-        return pa.RecordBatch.from_arrays(cols, ["unit", "ids", "lens", "vocab", "tokens"])
+        data = (np.concatenate(lens).astype(np.int32).tobytes(), _zip(_rising(vocab)), _zip(tokens.astype(np.int32)))
+        cols = [pa.array([unit]), pa.array([len(tokens)]), pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in data)]
+        return pa.RecordBatch.from_arrays(cols, ["unit", "n", "ids", "lens", "vocab", "tokens"])
 
     def run(batches):
-        kept: dict[bytes, int] = {}
         number, size, ids, lens, words = 0, 0, [], [], []
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = (t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                if len(kept) > 1_000_000:
-                    kept.clear()
-                try:
-                    h = [kept[x] for x in w]
-                except KeyError:
-                    for x in w:
-                        if x not in kept:
-                            kept[x] = xxhash.xxh3_64_intdigest(x)
-                    h = [kept[x] for x in w]
-                ids.append(i)
-                lens.append(len(h) + 1)
-                words.append(np.append(np.array(h, dtype=np.uint64), END))
-                size += len(h) + 1
-                if size >= unit_tokens:
-                    yield pack(number, ids, lens, words)
-                    number, size, ids, lens, words = number + 1, 0, [], [], []
+        for part in (p for b in batches for p in slices(b, 128)):
+            h, counts = word_hashes(binaries(part.column(1)))
+            whole = np.empty(len(h) + 2 * len(counts), dtype=np.uint64)
+            last = np.cumsum(counts + 2) - 1
+            own = np.ones(len(whole), dtype=bool)
+            for at, x in ((last, END), (last - counts - 1, START)):
+                whole[at], own[at] = x, False
+            whole[own] = h
+            ids += part.column(0).to_pylist()
+            lens.append(counts + 2)
+            words.append(whole)
+            size += len(whole)
+            if size >= unit_tokens:
+                yield pack(number, ids, lens, words)
+                number, size, ids, lens, words = number + 1, 0, [], [], []
         if ids:
             yield pack(number, ids, lens, words)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "unit long, ids array<long>, lens binary, vocab binary, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "unit long, n long, ids array<long>, lens binary, vocab binary, tokens binary")
+
+
+class Level:
+    """The n-grams of one order in a unit: per token the n-gram that ends there (``at``, -1: none), and per n-gram, in
+    the order of hashes, its hash, a token where it ends, its training count in the unit, whether a held-out text has it
+    (``held``), and what the buckets tell: ``count`` in all training texts, ``first`` (this unit speaks for it), ``held``."""
+
+    def __init__(self, hashes, at, ends, trained, held):
+        self.hashes, self.at, self.ends, self.trained, self.held = hashes, at, ends, trained, held
+        self.asked = self.pre = self.suf = self.count = self.first = None
 
 
 class Unit:
     def __init__(self, ids: list, lens: bytes, vocab: bytes, tokens: bytes):
         self.ids, self.lens = ids, np.frombuffer(lens, np.int32)
-        self.vocab, self.tokens = np.cumsum(_unzip(vocab, (np.uint64, -1))[0], dtype=np.uint64), _unzip(tokens, (np.int32, -1))[0].astype(np.int64)
-        self.owner = np.repeat(np.arange(len(ids)), self.lens)
+        vocab, self.tokens = np.cumsum(_unzip(vocab, (np.uint64, -1))[0], dtype=np.uint64), _unzip(tokens, (np.int32, -1))[0]
+        self.owner = np.repeat(np.arange(len(ids), dtype=np.int32), self.lens)
+        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
         self.held = np.array([fold(i) == HELD_OUT for i in ids], dtype=bool)
         self.trains = ~self.held[self.owner]
+        self.levels = [self._level(vocab, np.arange(len(self.tokens)), self.tokens, None)]
+        self.levels[0].asked = np.ones(len(vocab), dtype=bool)
 
     @classmethod
     def each(cls, batches):
@@ -135,26 +139,42 @@ class Unit:
             for i in range(b.num_rows):
                 yield b["unit"][i].as_py(), cls(*(b[c][i].as_py() for c in ("ids", "lens", "vocab", "tokens")))
 
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.trains], minlength=len(self.vocab)).astype(np.int64)
-
-    def pairs(self, counts: np.ndarray, starts: int, buckets: int):
-        """Distinct (context, word) pairs, ordered by bucket: context and word numbers (the start is len(vocab)), training
-        counts, buckets, and each token's place among the pairs.  ``counts`` are the words' totals."""
-        n = len(self.vocab)
-        ctx = np.empty(len(self.tokens), dtype=np.int64)
-        ctx[1:] = self.tokens[:-1]
-        ctx[np.cumsum(self.lens) - self.lens] = n
-        key, at = np.unique(ctx * n + self.tokens, return_inverse=True)
-        trained = np.bincount(at[self.trains], minlength=len(key)).astype(np.int32)
-        c, w = key // n, key % n
-        hashes = np.append(self.vocab, START)
-        parts = (np.append(counts, starts) // SPLIT + 1).astype(np.uint64)
-        b = _bucket(_mix(hashes[c] + (self.vocab[w] % parts[c]) * np.uint64(0xD6E8FEB86659FD93)), buckets)
-        order = np.argsort(b, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        return c[order], w[order], trained[order], b[order].astype(np.int64), place[at]
+    def _level(self, hashes, where, inverse, ends) -> Level:
+        n, trains = len(hashes), self.trains[where]
+        at = np.full(len(self.tokens), -1, dtype=np.int32)
+        at[where] = inverse
+        return Level(hashes, at, ends, np.bincount(inverse[trains], minlength=n), np.bincount(inverse[~trains], minlength=n) > 0)
+
+    def grow(self) -> Level:
+        """The next order; the one below must be settled."""
+        below, words = self.levels[-1], self.levels[0]
+        where = np.flatnonzero(self.place >= len(self.levels))
+        h = mix(below.hashes[below.at[where - 1]] * ODD[0] + words.hashes[self.tokens[where]])
+        hashes, ends, inverse = np.unique(h, return_index=True, return_inverse=True)
+        x = self._level(hashes, where, inverse, where[ends])
+        x.pre, x.suf = below.at[x.ends - 1], below.at[x.ends]
+        parts = [(below.count[p], below.held[p]) for p in (x.pre, x.suf)]
+        known = np.zeros(len(hashes), dtype=bool)
+        for count, held in parts:
+            known |= (count == 0) | ((count == 1) & ~held)
+        x.asked = ~known
+        self.levels.append(x)
+        return x
+
+    def settle(self, told: tuple[np.ndarray, np.ndarray]) -> None:
+        """Counts and flags of the highest order: as told for those asked, else known from the order below."""
+        x, (count, flags) = self.levels[-1], told
+        x.count, x.first = np.minimum(x.trained, 1), x.trained > 0
+        x.count[x.asked], x.first[x.asked] = count, flags & 1 > 0
+        x.held &= x.asked
+        x.held[x.asked] = flags & 2 > 0
+
+    def settled(self, store, top: str, unit: int, orders: int) -> Unit:
+        for k in range(1, orders + 1):
+            if k > 1:
+                self.grow()
+            self.settle(_load(store, f"{top}/c{k}-{unit}", np.int64, np.uint8))
+        return self
 
 
 def discounts(n: dict[int, int], k: int = K) -> np.ndarray:
@@ -188,10 +208,14 @@ class Words:
         return np.where(c > 0, self.scale * self.d[np.minimum(c, K) * (c <= K)] ** (c <= K) * c / self.total, self.unknown)
 
 
-def _sum_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype=np.int64)
-    np.add.at(out, at, values)
-    return out
+class Counts:
+    """Discounted probabilities of seen n-grams of one order above the first."""
+
+    def __init__(self, n: dict[int, int]):
+        self.d = discounts(n)
+
+    def kept(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c <= K, self.d[np.minimum(c, K)], 1 - TAIL / np.maximum(c, 1))
 
 
 def _cuts(b: np.ndarray, buckets: int):
@@ -201,194 +225,230 @@ def _cuts(b: np.ndarray, buckets: int):
 
 
 def _save(replies: DataFrame, root: str, name: str) -> None:
-    """One file per unit: its replies (unit, bucket, data) in the order of buckets."""
+    """One file per unit: its replies (unit, order, bucket, data) by order and bucket."""
 
     def write(key, t):
         store, top = fs.FileSystem.from_uri(root)
-        rows = sorted(zip(t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True))
+        rows = sorted(zip(t["order"].to_pylist(), t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True))
         part = f"{top}/{uuid.uuid4().hex}.part"
         with store.open_output_stream(part, compression=None) as f:
-            for _, d in rows:
+            for *_, d in rows:
                 f.write(len(d).to_bytes(8, "little") + d)
         store.move(part, f"{top}/{name}-{key[0].as_py()}")
         return pa.table({"unit": [key[0].as_py()]})
 
-    staged(replies.select("unit", "bucket", "data").groupBy("unit").applyInArrow(write, "unit long"), "katz-saved")
+    staged(replies.select("unit", "order", "bucket", "data").groupBy("unit").applyInArrow(write, "unit long"), "katz-saved")
     release(replies.sparkSession)
 
 
-def _load(store, top: str, name: str, unit: int, kind) -> np.ndarray:
-    data, at, out = store.open_input_file(f"{top}/{name}-{unit}").read(), 0, []
+def _load(store, path: str, *kinds) -> tuple[np.ndarray, ...]:
+    """Arrays of a unit's replies; a unit that asked nothing has no file, any other missing one shows as a wrong length."""
+    data = b""
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        with store.open_input_file(path) as f:
+            data = f.read()
+    at, out = 0, [[np.empty(0, k)] for k in kinds]
     while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(_unzip(data[at + 8 : at + 8 + n], (kind, -1))[0])
+        n, rows = int.from_bytes(data[at : at + 8], "little"), int.from_bytes(data[at + 8 : at + 16], "little")
+        for held, x in zip(out, _unzip(data[at + 16 : at + 8 + n], *((k, rows) for k in kinds)), strict=True):
+            held.append(x)
         at += 8 + n
-    return np.concatenate(out)
+    return tuple(map(np.concatenate, out))
 
 
-def katz_scores(docs: DataFrame, *, unit_tokens: int = UNIT_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def _pack(*arrays: np.ndarray) -> bytes:
+    return len(arrays[0]).to_bytes(8, "little") + _zip(*arrays)
+
+
+def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    return _unzip(data[8:], *((k, n) for k in kinds))
+
+
+def katz_scores(docs: DataFrame, *, order: int = ORDER, unit_tokens: int = UNIT_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    units = staged(units_of(docs, unit_tokens), "katz-units", compression="none")
-    n_units = units.count()
+    with small_batches(spark, 2000):
+        units = staged(units_of(docs, unit_tokens), "katz-units", compression="none")
+    tokens = units.agg(F.sum("n")).first()[0]
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    if not n_units:
+    if not tokens:
         return spark.createDataFrame([], out_schema)
     root = new_path(spark, "katz-replies")
     make_dir(spark, root)
-    buckets = max(12, -(-n_units * unit_tokens // bucket_tokens))
-
-    def ask_words(batches):
-        for unit, u in Unit.each(batches):
-            counts, starts = u.word_counts(), int((~u.held).sum())
-            runs = _cuts(_bucket(u.vocab, buckets).astype(np.int64), buckets)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in runs]), pa.array([unit] * len(runs)), pa.array([_zip(_rising(u.vocab[a:z])) for _, a, z in runs], pa.binary()), pa.array([_zip(counts[a:z]) for _, a, z in runs], pa.binary()), pa.array([starts] + [0] * (len(runs) - 1))], ["bucket", "unit", "words", "counts", "starts"])
-
-    asked = staged(units.mapInArrow(ask_words, "bucket long, unit long, words binary, counts binary, starts long"), "katz-words", compression="none")
-    hashes_of = lambda x: np.cumsum(_unzip(x, (np.uint64, -1))[0], dtype=np.uint64)
-
-    def add_words(key, t):
-        words = [hashes_of(x) for x in t["words"].to_pylist()]
-        uniq, at = np.unique(np.concatenate(words), return_inverse=True)
-        total = _sum_by(at, np.concatenate([_unzip(x, (np.int64, -1))[0] for x in t["counts"].to_pylist()]), len(uniq))
-        ends = np.cumsum([len(x) for x in words])
-        data = [_zip(total[at[e - len(w) : e]]) for w, e in zip(words, ends, strict=True)]
-        seen = total[total > 0]
-        small = np.bincount(seen[seen <= K + 1], minlength=K + 2)[: K + 2].tolist()
-        stats = [int(seen.sum()), len(seen), *small[1:]]
-        return pa.table({"unit": [*t["unit"].to_pylist(), None], "kind": pa.array([0] * (len(data) + 1), pa.int32()), "bucket": [key[0].as_py()] * (len(data) + 1), "data": pa.array([*data, b""], pa.binary()), "stats": pa.array([*[None] * len(data), stats], pa.list_(pa.int64()))})
-
-    reply_schema = "unit long, kind int, bucket long, data binary, stats array<long>"
-    counted = staged(asked.groupBy("bucket").applyInArrow(add_words, reply_schema), "katz-unigrams", compression="none")
-    s = [x or 0 for x in counted.filter("unit is null").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first()]
-    words = Words(s[0], s[1], {r: s[1 + r] for r in range(1, K + 2)})
-    starts = asked.agg(F.sum("starts")).first()[0] or 0
-    _save(counted.filter("unit is not null"), root, "c1")
-
-    def ask_pairs(batches):
-        store, top = fs.FileSystem.from_uri(root)
-        for unit, u in Unit.each(batches):
-            counts = _load(store, top, "c1", unit, np.int64)
-            c, w, trained, b, _ = u.pairs(counts, starts, buckets)
-            hashes = np.append(u.vocab, START)
-            for k, lo, hi in _cuts(b, buckets):
-                cs, ci = np.unique(c[lo:hi], return_inverse=True)
-                ws, wi = np.unique(w[lo:hi], return_inverse=True)
-                head = np.array([len(cs), len(ws), hi - lo], np.int64).tobytes()
-                # Words are numbered in the order of their hashes, contexts too (but for the start), and pairs by context.
-                data = head + _zip(hashes[cs], _rising(u.vocab[ws]), counts[ws], _rising(ci.astype(np.int32)), wi.astype(np.int32), trained[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([unit]), pa.array([data], pa.binary())], ["bucket", "unit", "data"])
-
-    def add_pairs(key, t):
-        ctx, w, c1, c2 = [], [], [], []
-        for x in t["data"].to_pylist():
-            nc, nw, n = np.frombuffer(x, np.int64, 3).tolist()
-            cs, ws, counts, ci, wi, trained = _unzip(x[24:], (np.uint64, nc), (np.uint64, nw), (np.int64, nw), (np.int32, n), (np.int32, n), (np.int32, n))
-            ws, ci = np.cumsum(ws, dtype=np.uint64), np.cumsum(ci)
-            ctx.append(cs[ci])
-            w.append(ws[wi])
-            c1.append(counts[wi])
-            c2.append(trained)
-        ends = np.cumsum([len(x) for x in w])
-        ctx, w, c1, c2 = map(np.concatenate, (ctx, w, c1, c2))
-        uniq, first, at = np.unique(_pair(ctx, w), return_index=True, return_inverse=True)
-        total = np.bincount(at, weights=c2, minlength=len(uniq)).astype(np.int64)
-        data = [_zip(total[at[a:z]].astype(np.int32)) for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-        seen = total > 0
-        total, first = total[seen], first[seen]
-        owners, at = np.unique(ctx[first], return_inverse=True)
-        cols = [_sum_by(at, total, len(owners)), *(np.bincount(at[total == r], minlength=len(owners)) for r in range(1, K + 1))]
-        below = np.bincount(at, weights=words.p(c1[first]), minlength=len(owners))
-        n_r = np.bincount(total[total <= K + 1], minlength=K + 2)[1 : K + 2].tolist()
-        n = len(data)
+    buckets = max(12, -(-tokens // bucket_tokens))
+    message = "order int, bucket long, unit long, kind int, data binary"
+
+    def rows(order, unit, kind, parts):
+        """Messages of one order: (bucket, data)."""
+        n = len(parts)
+        cols = [pa.array([order] * n, pa.int32()), pa.array([b for b, _ in parts], pa.int64()), pa.array([unit] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([d for _, d in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["order", "bucket", "unit", "kind", "data"])
+
+    def dealt(hashes, *arrays):
+        return [(k, _pack(_rising(hashes[a:z]), *(x[a:z] for x in arrays))) for k, a, z in _cuts(_bucket(hashes, buckets).astype(np.int64), buckets)]
+
+    def ask(k):
+        def run(batches):
+            store, top = fs.FileSystem.from_uri(root)
+            for unit, u in Unit.each(batches):
+                x = u.settled(store, top, unit, k - 1).grow() if k > 1 else u.levels[0]
+                yield rows(k, unit, 0, dealt(x.hashes[x.asked], x.trained[x.asked], x.held[x.asked].astype(np.uint8)))
+                # N-grams that are known to occur once, here, are only counted.
+                yield rows(k, unit, 1, [(0, int(np.count_nonzero(x.trained[~x.asked])).to_bytes(8, "little"))])
+
+        return run
+
+    def add(key, t):
+        lone = sum(int.from_bytes(x, "little") for x, kind in zip(t["data"].to_pylist(), t["kind"].to_pylist(), strict=True) if kind)
+        t = t.filter(pc.equal(t["kind"], 0)).sort_by("unit")
+        parts = [_unpack(x, np.uint64, np.int64, np.uint8) for x in t["data"].to_pylist()]
+        hashes, counts, held = (np.concatenate([np.empty(0, d), *x]) for d, x in zip((np.uint64, np.int64, np.uint8), ([np.cumsum(p[0], dtype=np.uint64) for p in parts], *([p[i] for p in parts] for i in (1, 2))), strict=True))
+        uniq, at = np.unique(hashes, return_inverse=True)
+        total = np.zeros(len(uniq), dtype=np.int64)
+        np.add.at(total, at, counts)
+        anywhere = np.bincount(at[held > 0], minlength=len(uniq)) > 0
+        having = np.flatnonzero(counts > 0)
+        first = np.zeros(len(at), dtype=bool)
+        first[having[np.unique(at[having], return_index=True)[1]]] = True
+        flags = first.astype(np.uint8) | anywhere[at].astype(np.uint8) << 1
+        ends = np.cumsum([len(p[0]) for p in parts])
+        data = [_pack(total[at[z - len(p[0]) : z]], flags[z - len(p[0]) : z]) for p, z in zip(parts, ends, strict=True)]
+        seen = total[(total > 0) & (uniq != START)]
+        small = np.bincount(seen[seen <= K + 1], minlength=K + 2)[1 : K + 2].tolist()
+        small[0] += lone
+        n = len(data) + 1
         return pa.table({
-            "unit": pa.array([*t["unit"].to_pylist(), None, None], pa.int64()), "kind": pa.array([1] * n + [3, 4], pa.int32()), "bucket": pa.array([key[0].as_py()] * (n + 2), pa.int64()),
-            "data": pa.array([*data, _sums(owners, np.stack(cols), below), b""], pa.binary()), "stats": pa.array([*[None] * (n + 1), n_r], pa.list_(pa.int64())),
+            "unit": pa.array([*t["unit"].to_pylist(), None], pa.int64()), "order": pa.array([key[0].as_py()] * n, pa.int32()), "bucket": pa.array([key[1].as_py()] * n, pa.int64()),
+            "data": pa.array([*data, b""], pa.binary()), "stats": pa.array([*[None] * len(data), [int(seen.sum()), len(seen) + lone, *small]], pa.list_(pa.int64())),
         })
 
-    pairs = units.mapInArrow(ask_pairs, "bucket long, unit long, data binary")
-    added = staged(pairs.groupBy("bucket").applyInArrow(add_pairs, reply_schema), "katz-pairs", compression="none")
-    del pairs
-    s = [x or 0 for x in added.filter("kind = 4").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 1)]).first()]
-    d2 = discounts({r: s[r - 1] for r in range(1, K + 2)})
-    _save(added.filter("kind = 1"), root, "c2")
-
-    def split_contexts(batches):
-        """Per-context sums of a bucket, dealt out by the buckets of words."""
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                owners, rest, below = _unsums(x)
-                for k, a, z in _cuts(_bucket(owners, buckets).astype(np.int64), buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([_sums(owners[a:z], rest[:, a:z], below[a:z])], pa.binary())], ["bucket", "data"])
-
-    def weigh(key, ask, sums):
-        """Total and backoff weight of every context that a unit asks for."""
-        parts = [_unsums(x) for x in sums["data"].to_pylist()]
-        if parts:
-            uniq, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            rest = np.stack([_sum_by(at, r, len(uniq)) for r in np.concatenate([p[1] for p in parts], axis=1)])
-            below = np.bincount(at, weights=np.concatenate([p[2] for p in parts]), minlength=len(uniq))
-        else:
-            uniq, rest, below = np.empty(0, np.uint64), np.zeros((K + 1, 0), np.int64), np.empty(0)
-        total = rest[0].astype(np.float64)
-        left = sum(r * rest[r] * (1 - d2[r]) for r in range(1, K + 1)) / np.maximum(total, 1)
-        # A context all of whose pairs are frequent leaves no mass: then none backs off, and its unseen pairs share one count.
-        alpha = np.where(left > 0, left, 1 / (total + 1)) / np.maximum(1 - below, 1e-12)
-        total = np.where(left > 0, total, total + 1)
-        uniq, total, alpha = np.append(uniq, np.uint64(2**64 - 1)), np.append(total, 0.0), np.append(alpha, 1.0)
-        units, data = [], []
-        for unit, x in zip(ask["unit"].to_pylist(), ask["words"].to_pylist(), strict=True):
-            h = hashes_of(x)
-            at = np.minimum(np.searchsorted(uniq, h), len(uniq) - 1)
-            hit = uniq[at] == h
-            units.append(unit)
-            data.append(_zip(np.stack([np.where(hit, total[at], 0.0), np.where(hit, alpha[at], 1.0)], axis=1).ravel()))
-        return pa.table({"unit": pa.array(units, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(units), pa.int64()), "data": pa.array(data, pa.binary())})
-
-    start_bucket = int(_bucket(np.array([START]), buckets)[0])
-
-    def ask_start(batches):
-        """The start is one more context of every unit."""
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([start_bucket] * n, pa.int64()), batch["unit"], pa.array([_zip(np.array([START]))] * n, pa.binary())], ["bucket", "unit", "words"])
-
-    def weights(asks: DataFrame, sums: DataFrame) -> DataFrame:
-        return asks.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(weigh, "unit long, bucket long, data binary")
-
-    contexts = staged(added.filter("kind = 3").select("data").mapInArrow(split_contexts, "bucket long, data binary"), "katz-contexts", compression="none")
-    _save(weights(asked.select("bucket", "unit", "words"), contexts), root, "w")
-    _save(weights(units.select("unit").mapInArrow(ask_start, "bucket long, unit long, words binary"), contexts.filter(F.col("bucket") == start_bucket)), root, "ws")
+    stats = []
+    for k in range(1, order + 1):
+        asked = units.mapInArrow(ask(k), message)
+        added = staged(asked.groupBy("order", "bucket").applyInArrow(add, "unit long, order int, bucket long, data binary, stats array<long>"), "katz-counts", compression="none")
+        del asked
+        stats.append([x or 0 for x in added.filter("unit is null").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first()])
+        _save(added.filter("unit is not null"), root, f"c{k}")
+    counts_of = [{r: s[1 + r] for r in range(1, K + 2)} for s in stats]
+    words, tables = Words(stats[0][0], stats[0][1], counts_of[0]), [None, *map(Counts, counts_of[1:])]
+
+    def sums(batches):
+        """Per context and order, what its n-grams that this unit speaks for add up to; and the contexts whose weight is needed."""
+        store, top = fs.FileSystem.from_uri(root)
+        for unit, u in Unit.each(batches):
+            levels = u.settled(store, top, unit, order).levels
+            for k in range(1, order):
+                x, below = levels[k], levels[k - 1]
+                g = np.flatnonzero(x.first & (x.count > 0) & below.held[x.pre])
+                c, ctx, suf = x.count[g], x.pre[g], x.suf[g]
+                left = (1 - tables[k].kept(c)) * c / below.count[ctx]
+                if k == 1:
+                    mass = words.p(below.count[suf])
+                else:
+                    shorter = levels[k - 2]
+                    mass = tables[k - 1].kept(below.count[suf]) * below.count[suf] / shorter.count[shorter.at[x.ends[g] - 1]]
+                own = np.unique(ctx)
+                n = len(below.hashes)
+                yield rows(k, unit, 0, dealt(below.hashes[own], *(np.bincount(ctx, weights=v, minlength=n)[own] for v in (left, mass))))
+                yield rows(k, unit, 1, dealt(below.hashes[_needed(u, k)]))
+
+    def weigh(key, t):
+        """Backoff weights of the contexts that each unit needs."""
+        kind = t["kind"].to_numpy()
+        data = t["data"].to_pylist()
+        parts = [_unpack(x, np.uint64, np.float64, np.float64) for x, i in zip(data, kind, strict=True) if not i]
+        uniq, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.cumsum(p[0], dtype=np.uint64) for p in parts)]), return_inverse=True)
+        left, mass = (np.bincount(at, weights=np.concatenate([np.empty(0), *(p[i] for p in parts)]), minlength=len(uniq)) for i in (1, 2))
+        alpha = left / np.maximum(1 - mass, 1e-12)
+        units, out = [], []
+        for x, i, unit in zip(data, kind, t["unit"].to_pylist(), strict=True):
+            if i:
+                units.append(unit)
+                out.append(_pack(alpha[np.searchsorted(uniq, np.cumsum(_unpack(x, np.uint64)[0], dtype=np.uint64))]))
+        n = len(units)
+        return pa.table({"unit": pa.array(units, pa.int64()), "order": pa.array([key[0].as_py()] * n, pa.int32()), "bucket": pa.array([key[1].as_py()] * n, pa.int64()), "data": pa.array(out, pa.binary())})
+
+    if order > 1:
+        summed = units.mapInArrow(sums, message).groupBy("order", "bucket").applyInArrow(weigh, "unit long, order int, bucket long, data binary")
+        _save(staged(summed, "katz-weights", compression="none"), root, "w")
+        del summed
+        release(spark)
 
     def score(batches):
         store, top = fs.FileSystem.from_uri(root)
         for unit, u in Unit.each(batches):
-            c1 = _load(store, top, "c1", unit, np.int64)
-            c, w, _, _, at = u.pairs(c1, starts, buckets)
-            c2 = _load(store, top, "c2", unit, np.int32).astype(np.int64)
-            weight = np.concatenate([_load(store, top, n, unit, np.float64) for n in ("w", "ws")]).reshape(-1, 2)
-            total, alpha = weight[c, 0], weight[c, 1]
-            d = np.where(c2 <= K, d2[np.minimum(c2, K)], 1.0)
-            p = np.where(c2 > 0, d * c2 / np.maximum(total, 1), np.where(total > 0, alpha, 1.0) * words.p(c1)[w])
-            docs, tokens = len(u.ids), u.tokens
-            by_doc = lambda v: np.bincount(u.owner, weights=v, minlength=docs)  # noqa: B023, E731
+            levels = u.settled(store, top, unit, order).levels
+            weights, used = _load(store, f"{top}/w-{unit}", np.float64)[0], 0
+            c1 = levels[0].count
+            p = words.p(c1)[u.tokens]
+            for k in range(1, order):
+                x, below = levels[k], levels[k - 1]
+                needed, alpha = _needed(u, k), np.ones(len(below.hashes))
+                alpha[needed] = weights[used : used + len(needed)]
+                used += len(needed)
+                t = np.flatnonzero(u.place >= k)
+                c, ctx = x.count[x.at[t]], below.at[t - 1]
+                p[t] = np.where(c > 0, tables[k].kept(c) * c / np.maximum(below.count[ctx], 1), alpha[ctx] * p[t])
+            real = u.place > 0
+            owner, docs, tokens = u.owner[real], len(u.ids), u.tokens[real]
+            by_doc = lambda v: np.bincount(owner, weights=v, minlength=docs)  # noqa: B023, E731
             base = np.log10((c1 + 0.5) / (words.total + 0.5 * (words.types + 1)))
-            cols = [pa.array(u.ids, pa.int64()), pa.array(u.held), pa.array(u.lens.astype(np.int64)), pa.array(by_doc(c1[tokens] > 0).astype(np.int64)), pa.array(np.full(docs, words.total, dtype=np.int64)), pa.array(by_doc(base[tokens])), pa.array(by_doc(np.log10(p)[at]))]
+            cols = [pa.array(u.ids, pa.int64()), pa.array(u.held), pa.array(u.lens.astype(np.int64) - 1), pa.array(by_doc(c1[tokens] > 0).astype(np.int64)), pa.array(np.full(docs, words.total, dtype=np.int64)), pa.array(by_doc(base[tokens])), pa.array(by_doc(np.log10(p[real])))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return units.mapInArrow(score, out_schema)
 
 
-def _sums(owners: np.ndarray, rest: np.ndarray, below: np.ndarray) -> bytes:
-    """Contexts in rising order with their totals and counts of counts (K + 1 rows), and the mass below of their words."""
-    return len(owners).to_bytes(8, "little") + _zip(_rising(owners), np.ascontiguousarray(rest, dtype=np.int64).ravel(), below)
-
-
-def _unsums(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = int.from_bytes(x[:8], "little")
-    owners, rest, below = _unzip(x[8:], (np.uint64, m), (np.int64, m * (K + 1)), (np.float64, m))
-    return np.cumsum(owners, dtype=np.uint64), rest.reshape(K + 1, m), below
+def _needed(u: Unit, k: int) -> np.ndarray:
+    """Contexts, seen in training, behind which the unit's held-out texts have an n-gram of order k + 1 that isn't."""
+    x, below = u.levels[k], u.levels[k - 1]
+    t = np.flatnonzero((u.place >= k) & ~u.trains)
+    ctx = np.unique(below.at[t - 1][x.count[x.at[t]] == 0])
+    return ctx[below.count[ctx] > 0]
 
 
 def op10_katz(spark, sf_dir):
-    return katz_scores(table(spark, sf_dir, "documents"))
+    out = katz_scores(table(spark, sf_dir, "documents"))
+    # Sums of logarithms differ in their last bits with the order of addition; reruns and SQL agree to six places.
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         [' start'] || regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || [' end'] as w,
+         xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+           lambda a, b: list_reduce([xor(a, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end)), 4294967295::bigint) % 5 = 1 as held_out
+  from documents),
+t as (select r, held_out, unnest(w) as w, generate_subscripts(w, 1) - 1 as i from d),
+g as (select *, lag(w) over (partition by r order by i) as v, lag(w, 2) over (partition by r order by i) as u from t),
+c1 as (select w, count(*) as c from g where not held_out group by w),
+c2 as (select v, w, count(*) as c from g where not held_out and i >= 1 group by v, w),
+c3 as (select u, v, w, count(*) as c from g where not held_out and i >= 2 group by u, v, w),
+z as (select sum(c) as n, count(*) as types from c1 where w != ' start'),
+nn as (
+  select o, r, count(c) as n from (select unnest([1, 2, 3]) as o) cross join (select unnest([1, 2, 3, 4, 5, 6]) as r)
+  left join (select 1 as o, c from c1 where w != ' start' union all select 2, c from c2 union all select 3, c from c3) x using (o) where c = r or c is null group by o, r),
+na as (select o, coalesce(max(n) filter (where r = 1), 0) as n1, coalesce(max(n) filter (where r = 2), 0) as n2, coalesce(max(n) filter (where r = 6), 0) as n6 from nn group by o),
+nf as (select o, case when n1 > 0 then least(0.75, greatest(0.1, n1 / (n1 + 2 * n2)))::double else 0.5 end as flat, case when n1 > 0 then 6 * n6 / n1 else 1.0 end as cut from na),
+dr as (
+  select f.o, k.r, f.flat, case when n.n > 0 and f.cut < 1 then ((k.r + 1) * coalesce(m.n, 0) / (k.r * n.n) - f.cut) / (1 - f.cut) else 0 end as x, coalesce(n.n, 0) as n
+  from nf f cross join (select unnest([1, 2, 3, 4, 5]) as r) k left join nn n on n.o = f.o and n.r = k.r left join nn m on m.o = f.o and m.r = k.r + 1),
+dd as (select o, r, n, case when x > 0 and x < 1 then x else 1 - flat / r end as d from dr),
+lo as (select sum(r * n * (1 - d)) as mass from dd where o = 1),
+un as (select case when mass > 0 then mass / n else 0.5 / (n + 0.5) end as unknown, case when mass > 0 then 1.0 else 1 - 0.5 / (n + 0.5) end as scale from lo, z),
+p1 as (select c1.w, c1.c, scale * coalesce(d, 1) * c1.c / z.n as p from c1 cross join z cross join un left join dd on o = 1 and dd.r = c1.c where c1.w != ' start'),
+k2 as (select c2.v, c2.w, c2.c, c1.c as h, coalesce(d, 1 - 0.01 / c2.c) as d from c2 join c1 on c1.w = c2.v left join dd on o = 2 and dd.r = c2.c),
+k3 as (select c3.u, c3.v, c3.w, c3.c, c2.c as h, coalesce(d, 1 - 0.01 / c3.c) as d from c3 join c2 on c2.v = c3.u and c2.w = c3.v left join dd on o = 3 and dd.r = c3.c),
+a2 as (select v, sum((1 - d) * k2.c / h) / greatest(1 - sum(p), 1e-12) as alpha from k2 join p1 using (w) group by v),
+a3 as (select k3.u, k3.v, sum((1 - k3.d) * k3.c / k3.h) / greatest(1 - sum(k2.d * k2.c / k2.h), 1e-12) as alpha from k3 join k2 using (v, w) group by k3.u, k3.v),
+s as (
+  select g.r, p1.c is not null as known, (coalesce(p1.c, 0) + 0.5) / (n + 0.5 * (types + 1)) as b,
+         coalesce(k3.d * k3.c / k3.h, coalesce(a3.alpha, 1) * coalesce(k2.d * k2.c / k2.h, coalesce(a2.alpha, 1) * coalesce(p1.p, unknown))) as p
+  from g cross join z cross join un left join p1 on p1.w = g.w left join k2 on k2.v = g.v and k2.w = g.w left join k3 on k3.u = g.u and k3.v = g.v and k3.w = g.w
+  left join a2 on a2.v = g.v left join a3 on a3.u = g.u and a3.v = g.v where g.i > 0)
+select any_value(doc_id) as doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(*) filter (where known) as n_known, any_value(n)::bigint as train_tokens,
+       round(sum(log10(b)), 6) as base_score, round(sum(log10(p)), 6) as score
+from s join d using (r) cross join z group by r
+"""

@@ -29,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -348,7 +349,7 @@ def _fetched(texts: DataFrame, wanted: DataFrame, *, windows: bool) -> DataFrame
                 for at in range(0, own.shape[1], 4096):
                     row, pos, size, m, k = own[:, at : at + 4096]
                     i = pa.array(np.searchsorted(rows, row) + lo)
-                    used = {j: t.as_buffer().to_pybytes() for j in pa.compute.unique(i).to_pylist() for t in [b.column(3)[j].cast(pa.binary())]}
+                    used = {j: t.as_buffer().to_pybytes() for j in pc.unique(i).to_pylist() for t in [b.column(3)[j].cast(pa.binary())]}
                     if windows:
                         ends = [range(a, a + n - WINDOW + 1) for a, n in zip(pos.tolist(), size.tolist(), strict=True)]
                         n = [len(x) for x in ends]
