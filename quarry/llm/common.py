@@ -65,7 +65,15 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t.staged_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import make_dir, new_path, release, small_batches, staged, table
+from quarry.llm.common import discard, make_dir, new_path, release, small_batches, staged, table
 from quarry.llm.hashing import ODD, binaries, mix, slices, word_hashes
 
 ORDER, UNIT_TOKENS, BUCKET_TOKENS, K, TAIL = 3, 1_000_000, 2_000_000, 5, 0.01
@@ -111,6 +111,16 @@ def units_of(docs: DataFrame, unit_tokens: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "unit long, n long, ids array<long>, lens binary, vocab binary, tokens binary")
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and the number of each entry's value."""
+    order = np.argsort(h)
+    rising = h[order]
+    new = np.concatenate([np.ones(min(len(h), 1), dtype=bool), rising[1:] != rising[:-1]])
+    number = np.empty(len(h), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return rising[new], order[new], number
+
+
 class Level:
     """The n-grams of one order in a unit: per token the n-gram that ends there (``at``, -1: none), and per n-gram, in
     the order of hashes, its hash, a token where it ends, its training count in the unit, whether a held-out text has it
@@ -150,7 +160,7 @@ class Unit:
         below, words = self.levels[-1], self.levels[0]
         where = np.flatnonzero(self.place >= len(self.levels))
         h = mix(below.hashes[below.at[where - 1]] * ODD[0] + words.hashes[self.tokens[where]])
-        hashes, ends, inverse = np.unique(h, return_index=True, return_inverse=True)
+        hashes, ends, inverse = _distinct(h)
         x = self._level(hashes, where, inverse, where[ends])
         x.pre, x.suf = below.at[x.ends - 1], below.at[x.ends]
         parts = [(below.count[p], below.held[p]) for p in (x.pre, x.suf)]
@@ -202,20 +212,23 @@ class Words:
         self.unknown = left / total if total and left > 0 else 0.5 / (total + 0.5) if total else 1.0
         self.scale = 1.0 if left > 0 or not total else 1 - self.unknown
 
+    def kept(self, c: np.ndarray) -> np.ndarray:
+        """What discounting leaves of a count."""
+        return self.scale * self.d[np.minimum(c, K) * (c <= K)] ** (c <= K) * c
+
     def p(self, c: np.ndarray) -> np.ndarray:
-        if not self.total:
-            return np.ones(len(c))
-        return np.where(c > 0, self.scale * self.d[np.minimum(c, K) * (c <= K)] ** (c <= K) * c / self.total, self.unknown)
+        return np.where(c > 0, self.kept(c) / self.total, self.unknown) if self.total else np.ones(len(c))
 
 
 class Counts:
-    """Discounted probabilities of seen n-grams of one order above the first."""
+    """Discounts of one order above the first."""
 
     def __init__(self, n: dict[int, int]):
         self.d = discounts(n)
 
     def kept(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c <= K, self.d[np.minimum(c, K)], 1 - TAIL / np.maximum(c, 1))
+        """What discounting leaves of a count."""
+        return np.where(c <= K, self.d[np.minimum(c, K)] * c, c - TAIL)
 
 
 def _cuts(b: np.ndarray, buckets: int):
@@ -330,8 +343,10 @@ def katz_scores(docs: DataFrame, *, order: int = ORDER, unit_tokens: int = UNIT_
         del asked
         stats.append([x or 0 for x in added.filter("unit is null").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first()])
         _save(added.filter("unit is not null"), root, f"c{k}")
+        discard(added)
     counts_of = [{r: s[1 + r] for r in range(1, K + 2)} for s in stats]
-    words, tables = Words(stats[0][0], stats[0][1], counts_of[0]), [None, *map(Counts, counts_of[1:])]
+    words, tables = Words(stats[0][0], stats[0][1], counts_of[0]), list(map(Counts, counts_of[1:]))
+    tables.insert(0, words)
 
     def sums(batches):
         """Per context and order, what its n-grams that this unit speaks for add up to; and the contexts whose weight is needed."""
@@ -342,54 +357,53 @@ def katz_scores(docs: DataFrame, *, order: int = ORDER, unit_tokens: int = UNIT_
                 x, below = levels[k], levels[k - 1]
                 g = np.flatnonzero(x.first & (x.count > 0) & below.held[x.pre])
                 c, ctx, suf = x.count[g], x.pre[g], x.suf[g]
-                left = (1 - tables[k].kept(c)) * c / below.count[ctx]
-                if k == 1:
-                    mass = words.p(below.count[suf])
-                else:
-                    shorter = levels[k - 2]
-                    mass = tables[k - 1].kept(below.count[suf]) * below.count[suf] / shorter.count[shorter.at[x.ends[g] - 1]]
+                # Of one context all are divided by the same counts, so the sums stay undivided: few different numbers, which pack well.
+                left, mass = c - tables[k].kept(c), tables[k - 1].kept(below.count[suf])
                 own = np.unique(ctx)
                 n = len(below.hashes)
                 yield rows(k, unit, 0, dealt(below.hashes[own], *(np.bincount(ctx, weights=v, minlength=n)[own] for v in (left, mass))))
                 yield rows(k, unit, 1, dealt(below.hashes[_needed(u, k)]))
 
     def weigh(key, t):
-        """Backoff weights of the contexts that each unit needs."""
+        """Both sums of the contexts whose weight a unit needs."""
         kind = t["kind"].to_numpy()
         data = t["data"].to_pylist()
         parts = [_unpack(x, np.uint64, np.float64, np.float64) for x, i in zip(data, kind, strict=True) if not i]
         uniq, at = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.cumsum(p[0], dtype=np.uint64) for p in parts)]), return_inverse=True)
-        left, mass = (np.bincount(at, weights=np.concatenate([np.empty(0), *(p[i] for p in parts)]), minlength=len(uniq)) for i in (1, 2))
-        alpha = left / np.maximum(1 - mass, 1e-12)
+        both = [np.bincount(at, weights=np.concatenate([np.empty(0), *(p[i] for p in parts)]), minlength=len(uniq)) for i in (1, 2)]
         units, out = [], []
         for x, i, unit in zip(data, kind, t["unit"].to_pylist(), strict=True):
             if i:
+                place = np.searchsorted(uniq, np.cumsum(_unpack(x, np.uint64)[0], dtype=np.uint64))
                 units.append(unit)
-                out.append(_pack(alpha[np.searchsorted(uniq, np.cumsum(_unpack(x, np.uint64)[0], dtype=np.uint64))]))
+                out.append(_pack(*(v[place] for v in both)))
         n = len(units)
         return pa.table({"unit": pa.array(units, pa.int64()), "order": pa.array([key[0].as_py()] * n, pa.int32()), "bucket": pa.array([key[1].as_py()] * n, pa.int64()), "data": pa.array(out, pa.binary())})
 
     if order > 1:
         summed = units.mapInArrow(sums, message).groupBy("order", "bucket").applyInArrow(weigh, "unit long, order int, bucket long, data binary")
-        _save(staged(summed, "katz-weights", compression="none"), root, "w")
-        del summed
-        release(spark)
+        summed = staged(summed, "katz-sums", compression="none")
+        _save(summed, root, "w")
+        discard(summed)
 
     def score(batches):
         store, top = fs.FileSystem.from_uri(root)
         for unit, u in Unit.each(batches):
             levels = u.settled(store, top, unit, order).levels
-            weights, used = _load(store, f"{top}/w-{unit}", np.float64)[0], 0
+            (left, mass), used = _load(store, f"{top}/w-{unit}", np.float64, np.float64), 0
             c1 = levels[0].count
             p = words.p(c1)[u.tokens]
             for k in range(1, order):
                 x, below = levels[k], levels[k - 1]
                 needed, alpha = _needed(u, k), np.ones(len(below.hashes))
-                alpha[needed] = weights[used : used + len(needed)]
+                own = slice(used, used + len(needed))
                 used += len(needed)
+                # What the context's own count and that of the context without its first word leave over.
+                shorter = levels[k - 2].count[below.suf[needed]] if k > 1 else words.total
+                alpha[needed] = left[own] / below.count[needed] / np.maximum(1 - mass[own] / shorter, 1e-12)
                 t = np.flatnonzero(u.place >= k)
                 c, ctx = x.count[x.at[t]], below.at[t - 1]
-                p[t] = np.where(c > 0, tables[k].kept(c) * c / np.maximum(below.count[ctx], 1), alpha[ctx] * p[t])
+                p[t] = np.where(c > 0, tables[k].kept(c) / np.maximum(below.count[ctx], 1), alpha[ctx] * p[t])
             real = u.place > 0
             owner, docs, tokens = u.owner[real], len(u.ids), u.tokens[real]
             by_doc = lambda v: np.bincount(owner, weights=v, minlength=docs)  # noqa: B023, E731
