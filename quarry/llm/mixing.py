@@ -5,12 +5,14 @@ source's words up to and with it, divided by the source's target.  The mix is th
 time, cut where its words reach the budget.
 
 Running sums never gather a source in one task: words are summed per (source, hash bucket), the bucket sums are
-accumulated, and only rows of one bucket are sorted together; buckets grow in number with the rows.  The cut is
-found by repeated histograms of a fixed number of cells over the finish times.
+accumulated, and only rows of one bucket are sorted together; buckets grow in number with the rows.  The shuffle's
+hash is of doc_id and text, so rows with a null or repeated doc_id spread like any others.
 
 Defined results: a null text has size 0 and is taken 0 times; null sources form one source, ordered last;
-a source without words has target 0; an empty table gives an empty result; rows that repeat a doc_id are documents
-of their own; extra columns are kept by :func:`mix_documents` whatever their names.
+a source without words has target 0 but takes its turn in the order of weights; copies that tie in finish time are
+taken or left together; rows of a source that tie in hash are ordered by doc_id and size; texts of any length are counted
+whole; an empty table gives an empty result; rows that repeat a doc_id are documents of their own; extra columns are
+kept by :func:`mix_documents` whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WORD, located, only, staged, table
+from quarry.llm.common import WORD, free_name, located, only, staged, table
 
-BUCKET_ROWS, CELLS, WINDOW_ROWS = 512, 4096, 100_000
+BUCKET_ROWS, RANGE_ROWS = 512, 50_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most_epochs: int) -> DataFrame:
@@ -33,7 +35,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
     """
     up, down = share
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy("no_source", "src")) - 1) % len(weights) + 1).cast("int")).cast("long")
-    s = sizes.filter("source_size > 0").withColumn("w", w).withColumn("cap", F.col("source_size") * most_epochs)
+    s = sizes.withColumn("w", w).filter("source_size > 0").withColumn("cap", F.col("source_size") * most_epochs)
     every = Window.partitionBy()
     before = Window.orderBy(F.col("cap") / F.col("w"), "no_source", "src").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("budget", F.sum("source_size").over(every) * up)  # times down
@@ -46,41 +48,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int,
 
 
 def _cut(rows: DataFrame, copies: int, budget: int, down: int) -> float:
-    """The largest finish time up to which all copies' words stay within budget / down.
+    """The finish time at which the range-sorted mix is truncated: the largest up to which all words stay within budget / down.
 
-    Each round counts words in CELLS cells of the interval that holds the cut: at most CELLS numbers reach the
-    driver, whatever the number of rows.
+    Copies are range-sorted by finish time; the ranges' words are added up in order, and only the range in which the
+    budget ends is looked into row by row.  Copies that tie in finish time are taken or left together.
     """
-    first = F.col("cum") / F.col("target")
-    flat = rows.filter("size > 0").select("size", F.explode(F.array(*[(F.col("cum") + k * F.col("source_size")) / F.col("target") for k in range(copies)])).alias("f"))
-    del first
-    low, high, below, cut = 0.0, None, 0, -1.0
-    top = flat.agg(F.max("f"), F.count("*")).first()
-    if not top[1]:
-        return cut
-    high = float(top[0])
-    while True:
-        inside = flat.filter((F.col("f") > low) & (F.col("f") <= high))
-        n = inside.count()
-        if n <= WINDOW_ROWS or not low < (low + high) / 2 < high:
-            break
-        cell = F.least(F.floor((F.col("f") - low) / ((high - low) / CELLS)), F.lit(CELLS - 1))
-        cells = inside.groupBy(cell.alias("c")).agg(F.sum("size").alias("s"), F.min("f").alias("lo"), F.max("f").alias("hi")).orderBy("c").collect()
-        for c in cells:
-            if down * (below + c["s"]) > budget:
-                low, high = cut if cut > low else low, c["hi"]
-                break
-            below += c["s"]
-            cut = c["hi"]
-        else:
-            return cut
-        if len(cells) == 1:
-            low = max(low, cut)
-            if inside.agg(F.min("f") == F.max("f")).first()[0]:
-                return cut
-    run = inside.groupBy("f").agg(F.sum("size").alias("s")).withColumn("run", F.sum("s").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)))
-    best = run.filter((F.col("run") + below) * down <= budget).agg(F.max("f")).first()[0]
-    return cut if best is None else float(best)
+    times = F.array(*[(F.col("cum") + k * F.col("source_size")) / F.col("target") for k in range(copies)])
+    flat = rows.filter("size > 0").select("size", F.explode(times).alias("f"))
+    ranges = max(1, rows.count() * copies // RANGE_ROWS)
+    ordered = staged(flat.repartitionByRange(ranges, "f").withColumn("range", F.spark_partition_id()), "mix-order")
+    sums = ordered.groupBy("range").agg(F.sum("size").alias("words"), F.max("f").alias("last"))
+    upto = sums.withColumn("upto", F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)))  # a row per range
+    upto = staged(upto, "mix-ranges")
+    cut = upto.filter(F.col("upto") * down <= budget).agg(F.max("last")).first()[0]
+    over = upto.filter(F.col("upto") * down > budget).orderBy("range").first()
+    if over is not None:
+        inside = ordered.filter(F.col("range") == over["range"]).groupBy("f").agg(F.sum("size").alias("s"))
+        run = inside.withColumn("run", F.sum("s").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0)) + (over["upto"] - over["words"]))
+        best = run.filter(F.col("run") * down <= budget).agg(F.max("f")).first()[0]
+        cut = cut if best is None else best
+    return -1.0 if cut is None else float(cut)
 
 
 def mix_plan(docs: DataFrame, keep: list[str], *, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most_epochs: int = 2, seed: str = "mix") -> DataFrame:
@@ -89,7 +76,7 @@ def mix_plan(docs: DataFrame, keep: list[str], *, weights: tuple[int, ...] = (3,
     ``finish`` holds the finish times of the copies that the mix takes.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
     rows = staged(docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("doc_id").alias("id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), size.alias("size"), key.alias("key")), "mix")
     n = rows.count()
     buckets = max(16, n // BUCKET_ROWS)
@@ -112,8 +99,9 @@ def mix_plan(docs: DataFrame, keep: list[str], *, weights: tuple[int, ...] = (3,
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as taken, globally range-sorted by finish time."""
     rows, at = located(docs)
-    plan = mix_plan(rows, at, **options).filter("taken > 0").select(*at, F.explode("finish").alias("finish_"))
-    out = rows.join(plan, at).repartitionByRange(F.col("finish_"), *[F.col(c) for c in at]).sortWithinPartitions("finish_", *at)
+    time = free_name({c.lower() for c in rows.columns}, "finish")
+    plan = mix_plan(rows, at, **options).filter("taken > 0").select(*at, F.explode("finish").alias(time))
+    out = rows.join(plan, at).repartitionByRange(F.col(time), *[F.col(c) for c in at]).sortWithinPartitions(time, *at)
     return only(out, docs.columns)
 
 
@@ -124,17 +112,17 @@ def op3_mixing(spark, sf_dir):
 SQL = r"""
 with recursive d as (
   select doc_id, source is null as no_source, coalesce(source, '') as src, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5('mix:' || coalesce(doc_id::varchar, 'null')) as key
+         md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) as key
   from documents),
 s as (select no_source, src, sum(size)::hugeint as source_size from d group by all),
-n as (select *, [3, 1, 2][1 + ((row_number() over (order by no_source, src) - 1) % 3)::int]::hugeint as w from s where source_size > 0),
+n as (select *, [3, 1, 2][1 + ((row_number() over (order by no_source, src) - 1) % 3)::int]::hugeint as w from s),
 r as (
-  select 0 as step, no_source, src, source_size, w, false as capped from n
+  select 0 as step, no_source, src, source_size, w, false as capped from n where source_size > 0
   union all
   select step + 1, no_source, src, source_size, w, capped or 4 * source_size * left_w < w * left_b
   from (select *, sum(case when not capped then w else 0 end) over () as left_w,
                3 * sum(source_size) over () - 4 * coalesce(sum(case when capped then source_size end) over (), 0) as left_b from r)
-  where step < (select count(*) from n)),
+  where step < (select count(*) from n where source_size > 0)),
 f as (select * from r where step = (select max(step) from r)),
 t as (
   select no_source, src, source_size,
