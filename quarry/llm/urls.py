@@ -9,8 +9,10 @@ least ``seed_share`` of its pages are allowed or blocked by rules; a host is blo
 Links are counted per (source, target) before any join, each round joins ranks to these edges and sums by target with
 map-side combining, and rounds are staged, so a host with a third of all links is split by Spark's skew handling.
 
-Defined results: a null url or one without ``://`` has empty host and path and is allowed; null html has no links; rows
-that repeat a page_id are judged each; an empty table gives an empty result; extra columns are ignored.
+Defined results: a null url or one without ``://`` has empty host and path and is allowed; null html has no links; of
+rules that fit and are equally long, block wins, then the later by code point; rows that repeat a page_id are judged
+each; urls and html of any length are read whole; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     """The longest fitting rule as struct(size, action, rule), else null.  ``rules`` is a literal, part of the plan."""
     if not rules:
         return F.lit(None).cast("struct<size:int,action:string,rule:string>")
-    every = F.array(*[F.struct(F.lit(len(h + p)).alias("size"), F.lit(a).alias("action"), F.lit(h + p).alias("rule"), F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p, a in rules])
+    every = F.array(*[F.struct(F.lit(len(h + p)).alias("size"), F.lit(a == "block").alias("blocks"), F.lit(a).alias("action"), F.lit(h + p).alias("rule"), F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p, a in rules])
     fits = F.filter(every, lambda r: ((host == r["h"]) | host.endswith(F.concat(F.lit("."), r["h"]))) & path.startswith(r["p"]))
     best = F.array_max(fits)
     return F.when(best.isNotNull(), F.struct(best["size"].alias("size"), best["action"].alias("action"), best["rule"].alias("rule")))
@@ -50,27 +52,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", F.translate("to", UPPER, LOWER).alias("dst")).filter("src != '' and src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 20, least_change: float = 1e-6) -> DataFrame:
-    """(kind, host, score): trust along ``edges``, distrust against them, from ``seeds`` (kind, host, 1)."""
+def spread(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, least_change: float = 1e-6, most_rounds: int = 500) -> DataFrame:
+    """(kind, host, score): trust along ``edges``, distrust against them, from ``seeds`` (kind, host), each with weight 1.
+
+    Rounds go on until all scores together change by less than ``least_change`` in one, or, where ``rounds`` is given, for so
+    many; a walk that has not settled after ``most_rounds`` is an error.
+    """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     both = staged(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w")), "url-edges")
-    start = seeds.select("kind", "host", F.lit(1.0).alias("score"))
+    start = seeds.select("kind", "host", F.lit(1 - damping).alias("score"))
     if both.isEmpty():
-        return start.withColumn("score", F.lit(1 - damping))
-    base = staged(start.withColumn("score", F.lit(1 - damping)), "url-seeds")
+        return start
+    base = staged(start, "url-seeds")
     ranks = base.withColumn("score", F.lit(0.0)).limit(0)
-    for k in range(rounds):
+    for k in range(1, (rounds or most_rounds) + 1):
         sent = ranks.withColumnRenamed("host", "src").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("w") * damping).alias("score"))
-        after = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3 or k == rounds - 1:
-            before, after = ranks, staged(after, "url-ranks")
-            moved = after.join(before.withColumnRenamed("score", "old"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
-            ranks = after
-            if (moved or 0.0) < least_change:
-                break
-        else:
-            ranks = after
+        before, ranks = ranks, sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        if k % 4 == 0 or k == rounds:
+            ranks = staged(ranks, "url-ranks")
+            if rounds is None:
+                moved = ranks.join(before.withColumnRenamed("score", "old"), ["kind", "host"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
+                if (moved or 0.0) < least_change:
+                    return ranks
+    if rounds is None:
+        raise RuntimeError(f"scores did not settle in {most_rounds} rounds")
     return ranks
 
 
@@ -89,6 +95,16 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = Non
     return judged.join(hosts, "host", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.action"), by_host).alias("verdict"), trust.alias("host_trust"), distrust.alias("host_distrust"))
 
 
+def link_spread(spark, sf_dir):
+    """The walk alone over a stated table of links, since ``pages`` has none between hosts: every row of ``lineitem`` is a link
+    from host l_partkey to host 3 * l_suppkey + 1, both modulo 997; hosts 0 to 4 are trusted, 5 to 9 blocked; 24 rounds."""
+    host = lambda c: F.concat(F.lit("h"), F.pmod(c, F.lit(997)))
+    links = table(spark, sf_dir, "lineitem").select(host(F.col("l_partkey")).alias("src"), host(F.col("l_suppkey") * 3 + 1).alias("dst"))
+    edges = links.filter("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    seeds = spark.range(10).select(F.when(F.col("id") < 5, "trust").otherwise("distrust").alias("kind"), F.concat(F.lit("h"), "id").alias("host"))
+    return spread(edges, seeds, rounds=24).withColumn("score", F.round("score", 9))
+
+
 def op6_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -97,7 +113,7 @@ SQL = r"""
 with recursive rules(h, p, a) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 u as (select row_number() over () as i, page_id, html, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages),
-f as (select i, arg_max(h || p, (length(h || p), a)) as rule, arg_max(a, (length(h || p), a)) as act from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by i),
+f as (select i, arg_max(h || p, (length(h || p), a = 'block', h || p)) as rule, arg_max(a, (length(h || p), a = 'block', h || p)) as act from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by i),
 j as (select u.*, rule, act from u left join f using (i)),
 c as (select host, count(*) as n, count(*) filter (where act = 'allow') as trust, count(*) filter (where act = 'block') as distrust from j where host != '' group by host),
 seed as (select 'trust' as kind, host from c where trust / n >= 0.5 union all select 'distrust', host from c where distrust / n >= 0.5),
@@ -108,7 +124,20 @@ w as (select kind, src, dst, n / sum(n) over (partition by kind, src) as w from
 r as (select 1 as step, kind, host, 0.15::double as score from seed
       union all
       select step + 1, kind, host, sum(score) from (select step, r.kind, dst as host, score * w * 0.85 as score from r join w on w.kind = r.kind and w.src = r.host union all select s.step, seed.kind, seed.host, 0.15 from seed, (select distinct step from r) s)
-      where step < 20 group by step, kind, host),
+      where step < 100 group by step, kind, host),
 x as (select host, coalesce(sum(score) filter (where kind = 'trust'), 0) as t, coalesce(sum(score) filter (where kind = 'distrust'), 0) as d from r where step = (select max(step) from r) group by host)
 select page_id, j.host, path, rule, coalesce(act, case when coalesce(d, 0) >= 0.01 and d > 0.5 * (t + d) then 'block' else 'allow' end) as verdict from j left join x on x.host = j.host
 """
+
+
+LINK_SQL = """
+with recursive e as (select 'h' || l_partkey % 997 as src, 'h' || (3 * l_suppkey + 1) % 997 as dst, count(*) as n from lineitem where l_partkey % 997 != (3 * l_suppkey + 1) % 997 group by all),
+b as (select 'trust' as kind, src, dst, n from e union all select 'distrust', dst, src, n from e),
+w as (select kind, src, dst, n / sum(n) over (partition by kind, src) as w from b),
+seed as (select case when i < 5 then 'trust' else 'distrust' end as kind, 'h' || i as host from range(10) t(i)),
+r as (select 1 as step, kind, host, 0.15::double as score from seed
+      union all
+      select step + 1, kind, host, sum(score) from (select step, r.kind, dst as host, score * w * 0.85 as score from r join w on w.kind = r.kind and w.src = r.host union all select s.step, seed.kind, seed.host, 0.15 from seed, (select distinct step from r) s)
+      where step < 24 group by step, kind, host)
+select kind, host, round(score, 9) as score from r where step = 24
+"""
