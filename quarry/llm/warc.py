@@ -11,8 +11,9 @@ range, and then the records by range, neighbours together.
 Every stage is a table of places in the shared folder: a file left by a lost task is never referred to.
 
 Defined results: null html is the empty payload; null url has the key ``)/``; null page_ids are smaller than all
-others and may be responses; rows that repeat both page_id and payload are all responses; an empty table gives an
-empty archive and result; extra columns are ignored.
+others and may be responses; rows that repeat both page_id and payload are all responses; captures that tie in key
+are ordered by place; payloads of any length are one record; an empty table gives an empty archive and result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import make_dir, new_path, staged, table
 
-BLOCK_ROWS, FILE_BYTES, GAP = 3000, 256 << 20, 64 << 10
+BLOCK_ROWS, FILE_BYTES, GAP, TASK_PLACES = 3000, 256 << 20, 64 << 10, 20_000
 _DATE = "2024-01-01T00:00:00Z"
 #: High halves of record ids; the low half is the page_id.
 _ID, _NULL_ID = 0x71756172_72794D0D, 0x71756172_72794D0E
@@ -225,11 +226,18 @@ def lookup(keys: DataFrame, index: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "page_id", "file", "offset", "size"])
 
     found = keys.select("key").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(search, "shard string, at long, bytes long, key string")
-    return found.repartition("shard", "at").sortWithinPartitions("shard", "at").mapInArrow(read, "key string, page_id long, file string, offset long, size long")
+    found = staged(found, "warc-blocks")
+    return found.repartition(_partitions(found), "shard", "at").sortWithinPartitions("shard", "at").mapInArrow(read, "key string, page_id long, file string, offset long, size long")
 
 
-def read_records(captures: DataFrame, root: str) -> DataFrame:
-    """Records at the given places, by range reads that take neighbours together; payload digests are verified."""
+def _partitions(rows: DataFrame) -> int:
+    """Places are small beside what they lead to, so Spark must not merge their partitions by size."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_PLACES)
+
+
+def read_records(captures: DataFrame, root: str, *, payload: bool = True) -> DataFrame:
+    """Records at the given places, by range reads that take neighbours together; payload digests are verified.
+    ``payload=False`` leaves the payloads out of the result, not out of the check."""
 
     def run(batches):
         store, top = _open(root)
@@ -245,18 +253,19 @@ def read_records(captures: DataFrame, root: str) -> DataFrame:
                 with store.open_input_file(f"{top}/{file}") as f:
                     data = f.read_at(hi - lo, lo)
                 for _, at, n in rows[i : j + 1]:
-                    h, payload = parse_record(gzip.GzipFile(fileobj=io.BytesIO(data[at - lo : at - lo + n])).read())
+                    h, data_of = parse_record(gzip.GzipFile(fileobj=io.BytesIO(data[at - lo : at - lo + n])).read())
                     kind, digest = h["WARC-Type"], h["WARC-Payload-Digest"].partition(":")[2]
-                    if kind == "response" and digest_of(payload) != digest:
+                    if kind == "response" and digest_of(data_of) != digest:
                         raise ValueError(f"payload of {h['WARC-Record-ID']} does not match its digest")
                     refers = page_of(h["WARC-Refers-To"]) if kind == "revisit" else None
-                    got.append((page_of(h["WARC-Record-ID"]), kind, digest, len(payload) if kind == "response" else None, refers, h["WARC-Target-URI"], payload if kind == "response" else None))
+                    got.append((page_of(h["WARC-Record-ID"]), kind, digest, len(data_of) if kind == "response" else None, refers, h["WARC-Target-URI"], data_of if kind == "response" and payload else None))
                 i = j + 1
             types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], ["page_id", "record_type", "payload_digest", "own_bytes", "refers_to", "url", "payload"])
 
-    by_file = captures.select("file", "offset", "size").withColumn("part", F.floor(F.col("offset") / (16 << 20)))
-    by_file = by_file.repartition("file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "size")
+    captures = staged(captures.select("file", "offset", "size"), "warc-places")
+    by_file = captures.withColumn("part", F.floor(F.col("offset") / (4 << 20)))
+    by_file = by_file.repartition(_partitions(captures), "file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "size")
     return by_file.mapInArrow(run, "page_id long, record_type string, payload_digest string, own_bytes long, refers_to long, url string, payload binary")
 
 
@@ -272,7 +281,7 @@ def op1_warc(spark, sf_dir):
     captures = write_archives(pages, root)
     index = write_index(captures, root)
     keys = captures.select("key").distinct()
-    records = staged(read_records(lookup(keys, index, root), root).drop("payload", "url"), "warc-records")
+    records = staged(read_records(lookup(keys, index, root), root, payload=False).drop("payload", "url"), "warc-records")
     return resolve(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
