@@ -15,9 +15,10 @@ Template (one marked turn per message)::
 Where a text holds a control string, a backslash goes in behind its first character (one more where it
 already holds some), so control strings never occur inside of turns and reading back restores every text.
 
-Defined results: a null text or role is empty; messages that tie in turn are ordered by role and text; a
-message whose parent does not exist is a root; messages on a parent cycle belong to no root and raise an error; an empty
-table gives an empty result; extra columns are ignored.
+Defined results: a null text or role is empty; rows with a null conv_id are one conversation; messages that tie in turn
+are ordered by role and text, and rows that repeat are turns each; leaves that tie in score go by length and id; a message
+whose parent does not exist is a root; messages on a parent cycle belong to no root and raise an error; texts of any length
+are one turn; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,35 +86,46 @@ def parse(formatted: str) -> list[tuple[str, int, int]]:
 
 
 def _paths(nodes: DataFrame) -> DataFrame:
-    """(id, root, total, steps) of every node of (id, parent, score), by doubling jumps."""
+    """(id, root, total, steps) of every node of (id, parent, score), by doubling jumps.
+
+    A round moves and stages only the nodes that have not reached their root; the others stay in the tables of their rounds.
+    """
     ids = nodes.select(F.col("id").alias("parent"))
     have = nodes.join(ids.withColumn("there", F.lit(True)), "parent", "left")
-    jump = staged(have.select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("steps"), F.col("id").alias("root")), "chat-jump")
-    open_before = None
+    moving = staged(have.select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("steps"), F.col("id").alias("root")), "chat-jump")
+    done, open_before = moving.filter("up is null"), None
     while True:
-        moving = jump.filter("up is not null")
+        moving = moving.filter("up is not null")
         n = moving.count()
         if not n:
-            return jump.drop("up")
-        if open_before == n and moving.join(jump.select(F.col("id").alias("up"), F.col("up").alias("u2")).filter("u2 is null"), "up").isEmpty():
+            return done.drop("up")
+        if open_before == n and moving.join(done.select(F.col("id").alias("up")), "up").isEmpty():
             raise ValueError("messages reply to each other in a cycle")
         open_before = n
-        far = jump.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"), F.col("root").alias("root2"))
+        every = done.unionByName(moving)
+        far = every.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"), F.col("root").alias("root2"))
         step = moving.join(far, "up").select("id", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("steps") + F.col("s2")).alias("steps"), F.col("root2").alias("root"))
-        jump = staged(step.unionByName(jump.filter("up is null")), "chat-jump")
+        moving = staged(step, "chat-jump")
+        done = done.unionByName(moving.filter("up is null"))
 
 
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """(path, id, depth): the messages of each root's best ``branches`` leaves; path is the leaf's id, depth from 1.
 
-    ``nodes`` has id, parent, score; ids are unique.
+    ``nodes`` has id, parent, score; ids are unique, and of any type that can be compared.  Under a root with one leaf all
+    messages are on its path; only in the other trees are the paths enumerated by jumps from the leaves.
     """
     info = staged(_paths(nodes), "chat-paths")
-    leaves = info.join(nodes.select(F.col("parent").alias("id")).filter("id is not null").distinct(), "id", "left_anti")
+    leaves = staged(info.join(nodes.select(F.col("parent").alias("id")).filter("id is not null").distinct(), "id", "left_anti"), "chat-leaves")
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "id"))
-    best = leaves.withColumn("k", rank).filter(F.col("k") <= branches).select(F.col("id").alias("path"), "id", F.col("steps").alias("depth"))
+    single = leaves.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("path")).filter("n = 1").select("root", "path")
+    alone = info.join(single, "root").select("path", "id", F.col("steps").alias("depth"))
+    forked = leaves.join(single, "root", "left_anti")
+    if forked.isEmpty():
+        return alone if branches else alone.limit(0)
+    best = forked.withColumn("k", rank).filter(F.col("k") <= branches).select(F.col("id").alias("path"), "id", F.col("steps").alias("depth"))
     # Ancestors at distance 2**k; every message found so far adds the one that far above it.
-    parents = nodes.join(info.filter("steps > 1").select("id"), "id").select("id", F.col("parent").alias("up"))
+    parents = nodes.join(info.filter("steps > 1").join(single, "root", "left_anti").select("id"), "id").select("id", F.col("parent").alias("up"))
     found, jump = staged(best, "chat-found"), staged(parents, "chat-up")
     distance = 1
     while not found.filter(F.col("depth") > distance).isEmpty():
@@ -121,9 +133,7 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         found = staged(found.unionByName(above), "chat-found")
         jump = staged(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("up2")), "up").select("id", F.col("up2").alias("up")), "chat-up")
         distance *= 2
-        if found.filter("depth = 1").count() == best.count() and jump.isEmpty():
-            break
-    return found
+    return found.unionByName(alone) if branches else found
 
 
 def format_paths(messages: DataFrame) -> DataFrame:
@@ -181,16 +191,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, n_turns) of conversations given as rows by turn: each row replies to the one before it.
 
-    Links come from each row's number in its conversation, found without gathering a conversation of any length
-    but for its light columns.
+    A message's id is its conversation and its number there, so no two share one.
     """
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = staged(rows.select("conv_id", "turn", "role", "text").withColumn("at", F.row_number().over(w)).withColumn("id", F.xxhash64("conv_id", "at")), "chat-rows")
-    nodes = numbered.select("id", F.when(F.col("at") > 1, F.xxhash64("conv_id", (F.col("at") - 1).cast("int"))).alias("parent"), F.lit(0.0).alias("score"))
-    paths = chosen_paths(nodes)
-    lines = numbered.join(paths, "id").select("path", F.col("depth").alias("at"), "role", "text")
-    convs = numbered.join(paths.filter("id = path").select(F.col("path").alias("id")), "id").select(F.col("id").alias("path"), "conv_id")
-    return format_paths(lines).join(convs, "path").select("conv_id", "formatted", "n_turns")
+    numbered = staged(rows.select("conv_id", "turn", "role", "text").withColumn("at", F.row_number().over(w)), "chat-rows")
+    place = lambda at: F.struct("conv_id", at.alias("at"))
+    nodes = numbered.select(place(F.col("at")).alias("id"), F.when(F.col("at") > 1, place(F.col("at") - 1)).alias("parent"), F.lit(0.0).alias("score"))
+    paths = chosen_paths(nodes).select("id", "depth")
+    lines = numbered.withColumn("id", place(F.col("at"))).join(paths, "id").select(F.col("conv_id").alias("path"), F.col("depth").alias("at"), "role", "text")
+    return format_paths(lines).withColumnRenamed("path", "conv_id")
 
 
 def op5_chat_format(spark, sf_dir):
