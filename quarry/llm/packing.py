@@ -3,10 +3,12 @@
 Documents become ids (byte-level BPE, then id 0), those over the capacity are cut, and pieces are packed
 by the sum-of-squares rule: each piece goes where the sum over all residual gaps of (open bins with that gap) squared
 becomes smallest.  Pieces are dealt by hash into groups of a bounded number of rows that are packed independently, so no
-task grows with the corpus; what a group leaves open is a few bins.
+task grows with the corpus, copies of one text included; what a group leaves open is a few bins.
 
-Defined results: a null or empty text is the single id 0; an empty table gives an empty result; rows that repeat a
-doc_id are packed each (their pieces carry the same numbers); extra columns are ignored.
+Defined results: a null or empty text is the single id 0; a text over the capacity, of any length, is cut; of placements
+that tie the smallest gap is taken, and pieces of one length go in the order of doc_id, piece, start and ids; rows that
+repeat a doc_id are packed each (``keep_place`` tells them apart); an empty table gives an empty result; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import staged, table
+from quarry.llm.common import located, only, staged, table
 
 CAPACITY, GROUP_ROWS = 2048, 100_000
 #: Outside of these characters, and where a special token's string occurs, the reference tokenizer itself runs.
@@ -76,9 +78,14 @@ def cut_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def document_pieces(docs: DataFrame, *, capacity: int = CAPACITY, files: tuple[str, str, str] | None = None, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids array<int>]) for all documents."""
+def document_pieces(docs: DataFrame, *, capacity: int = CAPACITY, files: tuple[str, str, str] | None = None, keep_ids: bool = False, keep_place: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, file, row][, ids array<int>]) for all documents; ``file`` is a hash of the
+    input file's path, ``row`` the row in it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "text"]
+    if keep_place:
+        rows, at = located(docs)
+        docs, columns = rows.select("doc_id", "text", F.xxhash64(at[0]).alias("file"), F.col(at[1]).alias("row")), ["doc_id", "text", "file", "row"]
 
     def run(batches):
         encode = encoder(files)
@@ -95,10 +102,12 @@ def document_pieces(docs: DataFrame, *, capacity: int = CAPACITY, files: tuple[s
                         if keep_ids:
                             ids.append(x.astype(np.int32))
                 a = np.array(rows, dtype=np.int64).reshape(-1, 4)
-                cols = [part.column(0).take(pa.array(owner, pa.int64())), pa.array(a[:, 0].astype(np.int32)), *(pa.array(a[:, i]) for i in (1, 2, 3))]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+                own = pa.array(owner, pa.int64())
+                cols = [part.column(0).take(own), pa.array(a[:, 0].astype(np.int32)), *(pa.array(a[:, i]) for i in (1, 2, 3)), *(part.column(i).take(own) for i in (2, 3) if keep_place)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", *["file", "row"] * keep_place, *["ids"] * keep_ids]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return docs.select(*columns).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", file long, row long" * keep_place + ", ids array<int>" * keep_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +159,11 @@ def pack_group(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``pieces`` with sequence_id and offset."""
-    groups = max(1, -(-pieces.count() // group_rows))
+    rows, at = located(pieces)
+    groups = max(1, -(-rows.count() // group_rows))
     names = pieces.columns
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
+    # The row's number spreads pieces that are equal in all else.
+    dealt = only(rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", at[1]), F.lit(groups))), [*names, "g"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pack_group(pdf, capacity)
@@ -163,9 +174,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, group_rows: int = GROUP
     return dealt.groupBy("g").applyInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, files: tuple[str, str, str] | None = None, group_rows: int = GROUP_ROWS, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacity: int = CAPACITY, files: tuple[str, str, str] | None = None, group_rows: int = GROUP_ROWS, keep_ids: bool = False, keep_place: bool = False) -> DataFrame:
     """Pieces of all documents with their places; with ``keep_ids`` also the ids themselves."""
-    return pack(staged(document_pieces(docs, capacity=capacity, files=files, keep_ids=keep_ids), "pieces"), capacity=capacity, group_rows=group_rows)
+    return pack(staged(document_pieces(docs, capacity=capacity, files=files, keep_ids=keep_ids, keep_place=keep_place), "pieces"), capacity=capacity, group_rows=group_rows)
 
 
 def op9_packing(spark, sf_dir):
