@@ -273,3 +273,19 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
 def op7_minhash(spark, sf_dir):
     _, found, _ = near_groups(table(spark, sf_dir, "documents"), percent=85)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct r, doc_id, case when len(w) < 5 then array_to_string(w, ' ') else w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] end as g
+  from (select r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select r, any_value(doc_id) as doc_id, count(*) as n from s group by r),
+p as (select a.r as x, b.r as y, count(*) as k from s a join s b on a.g = b.g and a.r < b.r group by a.r, b.r),
+l as (select a.doc_id as a, b.doc_id as b from p join n a on a.r = x join n b on b.r = y where 100 * k >= 85 * (a.n + b.n - k)),
+e as (select a, b from l union select b, a from l),
+c as (select a as v, a as to_ from e union select c.v, e.b from c join e on e.a = c.to_),
+m as (select v, min(to_) as low from c group by v)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(low, d.doc_id) as component_id, coalesce(low, d.doc_id) = d.doc_id as kept from d left join n using (r) left join m on m.v = d.doc_id
+"""

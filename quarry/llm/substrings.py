@@ -451,3 +451,17 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False, **options) -> Da
 
 def op8_substrings(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with d as (select row_number() over (order by doc_id nulls last) as r, doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+w as (select r, p, md5(substr(h, 2 * p + 1, 200)) as x from (select r, h, unnest(range(0, length(h) // 2 - 99)) as p from d)),
+g as (select r, p from (select r, p, row_number() over (partition by x order by r, p) as k from w) where k > 1),
+f as (select r, p, case when p <= lag(p) over (partition by r order by p) + 100 then 0 else 1 end as new_ from g),
+s as (select r, min(p) as a, max(p) + 100 as z from (select r, p, sum(new_) over (partition by r order by p rows unbounded preceding) as i from f) group by r, i),
+k as (
+  select r, a as at_, z, coalesce(lag(z) over (partition by r order by a), 0) as from_, a as to_ from s
+  union all select r, null, null, coalesce(max(z), 0), null from d left join s using (r) group by r),
+t as (select r, sum(coalesce(z - at_, 0)) as gone, count(at_) as n, string_agg(substr(h, 2 * from_ + 1, 2 * (coalesce(to_, length(h) // 2) - from_)), '' order by from_) as kept from k join d using (r) group by r)
+select doc_id, (length(h) // 2)::bigint as n_bytes, gone::bigint as n_removed, n::bigint as n_spans, sha256(unhex(kept)) as kept_sha256 from d join t using (r)
+"""
