@@ -1,4 +1,14 @@
-"""A corpus from ``documents``: quality rules, exact dedup, near dedup, mixing, packing."""
+"""A corpus from ``documents``: quality rules, exact dedup, near dedup, mixing, packing.
+
+Every stage works on all rows its predecessor kept.  The first four return the columns of documents, whatever their
+names; the last one returns the pieces' places in sequences, a row per piece: doc_id, piece, start, length,
+ids_crc32, sequence_id, offset, and file and row, which tell the copies apart that the mix makes of one document.  Ids
+are not carried along: they are the tokens [start, start + length) of the document.
+
+Defined results: documents with a null or empty text have no words and go with the quality rules, very long ones pass whole;
+of equal or near-equal documents one row stays, as the operators' docstrings say for ties and for null or repeated ids;
+the mix takes words, not documents, as its measure; an empty table passes every stage and gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +20,7 @@ STAGES = [
     ("exact dedup", lambda spark, docs, sf_dir: dedup.exact_dedup(docs)),
     ("near dedup", lambda spark, docs, sf_dir: minhash.near_dedup(docs, percent=80)),
     ("mixing", lambda spark, docs, sf_dir: mixing.mix_documents(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack_documents(docs)),
+    ("packing", lambda spark, docs, sf_dir: packing.pack_documents(docs, keep_place=True)),
 ]
 
 #: Quality model, stream state and packing have no SQL form; tests hold run() against a brute-force version.
