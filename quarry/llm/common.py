@@ -57,7 +57,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+#: Paths made in the open scratch blocks, innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Paths made and tables staged in the block are deleted at its end, but for the staged tables passed to what it yields."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df.staged_at)
+        if len(_scratch) > 1:
+            _scratch[-2].append(df.staged_at)
+        return df
+
+    _scratch.append(paths)
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for path in paths:
+            drop_path(spark, path)
 
 
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -7,6 +7,8 @@ within each input partition before it shuffles, so a digest with a third of all
 few rows.  Rows whose digest was met before are then checked against the retained row's full bytes, read by
 locator; rows that differ (digest collisions) are grouped by their full text instead.
 
+Texts of any length are hashed and compared whole.
+
 Defined results: null texts count as empty, and all empty texts are equal; among rows that tie in length and
 doc_id the first by (file, row) stays, null doc_ids come last; an empty table gives an empty result; extra columns
 are kept by :func:`exact_dedup` whatever their names.
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, choose_places, conf, located, new_path, only, staged, table
+from quarry.llm.common import SPACE, choose_places, conf, located, new_path, only, scratch, staged, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,12 +28,11 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", "")
 
 
-def records(docs: DataFrame, digest_bytes: int = 32) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(rows with locator, light records (digest, sha, chars, id, at, row), names of the locator's columns)."""
-    rows, at = located(docs)
+def records(rows: DataFrame, at: list[str], digest_bytes: int = 32) -> DataFrame:
+    """Light records (digest, sha, chars, id, at, row) of rows with their locator."""
     sha = F.unhex(F.sha2(normalised("text").cast("binary"), 256))
     light = rows.select(sha.alias("sha"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.col("doc_id").alias("id"), F.col(at[0]).alias("at"), F.col(at[1]).alias("row"))
-    return rows, light.withColumn("digest", F.substring("sha", 1, digest_bytes) if digest_bytes < 32 else F.col("sha")), at
+    return light.withColumn("digest", F.substring("sha", 1, digest_bytes) if digest_bytes < 32 else F.col("sha"))
 
 
 def _best() -> Column:
@@ -66,8 +67,13 @@ def keyed_state(log: DataFrame, log_path: str, state_path: str | None = None, fi
 def classes(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """(rows with locator, classes, locator names); classes: one light row per row of ``docs``:
     at, row, id, sha, keep_id, group_size, kept."""
-    spark = docs.sparkSession
-    rows, light, at = records(docs, digest_bytes)
+    rows, at = located(docs)
+    return rows, _classes(rows, at, digest_bytes, files_per_trigger), at
+
+
+def _classes(rows: DataFrame, at: list[str], digest_bytes: int = 32, files_per_trigger: int | None = None) -> DataFrame:
+    spark = rows.sparkSession
+    light = records(rows, at, digest_bytes)
     path = new_path(spark, "dedup-log")
     light.write.parquet(path)
     log = spark.read.schema(light.schema).parquet(path)
@@ -83,20 +89,21 @@ def classes(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int | No
     odd = staged(odd, "dedup-odd")
     if odd.isEmpty():
         out = log.join(groups, "digest")
-        return rows, out.select("at", "row", "id", "sha", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("at") == F.col("best.at")) & (F.col("row") == F.col("best.row"))).alias("kept")), at
+        return out.select("at", "row", "id", "sha", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("at") == F.col("best.at")) & (F.col("row") == F.col("best.row"))).alias("kept"))
     odd = odd.join(log.drop("digest"), ["at", "row"]).withColumnRenamed("bytes", "whole")
     apart = odd.groupBy("digest", "whole").agg(F.count(F.lit(1)).alias("n"), _best().alias("best"))
     odd_rows = odd.join(apart, ["digest", "whole"]).select("digest", "at", "row", "id", "sha", "n", "best")
     fewer = groups.join(odd.groupBy("digest").agg(F.count(F.lit(1)).alias("less")), "digest", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
     out = log.join(odd.select("at", "row"), ["at", "row"], "left_anti").join(fewer, "digest").select("digest", "at", "row", "id", "sha", "n", "best").unionByName(odd_rows)
-    return rows, out.select("at", "row", "id", "sha", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("at") == F.col("best.at")) & (F.col("row") == F.col("best.row"))).alias("kept")), at
+    return out.select("at", "row", "id", "sha", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("at") == F.col("best.at")) & (F.col("row") == F.col("best.row"))).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows, found, at = classes(docs, **options)
-    out = choose_places(rows, at, found.filter("not kept"), keep=False)
-    return only(out, docs.columns)
+    rows, at = located(docs)
+    with scratch(docs.sparkSession) as keep:
+        dropped = keep(staged(_classes(rows, at, **options).filter("not kept").select("at", "row"), "dedup-dropped"))
+    return only(choose_places(rows, at, dropped, keep=False), docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir):

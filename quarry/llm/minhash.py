@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import choose_places, components, located, only, small_batches, staged, table
+from quarry.llm.common import choose_places, components, located, only, scratch, small_batches, staged, table
 from quarry.llm.hashing import binaries, shingles, slices
 
 WORDS, SKETCH, INDEX, SHORT, BLOCK_HASHES = 5, 64, 16, 24, 1 << 19
@@ -219,12 +219,12 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, in
     """(rows with locator, groups, locator names); groups: id, at, row, n, sig, component_id for every row of ``docs``;
     documents are linked at a similarity of ``percent`` hundredths or more."""
     rows, at = located(docs)
-    with small_batches(docs.sparkSession, 2000):
-        return rows, _grouped(rows, at, words, sketch, index, short, percent), at
+    with scratch(docs.sparkSession) as keep, small_batches(docs.sparkSession, 2000):
+        return rows, keep(staged(_grouped(rows, at, words, sketch, index, short, percent), "near-found")), at
 
 
 def _grouped(rows: DataFrame, at: list[str], words: int, sketch: int, index: int, short: int, percent: int) -> DataFrame:
-    """The groups, staged but for a last join of light rows."""
+    """The groups, by way of staged tables."""
     texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), "text")
     all_docs = staged(document_sketches(texts, words, sketch), "near-sketches", compression="zstd")
     known = all_docs.filter("n > 0 and id is not null")
@@ -263,7 +263,6 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the one with the smallest doc_id, and of rows
     that repeat both this doc_id and the set the first by file and row."""
     rows, found, at = near_groups(docs, **options)
-    found = staged(found, "near-found")
     again = found.filter("id = component_id and n > 0").withColumn("k", F.row_number().over(Window.partitionBy("id", "sig").orderBy("at", "row"))).filter("k > 1").select("at", "row")
     dropped = found.filter("id != component_id").select("at", "row").unionByName(again)
     out = choose_places(rows, at, dropped, keep=False)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WORD, free_name, located, only, staged, table
+from quarry.llm.common import WORD, free_name, located, only, scratch, staged, table
 
 BUCKET_ROWS, RANGE_ROWS = 512, 50_000
 
@@ -100,8 +100,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs``, repeated as taken, globally range-sorted by finish time."""
     rows, at = located(docs)
     time = free_name({c.lower() for c in rows.columns}, "finish")
-    plan = mix_plan(rows, at, **options).filter("taken > 0").select(*at, F.explode("finish").alias(time))
-    out = rows.join(plan, at).repartitionByRange(F.col(time), *[F.col(c) for c in at]).sortWithinPartitions(time, *at)
+    with scratch(docs.sparkSession) as keep:
+        plan = keep(staged(mix_plan(rows, at, **options).filter("taken > 0").select(*at, "finish"), "mix-plan"))
+    # The plan grows with the documents, so it is never broadcast.
+    out = rows.join(plan.toDF(*at, time).hint("merge"), at).withColumn(time, F.explode(time))
+    out = out.repartitionByRange(F.col(time), *[F.col(c) for c in at]).sortWithinPartitions(time, *at)
     return only(out, docs.columns)
 
 

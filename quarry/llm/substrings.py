@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import located, make_dir, new_path, release, small_batches, staged, table
+from quarry.llm.common import located, make_dir, new_path, release, scratch, small_batches, staged, table
 from quarry.llm.hashing import ODD, binaries, mix, slices
 from quarry.llm.suffixes import permuted_lcp, suffix_arrays
 
@@ -417,7 +417,7 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False, **options) -> Da
         _write(store, f"{top}/{key[0].as_py()}-{key[1].as_py()}", np.stack([r[cut], a[cut], reach[ends] - base[cut]]).astype(np.int64).tobytes())
         return pa.table({"n": [len(cut)]})
 
-    with small_batches(spark, 2000):
+    with scratch(spark), small_batches(spark, 2000):
         spans = repeated_spans(texts, **options).distinct().withColumn("unit", F.floor(F.col("row") / UNIT_ROWS))
         staged(spans.groupBy("file", "unit").applyInArrow(write, "n long"), "spans-listed")
 

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from quarry.llm import dedup as D
-from quarry.llm.common import new_path
+from quarry.llm.common import located, new_path
 
 
 def key(t):
@@ -40,7 +40,7 @@ def test_filter(docs, none, rows):
 
 def test_state_goes_on(spark, docs):
     """Files that come later meet the state that earlier ones left."""
-    light = D.records(docs)[1]
+    light = D.records(*located(docs))
     path, state = new_path(spark, "t-log"), new_path(spark, "t-state")
     light.filter("id < 20").write.parquet(path)
     first = D.keyed_state(light, path, state).count()
