@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
 
     config = load_config(a.config)
     spark = SparkSession.builder.appName("quarry").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    engine = Engine(spark, config.home, build_embedder(config.embedding.backend, model=config.embedding.model))
+    engine = Engine(spark, config.home, build_embedder(config.embedding.backend, **config.embedding.options()), chunking=config.index.chunking(), max_file_size_kb=config.index.max_file_size_kb)
     if a.command == "serve":
         serve(engine, sys.stdin, sys.stdout)
         return 0
@@ -49,7 +49,8 @@ def main(argv: list[str] | None = None) -> int:
         from quarry.operators.chunk import dump_chunks
         from quarry.sources.files import read_sources
 
-        print("\n\n".join(dump_chunks(read_sources(spark, a.path))))
+        for shown in dump_chunks(read_sources(spark, a.path)):
+            print(shown, end="\n\n")
         return 0
     if a.command == "index":
         out = engine.index_codebase(a.path, a.force, a.ext)

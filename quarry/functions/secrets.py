@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import _c, file_name
+from quarry.functions.text import _c, file_name, let
 
 # Public credential formats.
 RULES = [
@@ -36,15 +36,26 @@ def skip_file(p) -> Column:
 
 def entropy(c) -> Column:
     """Shannon entropy in bits per character, over characters."""
-    chars = F.split(_c(c), "")
-    n = F.size(chars)
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, x: s - (F.size(F.filter(chars, lambda y: y == x)) / n) * F.log2(F.size(F.filter(chars, lambda y: y == x)) / n))
 
+    def bits(chars: Column) -> Column:
+        shares = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / F.size(chars))
+        return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
-def contains_secret(c, least_entropy: float = LEAST_ENTROPY) -> Column:
-    c = _c(c)
+    return let(F.split(_c(c), ""), bits)
+
+
+def matches_rule(c) -> Column:
+    """Whether a text holds a credential of a known form."""
     rule = F.lit(False)
     for r in RULES:
-        rule = rule | c.rlike(r)
-    values = F.regexp_extract_all(c, F.lit(ASSIGNED), 1)
-    return rule | F.exists(values, lambda v: entropy(v) >= least_entropy)
+        rule = rule | _c(c).rlike(r)
+    return rule
+
+
+def assigned_values(c) -> Column:
+    """Values that a text assigns to names of secrets."""
+    return F.regexp_extract_all(_c(c), F.lit(ASSIGNED), 1)
+
+
+def contains_secret(c, least_entropy: float = LEAST_ENTROPY) -> Column:
+    return matches_rule(c) | F.exists(assigned_values(c), lambda v: entropy(v) >= least_entropy)

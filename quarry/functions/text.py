@@ -120,11 +120,20 @@ def is_declaration(line) -> Column:
     return F.regexp_replace(_c(line), r"^\s+", "").rlike("^(" + "|".join(DECLARATIONS) + ")")
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it, inside of lambdas too."""
+    return F.transform(F.array(value), f)[0]
+
+
 def shallow_projection(rel_path, content) -> Column:
     """``path:`` line, then the first and last lines and all declarations, in order."""
     lines = lines_of(content)
-    n = F.size(lines)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when((i < HEAD_LINES) | (i >= n - TAIL_LINES) | is_declaration(x), x)), lambda x: x.isNotNull())
+
+    def chosen(s: Column) -> Column:
+        marked = F.transform(s["lines"], lambda x, i: F.when((i < HEAD_LINES) | (i >= s["n"] - TAIL_LINES) | is_declaration(x), x))
+        return F.filter(marked, lambda x: x.isNotNull())
+
+    kept = let(let(lines, lambda x: F.struct(x.alias("lines"), F.size(x).alias("n"))), chosen)
     return F.concat(F.lit("path: "), _c(rel_path), F.lit("\n"), F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("\n"))), ""))
 
 

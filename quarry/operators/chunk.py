@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.secrets import contains_secret, skip_file
 from quarry.functions.text import CODE_OVERLAP, CODE_WINDOW, chunk_id, content_hash, language_of, lines_of, shallow_id, shallow_projection, window_size
 
 MAX_LINES, OVERLAP, HEADER = 200, 25, 5
@@ -196,10 +197,12 @@ def shallow_documents(files: DataFrame) -> DataFrame:
     return df.select("id", "content_hash", "rel_path", F.lit(1).alias("start_line"), F.greatest(F.size(lines_of("content")), F.lit(1)).alias("end_line"), F.lit(None).cast("string").alias("symbol_name"), F.lit(None).cast("string").alias("symbol_type"), F.coalesce(language_of("rel_path"), F.lit("unknown")).alias("language"), F.col("text").alias("content"), "last_modified")
 
 
-def dump_chunks(files: DataFrame, limit: int = 50) -> list[str]:
-    """Printable lines of the first chunks, for inspection only; nothing is stored."""
-    rows = chunk_files(files).orderBy("rel_path", "start_line", "end_line").limit(limit).collect()
-    return [f"{r.rel_path}:{r.start_line}-{r.end_line} {r.symbol_type or '-'} {r.symbol_name or '-'} {r.language}\n{r.content}" for r in rows]
+def dump_chunks(files: DataFrame):
+    """Printable lines of all chunks, one at a time and in order, for inspection only; nothing is stored.  Files and chunks with
+    secrets are left out, as from an index."""
+    rows = chunk_files(files.filter(~skip_file("rel_path"))).filter(~contains_secret("content"))
+    for r in rows.orderBy("rel_path", "start_line", "end_line").toLocalIterator():
+        yield f"{r.rel_path}:{r.start_line}-{r.end_line} {r.symbol_type or '-'} {r.symbol_name or '-'} {r.language}\n{r.content}"
 
 
 __all__ = ["chunk_files", "dump_chunks", "finished", "shallow_documents", "sliding_chunks", "syntax_chunks"]

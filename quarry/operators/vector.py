@@ -34,14 +34,28 @@ def search_vector(chunks: DataFrame, query: list[float], k: int, *, filters: Col
 def search_vectors(chunks: DataFrame, queries: DataFrame, k: int, *, filters: Column | None = None, vector: str = "vector", id_col: str = "id") -> DataFrame:
     """(query_id, id, distance, rank): nearest chunks of many queries (query_id, vector).
 
-    Queries, a stated set whose size is checked, travel with the task; each Arrow batch of chunks is one matrix
+    Queries, a stated set, travel with the task in blocks of bounded size; each Arrow batch of chunks is one matrix
     product and gives at most k rows per query, the first by distance and id, so neither all pairs nor vectors are shuffled.
+    Rows without a vector are neither found nor searched for; a vector of another width than the queries' is an error.
     """
-    rows = queries.select("query_id", "vector").toArrow()
-    if rows.nbytes > MOST_QUERY_BYTES:
-        raise ValueError(f"queries take {rows.nbytes} bytes; search them in parts of at most {MOST_QUERY_BYTES}")
+    asked = queries.filter("vector is not null").select("query_id", "vector")
+    width = asked.agg(F.max(F.size("vector")), F.min(F.size("vector")), F.count(F.lit(1))).first()
+    if width[2] and width[0] != width[1]:
+        raise ValueError(f"queries have from {width[1]} to {width[0]} dimensions")
+    blocks = -(-4 * (width[0] or 0) * width[2] // MOST_QUERY_BYTES) or 1
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = None
+    for i in range(blocks):
+        part = _block(chunks, asked if blocks == 1 else asked.filter(number == i), k, filters, vector, id_col, width[0] or 0)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k, "distance", ascending=True)
+
+
+def _block(chunks: DataFrame, queries: DataFrame, k: int, filters: Column | None, vector: str, id_col: str, dim: int) -> DataFrame:
+    """(query_id, id, distance): per batch of chunks the nearest k for each query of one block."""
+    rows = queries.toArrow()
     ids = rows["query_id"].combine_chunks()
-    matrix = np.array(rows["vector"].to_pylist(), dtype=np.float32).reshape(rows.num_rows, -1)
+    matrix = np.array(rows["vector"].to_pylist(), dtype=np.float32).reshape(rows.num_rows, dim)
     wide = matrix.astype(np.float64)
     own = (wide**2).sum(1)
     kinds = (queries.schema["query_id"].dataType.simpleString(), chunks.schema[id_col].dataType.simpleString())
@@ -73,5 +87,5 @@ def search_vectors(chunks: DataFrame, queries: DataFrame, k: int, *, filters: Co
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), b.column(0).take(pa.array(at)), pa.array(d)], ["query_id", "id", "distance"])
 
     df = chunks if filters is None else chunks.filter(filters)
-    found = df.select(F.col(id_col).alias("id"), vector).mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, distance float")
-    return top_k(found, k, "distance", ascending=True)
+    df = check_dim(df.filter(F.col(vector).isNotNull()), dim, vector) if dim else df.limit(0)
+    return df.select(F.col(id_col).alias("id"), vector).mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, distance float")

@@ -15,12 +15,25 @@ class IndexConfig:
     doc_chunk_max_lines: int = 40
     max_file_size_kb: int = 512
 
+    def chunking(self) -> dict[str, int]:
+        """Arguments of the chunker."""
+        return {"max_lines": self.chunk_max_lines, "overlap": self.chunk_overlap_pct, "doc_lines": self.doc_chunk_max_lines}
+
 
 @dataclass
 class EmbeddingConfig:
     backend: str = "hash"
     model: str = ""
     api_key: str = field(default="", repr=False)
+    base_url: str = ""
+    folder: str = ""
+    dim: int = 0
+    rpm: int = 0
+
+    def options(self) -> dict:
+        """Arguments of the backend: those that it has and that are set."""
+        own = {"hash": ("dim",), "onnx": ("model", "folder"), "openai": ("model", "api_key", "base_url", "dim", "rpm"), "ollama": ("model", "base_url", "dim", "rpm")}
+        return {k: getattr(self, k) for k in own.get(self.backend, ()) if getattr(self, k)}
 
 
 @dataclass

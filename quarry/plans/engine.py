@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.relevance import candidate_limit
 from quarry.functions.synonyms import query_terms
-from quarry.functions.text import extension, file_hash, in_scope, is_doc_path, normal_scope, reason
+from quarry.functions.text import extension, file_hash, in_scope, is_doc_path, normal_scope, reason, trimmed
 from quarry.operators.context import assemble, filter_results, search_confidence, to_wire
 from quarry.operators.fusion import hydrate, query_weights, rrf_fuse
 from quarry.operators.keyword import keyword_search, top_k, words_of
@@ -24,6 +24,7 @@ from quarry.sources.embedders import HashEmbedder, prefixes
 from quarry.sources.files import read_sources
 
 MODES = ("hybrid", "semantic", "keyword")
+HEALTH_SECONDS = 30
 
 
 class QueryCache:
@@ -103,7 +104,7 @@ def search(store: Store, queries: DataFrame, k: int, embedder, *, mode: str = "h
 
     Both legs take ``filters`` before their cut, so neither over-fetches.  Blank queries and k = 0 give nothing.
     """
-    queries = queries.filter(F.trim("query") != "")
+    queries = queries.filter(trimmed("query") != "")
     limit = candidate_limit(k)
     index = store.index()
     semantic = keyword = None
@@ -134,6 +135,9 @@ class Engine:
     rank_file: str | None = None
     cache: QueryCache = field(default_factory=QueryCache)
     clock: object = time.time
+    chunking: dict = field(default_factory=dict)
+    max_file_size_kb: int | None = None
+    health: dict = field(default_factory=dict)
 
     def root(self, path: str) -> str:
         return f"{self.data_dir}/{project_key(path)}"
@@ -141,25 +145,35 @@ class Engine:
     def store(self, path: str) -> Store:
         return Store.open(self.spark, self.root(path), model=self.embedder.name, dim=self.embedder.dim)
 
+    def sources(self, path: str, extensions: list[str] | None = None) -> DataFrame:
+        size = {} if self.max_file_size_kb is None else {"max_file_kb": self.max_file_size_kb}
+        return read_sources(self.spark, path, extensions=extensions, **size)
+
     def index_codebase(self, path: str, force_full: bool = False, extensions: list[str] | None = None) -> dict:
         try:
-            files = read_sources(self.spark, path, extensions=extensions)
+            files = self.sources(path, extensions)
             store = Store.open_or_create(self.spark, self.root(path), model=self.embedder.name, dim=self.embedder.dim)
             whole = os.path.isdir(path) and extensions is None
             if whole:
                 index_shallow(files, store)
-            out = index_files(files, store, self.embedder, force=force_full, complete=whole, now=int(self.clock()))
+            out = index_files(files, store, self.embedder, force=force_full, complete=whole, now=int(self.clock()), **self.chunking)
             self.cache.clear()
+            self.health.clear()
             return out
         except (OSError, ValueError) as e:
             return {"status": "error", "error": str(e)}
 
     def status(self, path: str) -> dict:
-        """Coverage of the tree as it is now."""
+        """Coverage of the tree as it was at most HEALTH_SECONDS ago."""
+        known = self.health.get(path)
+        if known is not None and self.clock() - known[0] < HEALTH_SECONDS:
+            return known[1]
         store = self.store(path)
-        files = read_sources(self.spark, path).withColumn("hash", file_hash(F.col("content").cast("binary")))
+        files = self.sources(path).withColumn("hash", file_hash(F.col("content").cast("binary")))
         row = coverage(files, store.table("state"), store.manifest["phase"] == "full").first()
-        return row.asDict() | {"phase": store.manifest["phase"]}
+        out = row.asDict() | {"phase": store.manifest["phase"]}
+        self.health[path] = (self.clock(), out)
+        return out
 
     def search_code(self, **args) -> dict:
         try:
@@ -169,7 +183,8 @@ class Engine:
             mode = "keyword" if phase == "partial" else a["mode"]
             key = QueryCache.key(a["query"], mode, self.root(a["path"]), a["top_k"], tuple(a["filter_ext"]))
             hit = None if a["bypass_cache"] else self.cache.get(key)
-            if hit is None:
+            cached = hit is not None
+            if not cached:
                 ext = [e.lower().lstrip(".") for e in a["filter_ext"]]
                 queries = self.spark.createDataFrame([(0, a["query"])], "query_id int, query string")
                 found = search(store, queries, a["top_k"], self.embedder, mode=mode, expand=phase == "full", filters=extension("rel_path").isin(ext) if ext else None)
@@ -178,7 +193,7 @@ class Engine:
                 self.cache.put(key, hit, {h["file"] for h in hit})
             n, top = len(hit), max([h["score"] for h in hit], default=0.0)
             confidence = "high" if top > 0.8 and n >= 3 else "medium" if n and (top >= 0.5 or n >= 2) else "low"
-            return {"results": hit, "metadata": {"search_time_ms": int((time.monotonic() - began) * 1000), "mode": mode, "cache_hit": False, "index_status": phase, "result_confidence": confidence, "missing_context_warnings": [] if phase == "full" else ["index is incomplete; results may miss files"]}}
+            return {"results": hit, "metadata": {"search_time_ms": int((time.monotonic() - began) * 1000), "mode": mode, "cache_hit": cached, "index_status": phase, "result_confidence": confidence, "missing_context_warnings": [] if phase == "full" else ["index is incomplete; results may miss files"]}}
         except (OSError, ValueError) as e:
             return {"status": "error", "error": str(e)}
 
@@ -189,6 +204,12 @@ class Engine:
             a = parse_context(args)
             store = self.store(a["path"])
             phase = store.manifest["phase"]
+            key = QueryCache.key(a["query"], "context", self.root(a["path"]), phase, *(v for k, v in sorted(a.items()) if k not in ("query", "path", "bypass_cache")))
+            hit = None if a["bypass_cache"] else self.cache.get(key)
+            if hit is not None:
+                hit = json.loads(hit)
+                hit["metadata"]["cache_hit"] = True
+                return hit
             queries = self.spark.createDataFrame([(0, a["query"])], "query_id int, query string")
             filters = None if a["include_docs"] else ~is_doc_path("rel_path")
             if a["scope"]:
@@ -200,7 +221,9 @@ class Engine:
                 related = (store.chunks, self.spark.createDataFrame([(0, vector)], "query_id int, query_vector array<float>"))
             package, meta = assemble(found, budget=a["token_budget"], max_files=a["max_files"], min_relevance=a["min_relevance"], include_docs=a["include_docs"], scope=a["scope"], include_related=a["include_related"], related=related, now=int(self.clock()), index_status=phase, rank_file=self.rank_file)
             row = to_wire(package, meta).first()
-            return json.loads(row.json) if row else {"chunks": [], "metadata": {"chunks_returned": 0, "index_status": phase, "result_confidence": "low"}}
+            out = json.loads(row.json) if row else {"chunks": [], "metadata": {"chunks_returned": 0, "cache_hit": False, "index_status": phase, "result_confidence": "low"}}
+            self.cache.put(key, json.dumps(out), {c["file"] for c in out["chunks"]})
+            return out
         except (OSError, ValueError) as e:
             return {"status": "error", "error": str(e)}
 

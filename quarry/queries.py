@@ -104,24 +104,49 @@ def path_and_hash(spark, d):
     )
 
 
-@query(
-    rf"""with {FILES} select rel_path, regexp_matches(content, '{"|".join(secrets.RULES[:-1]).replace("'", "''")}') as by_rule,
-    len(regexp_extract_all(content, '{secrets.ASSIGNED.replace("'", "''")}', 1))::int as assignments from files"""
-)
+_quoted = lambda x: x.replace("'", "''")
+BY_RULE = f"regexp_matches(content, '{_quoted('|'.join(secrets.RULES))}')"
+ASSIGNED = f"regexp_extract_all(content, '{_quoted(secrets.ASSIGNED)}', 1)"
+BITS = """list_sum(list_transform(list_distinct(string_split({v}, '')), lambda x:
+    -(len(list_filter(string_split({v}, ''), lambda y: y = x)) / length({v})::double) * log2(len(list_filter(string_split({v}, ''), lambda y: y = x)) / length({v})::double)))"""
+
+
+@query(f"with {FILES} select rel_path, {BY_RULE} as by_rule, len({ASSIGNED})::int as assignments from files")
 def secret_scan(spark, d):
     f = files_of(spark, d)
-    rule = F.lit(False)
-    for r in secrets.RULES[:-1]:
-        rule = rule | F.col("content").rlike(r)
-    return f.select("rel_path", rule.alias("by_rule"), F.size(F.regexp_extract_all("content", F.lit(secrets.ASSIGNED), 1)).alias("assignments"))
+    return f.select("rel_path", secrets.matches_rule("content").alias("by_rule"), F.size(secrets.assigned_values("content")).alias("assignments"))
 
 
-@query()
+@query(f"with {FILES} select rel_path from files where not {BY_RULE} and len(list_filter({ASSIGNED}, lambda v: {BITS.format(v='v')} >= {secrets.LEAST_ENTROPY})) = 0")
 def secret_gate(spark, d):
     """Documents that pass both secret gates."""
     return files_of(spark, d).filter(~secrets.skip_file("rel_path") & ~secrets.contains_secret("content")).select("rel_path")
 
 
+@query(f"select p_partkey, round({BITS.format(v='p_name')}, 9) as bits from part")
+def text_entropy(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.round(secrets.entropy("p_name"), 9).alias("bits"))
+
+
+# Paths of code files, which the tables lack, made from part numbers.
+_EXTENSIONS = ["rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "md", "txt", "RS", "unknown"]
+_LANGUAGE = {"rs": "rust", "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "go": "go"}
+_EXT_SQL = f"{_EXTENSIONS}[1 + (p_partkey % {len(_EXTENSIONS)})::int]"
+
+
+@query(
+    f"""with p as (select p_partkey, case p_partkey % 3 when 0 then 'Docs' when 1 then 'src/docs' else 'lib' end || '/f' || p_partkey || '.' || {_EXT_SQL} as path, lower({_EXT_SQL}) as ext from part)
+    select p_partkey, path, case ext {" ".join(f"when '{k}' then '{v}'" for k, v in _LANGUAGE.items())} when 'md' then {{md}} when 'java' then {{java}} when 'txt' then {{txt}} end as language,
+    ext, p_partkey % 3 != 2 or ext in ('md', 'txt', 'rst', 'adoc') as is_doc from p""".format(**{k: "null" if text.LANGUAGES.get(k) is None else f"'{text.LANGUAGES[k]}'" for k in ("md", "java", "txt")})
+)
+def path_language(spark, d):
+    """Language, extension and kind of paths given with back slashes."""
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (1 + F.col("p_partkey") % len(_EXTENSIONS)).cast("int"))
+    box = F.when(F.col("p_partkey") % 3 == 0, "Docs").when(F.col("p_partkey") % 3 == 1, "src\\docs").otherwise("lib")
+    p = read(spark, d, "part").select("p_partkey", text.normal_path(F.concat(box, F.lit("\\f"), "p_partkey", F.lit("."), ext)).alias("path"))
+    return p.select("p_partkey", "path", text.language_of("path").alias("language"), text.extension("path").alias("ext"), text.is_doc_path("path").alias("is_doc"))
+
+
 # -- vectors -----------------------------------------------------------------
 
 L2 = "list_sum(list_transform(list_zip({}, {}), lambda z: (z[1] - z[2])::double * (z[1] - z[2])::double))::float"
@@ -152,11 +177,21 @@ def knn_batch(spark, d):
     return vector.search_vectors(e, q, 8, vector="embedding", id_col="vec_id").withColumn("distance", F.round(F.col("distance").cast("double"), 4))
 
 
-@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as norm, len(embedding)::int as dim from embeddings")
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: x * 3::float) as v from embeddings), n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x::double * x::double))) as n from v)
+    select vec_id, round((v[1] / n)::float::double, 5) as first_, round((v[len(v)] / n)::float::double, 5) as last_, len(v)::int as dim from n""")
 def vector_norms(spark, d):
+    """Vectors of another length brought back to unit norm."""
+    v = read(spark, d, "embeddings").select("vec_id", R.l2_normalised(F.transform("embedding", lambda x: x * F.lit(3.0).cast("float"))).alias("v"))
+    each = lambda i: F.round(F.element_at("v", i).cast("double"), 5)
+    return v.select("vec_id", each(1).alias("first_"), each(-1).alias("last_"), F.size("v").alias("dim"))
+
+
+@query(f"select e.vec_id, round(1 / (1 + greatest({L2.format('e.embedding', 'q.embedding')}::double, 0)), 5) as similarity from embeddings e, (select embedding from embeddings where vec_id = 0) q")
+def vector_similarity(spark, d):
+    """Similarity from the distance to one vector."""
     e = read(spark, d, "embeddings")
-    n = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return e.select("vec_id", F.round(n, 5).alias("norm"), F.size("embedding").alias("dim"))
+    q = F.array(*[F.lit(float(x)).cast("float") for x in e.filter("vec_id = 0").first()["embedding"]])
+    return e.select("vec_id", F.round(R.similarity(R.squared_l2("embedding", q)).cast("double"), 5).alias("similarity"))
 
 
 # -- keyword search ----------------------------------------------------------
@@ -175,7 +210,8 @@ def _docs(spark, d) -> DataFrame:
 
 
 def _bm25(spark, d, terms) -> DataFrame:
-    scored = keyword.score(keyword.build_index(_docs(spark, d), stem=False), terms, stem=False, phrases=False)
+    index = keyword.build_index(_docs(spark, d), stem=False, positions=False, terms=keyword.analysed(terms, False))
+    scored = keyword.score(index, terms, stem=False, phrases=False)
     return scored.withColumn("score", F.round("score", 6))
 
 
@@ -206,20 +242,23 @@ def synonym_terms(spark, d):
 @query()
 def bm25_stemmed(spark, d):
     """Stemmed search with phrases: every benchmark passage against all documents."""
-    index = keyword.build_index(_docs(spark, d))
-    return keyword.keyword_search(index, _item_terms(spark, d), 10).withColumn("score", F.round("score", 6))
+    terms = _item_terms(spark, d)
+    index = keyword.build_index(_docs(spark, d), terms=keyword.analysed(terms, True))
+    return keyword.keyword_search(index, terms, 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {ITEMS.split(', qt')[0]}, {BM25.split('len_ as')[0].rstrip().rstrip(',')} select term, count(distinct id) as df, count(*) as cf from tok group by term")
 def term_statistics(spark, d):
-    p = keyword.build_index(_docs(spark, d), stem=False)["postings"].filter("field = 'content'")
+    p = keyword.build_index(_docs(spark, d), stem=False, positions=False)["postings"].filter("field = 'content'")
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
 # -- fusion ------------------------------------------------------------------
 
-RANKED = """s as (select 0 as query_id, doc_id as id, row_number() over (order by n_chars, doc_id)::int as rank from documents where lang = 'en'),
-    k as (select 0 as query_id, doc_id as id, row_number() over (order by n_chars desc, doc_id)::int as rank from documents where source != 'src1')"""
+#: A search hands at most so many candidates to fusion and assembly.
+CANDIDATES = 1000
+RANKED = f"""s as (select 0 as query_id, doc_id as id, row_number() over (order by n_chars, doc_id)::int as rank from documents where lang = 'en' order by 3 limit {CANDIDATES}),
+    k as (select 0 as query_id, doc_id as id, row_number() over (order by n_chars desc, doc_id)::int as rank from documents where source != 'src1' order by 3 limit {CANDIDATES})"""
 
 
 def _ranked(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -227,8 +266,7 @@ def _ranked(spark, d) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, d, "documents")
     semantic = docs.filter("lang = 'en'").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").cast("float").alias("distance"))
     kw = docs.filter("source != 'src1'").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    n = 2**31 - 1
-    return keyword.top_k(semantic, n, "distance", ascending=True), keyword.top_k(kw, n)
+    return keyword.top_k(semantic, CANDIDATES, "distance", ascending=True), keyword.top_k(kw, CANDIDATES)
 
 
 @query(f"with {RANKED} select coalesce(s.id, k.id) as id, (coalesce(0.6::float / (60 + s.rank), 0::float) + coalesce(0.4::float / (60 + k.rank), 0::float))::float as score from s full join k on s.id = k.id")
@@ -247,15 +285,22 @@ def hybrid_hydrated(spark, d):
     return fusion.hydrate(fusion.fused_top_k(s, k, 50), c).select("id", "score", "rank", "rel_path")
 
 
-@query(f"with {RANKED} select k.id from k anti join s on s.id = k.id")
+def _fallback(spark, d) -> DataFrame:
+    """Ranked documents hydrated where the chunk table lacks every third one and the keyword index every second."""
+    f = doc_files(spark, d).withColumnRenamed("doc_id", "id").select("id", "rel_path", "content", F.lit("markdown").alias("language"), F.col("n_chars").alias("last_modified"))
+    copies = f.filter("id % 2 = 0").withColumn("content", F.concat(F.lit("copy: "), "content"))
+    return fusion.hydrate(_ranked(spark, d)[1].select("id", "rank"), f.filter("id % 3 != 0"), copies)
+
+
+@query(f"with {RANKED} select k.id, k.rank from k where id % 3 = 0 and id % 2 = 0")
 def anti_missing(spark, d):
-    s, k = _ranked(spark, d)
-    return k.join(s, "id", "left_anti").select("id")
+    """Ranked ids that the chunk table lacks and the keyword index's copy serves."""
+    return _fallback(spark, d).filter("content like 'copy: %' and last_modified = 0").select("id", "rank")
 
 
-@query("select doc_id, quality, toxic from documents left join labels using (doc_id)")
+@query(f"with {RANKED} select k.id, k.rank, {PATH} as rel_path, (length(coalesce(text, '')) + case when k.id % 3 = 0 then 6 else 0 end)::int as chars from k join documents on doc_id = k.id where k.id % 3 != 0 or k.id % 2 = 0")
 def hydrate_left(spark, d):
-    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic")
+    return _fallback(spark, d).select("id", "rank", "rel_path", F.length("content").alias("chars"))
 
 
 @query("select doc_id from documents semi join (select doc_id from labels where quality = 1) using (doc_id) where source = 'src0'")
@@ -281,12 +326,12 @@ def adaptive_weights(spark, d):
 
 # -- context -----------------------------------------------------------------
 
-RESULTS = f"res as (select 0 as query_id, doc_id as id, {PATH} as rel_path, n_chars::float as score, row_number() over (order by n_chars desc, doc_id)::int as rank from documents)"
+RESULTS = f"res as (select 0 as query_id, doc_id as id, {PATH} as rel_path, n_chars::float as score, row_number() over (order by n_chars desc, doc_id)::int as rank from documents order by rank limit {CANDIDATES})"
 
 
 def _results(spark, d) -> DataFrame:
     f = doc_files(spark, d).select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), "rel_path", F.col("n_chars").cast("float").alias("score"))
-    return keyword.top_k(f, 2**31 - 1)
+    return keyword.top_k(f, CANDIDATES)
 
 
 @query(f"with {RESULTS}, n as (select *, (score / max(score) over ())::float as relevance from res) select id, rank, relevance from n where relevance >= 0.05::float")
@@ -330,6 +375,32 @@ def recency_boost(spark, d):
     return o.select("o_orderkey", R.recency(F.lit(0.8).cast("float"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")), 901_000_000).alias("boosted"))
 
 
+@query(
+    f"""with {RESULTS}, n as (select *, (score / max(score) over ())::float as relevance from res) select id, relevance, (select bool_or(relevance < 0.1::float) from n where rel_path like 'src2/%') as threshold_filtered from n
+    where rel_path like 'src2/%' and relevance >= 0.1::float"""
+)
+def package_filter(spark, d):
+    """The assembler's own filter: relevance by the best of all results, then scope and threshold."""
+    kept, dropped = context.direct_results(_results(spark, d), scope="src2", min_relevance=0.1)
+    return kept.join(dropped, "query_id").select("id", "relevance", "threshold_filtered")
+
+
+@query(
+    f"""with {RESULTS}, c as (select vec_id * 10 + j as id, 'tests/test_' || vec_id || '.md' as path, list_transform(embedding, lambda x: (x * (1 + j)::float)::float) as v from embeddings, range(5) t(j)),
+    n as (select c.id, c.path, res.rank, {L2.format("c.v", "q.embedding")} as distance from c join res on c.path = 'tests/test_' || regexp_extract(res.rel_path, '([^/.]*)[.]md$', 1) || '.md', (select embedding from embeddings where vec_id = 0) q),
+    k as (select *, row_number() over (partition by path order by distance, id) as k, (1 / (1 + greatest(distance, 0)))::float as similarity from n qualify row_number() over (partition by path order by distance, id) <= 3),
+    f as (select *, dense_rank() over (order by rank, path) as file_ from k where similarity > 0.3::float)
+    select id, path as rel_path, round(similarity::double * 0.6, 5) as relevance from f where file_ <= 5"""
+)
+def related_chunks(spark, d):
+    """Per related test file the nearest three of its chunks, at most five files."""
+    e = read(spark, d, "embeddings")
+    scaled = F.transform("embedding", lambda x: (x * (1 + F.col("j")).cast("float")).cast("float"))
+    c = e.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4)))).select((F.col("vec_id") * 10 + F.col("j")).alias("id"), F.concat(F.lit("tests/test_"), "vec_id", F.lit(".md")).alias("rel_path"), scaled.alias("vector"))
+    q = e.filter("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_vector"))
+    return context.expand_related(_results(spark, d).select("query_id", "rel_path", "rank"), c, q).select("id", "rel_path", F.round(F.col("relevance").cast("double"), 5).alias("relevance"))
+
+
 def _overlapping(spark, d) -> DataFrame:
     c = chunk.sliding_chunks(files_of(spark, d), window=8, step=3)
     c = c.select(F.lit(0).alias("query_id"), "rel_path", "start_line", "end_line", F.crc32(F.concat_ws(":", "rel_path", "ordinal")).cast("long").alias("id"), (F.pmod(F.crc32(F.concat_ws(":", "rel_path", "ordinal")), F.lit(1000)) / 1000).cast("float").alias("relevance"))
@@ -367,7 +438,9 @@ def confidence(spark, d):
 def _package(spark, d) -> tuple[DataFrame, DataFrame]:
     """A package for every benchmark passage from stemmed search over all documents."""
     docs = doc_files(spark, d)
-    ranked = keyword.keyword_search(keyword.build_index(_docs(spark, d), stem=False), _item_terms(spark, d), 20, stem=False, phrases=False)
+    terms = _item_terms(spark, d)
+    index = keyword.build_index(_docs(spark, d), stem=False, positions=False, terms=keyword.analysed(terms, False))
+    ranked = keyword.keyword_search(index, terms, 20, stem=False, phrases=False)
     rows = ranked.withColumn("score", F.round("score", 6).cast("float")).join(docs.withColumnRenamed("doc_id", "id"), "id")
     rows = rows.select("query_id", "id", "rel_path", F.lit(1).alias("start_line"), F.size(text.lines_of("content")).alias("end_line"), F.lit(None).cast("string").alias("symbol_name"), F.lit(None).cast("string").alias("symbol_type"), F.lit("markdown").alias("language"), "content", F.lit(0).cast("long").alias("last_modified"), "score", "rank")
     return context.assemble(rows, budget=4000, max_files=5, min_relevance=0.2)
@@ -450,13 +523,24 @@ def eval_precision_recall_mrr(spark, d):
     return s.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")])
 
 
-def passages_in(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, rel_path) where the text holds the item's text; items are a fixed benchmark, checked to be small."""
-    rows = items.filter("text is not null").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10000 passages; pass them in parts")
-    hits = F.array_compact(F.array(*[F.when(F.col("text").contains(r.text), F.lit(r.query_id)) for r in rows]))
-    return docs.select("rel_path", F.explode(hits).alias("query_id"))
+def passages_in(docs: DataFrame, items: DataFrame, words: int = 4, block: int = 500) -> DataFrame:
+    """(query_id, rel_path) where the text holds the item's text.
+
+    A text that holds a passage holds its second to fifth word as whole words, so the hash of these four finds the candidates,
+    which are then compared in full.  Passages with fewer words meet the texts in blocks.
+    """
+    split = F.split("text", r"\s+")
+    hashed = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, words), " "))
+    items = items.filter("text is not null").withColumn("w", split)
+    long = items.filter(F.size("w") >= words + 2).select("query_id", F.col("text").alias("passage"), hashed(F.col("w"), 2).alias("key"))
+    grams = F.when(F.size("w") >= words, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: hashed(F.col("w"), i))))
+    found = docs.withColumn("w", split).select("rel_path", F.explode(grams).alias("key")).join(long, "key").select("rel_path", "query_id", "passage")
+    out = found.join(docs, "rel_path").filter(F.col("text").contains(F.col("passage"))).select("rel_path", "query_id")
+    short = items.filter(F.size("w") < words + 2).select("query_id", "text").collect()  # a stated query set of few words each
+    for lo in range(0, len(short), block):
+        hits = F.array_compact(F.array(*[F.when(F.col("text").contains(r.text), F.lit(r.query_id)) for r in short[lo : lo + block]]))
+        out = out.unionByName(docs.select("rel_path", F.explode(hits).alias("query_id")))
+    return out
 
 
 @query("select user_id, max(ts) as ts, count(*) as n from events group by user_id")

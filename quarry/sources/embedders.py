@@ -138,6 +138,10 @@ def truncated(text: str, most_bytes: int) -> str:
     return text.encode()[:most_bytes].decode(errors="ignore")
 
 
+#: Where the services answer unless a base_url is given.
+BASE_URLS = {"openai": "https://api.openai.com/v1", "ollama": "http://localhost:11434/v1"}
+
+
 def build_embedder(backend: str = "hash", *, model: str = "", fallback: str | None = None, **options):
     """The backend by name; where it cannot be built, ``fallback`` once."""
     try:
@@ -146,10 +150,12 @@ def build_embedder(backend: str = "hash", *, model: str = "", fallback: str | No
         if backend == "onnx":
             import os
 
-            if not os.path.exists(f"{options['folder']}/model.onnx"):
-                raise FileNotFoundError(f"no model in {options['folder']}")
+            folder = options.get("folder") or ""
+            if not os.path.exists(f"{folder}/model.onnx"):
+                raise FileNotFoundError(f"no model in {folder!r}; name its folder in embedding.folder")
             return OnnxEmbedder(name=model, dim=DIMS.get(model, 0), **options)
         if backend in ("openai", "ollama"):
+            options.setdefault("base_url", BASE_URLS[backend])
             return HttpEmbedder(name=model, dim=options.pop("dim", 0) or DIMS.get(model, 0), **options)
         raise ValueError(f"unknown embedding backend {backend!r}")
     except (FileNotFoundError, KeyError, ValueError):
