@@ -3,7 +3,6 @@ correctly rounded float quotient and keeps ties exact."""
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 from pyspark.sql import Column
@@ -79,10 +78,6 @@ def candidate_limit(top_k: int) -> int:
     return min(top_k * 4, max(200, top_k))
 
 
-def expanded_limit(limit: int) -> int:
-    return min(max(limit * 64, 1024), 10_000)
-
-
 def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Mean over unmasked tokens; a zero row where all are masked."""
     m = mask[..., None].astype(np.float32)
@@ -91,7 +86,3 @@ def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 def bm25_idf(n, df) -> Column:
     return F.log1p((_c(n) - _c(df) + 0.5) / (_c(df) + 0.5))
-
-
-def finite(x: float) -> bool:
-    return math.isfinite(x)

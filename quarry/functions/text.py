@@ -84,10 +84,6 @@ def lines_of(c) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(c, r"\r?\n\z", ""), r"\r?\n"))
 
 
-def has_extension(p, extensions: list[str]) -> Column:
-    return extension(p).isin([x.lower().lstrip(".") for x in extensions])
-
-
 def is_doc_path(p) -> Column:
     low = F.lower(_c(p))
     return low.startswith("docs/") | low.contains("/docs/") | extension(p).isin(DOC_EXTENSIONS)

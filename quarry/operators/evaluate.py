@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.operators.chunk import sliding_chunks
-from quarry.operators.keyword import build_index, keyword_search, words_of
+from quarry.operators.keyword import analysed, build_index, keyword_search, words_of
 
 AT, CANDIDATES = 5, 20
 
@@ -34,5 +34,5 @@ def benchmark(corpus: DataFrame, queries: DataFrame, *, stem: bool = True) -> Da
     """Means over a labelled fixture, with raw queries against a keyword index of the corpus's chunks."""
     chunks = sliding_chunks(corpus.withColumn("last_modified", F.lit(0).cast("long"))).withColumn("id", F.sha2(F.concat_ws(":", "rel_path", "ordinal"), 256)).withColumn("symbol_name", F.lit(None).cast("string"))
     terms = queries.select("query_id", F.explode(words_of("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    ranked = keyword_search(build_index(chunks, stem), terms, CANDIDATES, stem=stem).join(chunks.select("id", "rel_path"), "id")
+    ranked = keyword_search(build_index(chunks, stem, terms=analysed(terms, stem)), terms, CANDIDATES, stem=stem).join(chunks.select("id", "rel_path"), "id")
     return mean_scores(score_queries(ranked, queries.select("query_id", F.explode("relevant").alias("rel_path"))))

@@ -49,8 +49,3 @@ def hydrate(ranked: DataFrame, chunks: DataFrame, keyword_docs: DataFrame | None
 
 def fused_top_k(semantic: DataFrame, keyword: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
     return top_k(rrf_fuse(semantic, keyword, weights), k)
-
-
-def with_normalised(results: DataFrame) -> DataFrame:
-    """``relevance``: score over the query's best, within [0, 1]."""
-    return results.withColumn("relevance", normalised("score", F.max("score").over(Window.partitionBy("query_id"))))

@@ -41,6 +41,10 @@ class WatchConfig:
     debounce_ms: int = 200
     batch_size: int = 100
 
+    @property
+    def quiet(self) -> str:
+        return f"{self.debounce_ms} milliseconds"
+
 
 @dataclass
 class Config:

@@ -26,6 +26,13 @@ def quiet_periods(changes: DataFrame, quiet: str = "200 milliseconds", watermark
     return df.groupBy("rel_path", F.session_window("ts", quiet).alias("w")).agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n")).select("rel_path", "ts", "n")
 
 
+def settled_changes(changes: DataFrame, quiet: str = "200 milliseconds", watermark: str = "1 second") -> DataFrame:
+    """The latest change (rel_path, ts, content) of each burst, once its file has been quiet; in append mode on streams."""
+    df = changes.withWatermark("ts", watermark) if changes.isStreaming else changes
+    last = df.groupBy("rel_path", F.session_window("ts", quiet).alias("w")).agg(F.max(F.struct("ts", "content")).alias("x"))
+    return last.select("rel_path", "x.ts", "x.content")
+
+
 def apply_changes(batch: DataFrame, store: Store, embedder) -> dict:
     """Index changed files and drop removed ones."""
     last = latest_changes(batch.select("rel_path", "ts", "content")).cache()
@@ -39,14 +46,16 @@ def apply_changes(batch: DataFrame, store: Store, embedder) -> dict:
         last.unpersist()
 
 
-def reindex_stream(changes: DataFrame, root: str, embedder, checkpoint: str, *, every: str | None = None):
-    """Start the query; without ``every`` it stops when all that is there has been read."""
+def reindex_stream(changes: DataFrame, root: str, embedder, checkpoint: str, *, every: str | None = None, quiet: str | None = None):
+    """Start the query; without ``every`` it stops when all that is there has been read.  With ``quiet`` a file is indexed when
+    it has had no change for so long, by the times of the changes."""
     spark = changes.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
         store = Store.open_or_create(spark, root, model=embedder.name, dim=embedder.dim)
         apply_changes(batch, store, embedder)
 
+    changes = changes if quiet is None else settled_changes(changes, quiet)
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 

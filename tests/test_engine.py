@@ -57,7 +57,7 @@ def test_ignore_patterns():
 
 def test_engine(spark, tmp_path):
     root = tree(tmp_path)
-    e = Engine(spark, str(tmp_path / "data"), HashEmbedder(32), clock=lambda: 1_700_000_000)
+    e = Engine(spark, str(tmp_path / "data"), HashEmbedder(32), cache=QueryCache(ttl=1e9), clock=lambda: 1_700_000_000)
     assert "error" in e.search_code(query="login", path=root)
     first = e.index_codebase(root)
     assert first["files"] == 7 and first["changed"] == 7 and first["chunks"] == first["embeddings"] + first["reused"]
@@ -69,6 +69,10 @@ def test_engine(spark, tmp_path):
     assert e.search_code(query="login", path=root, mode="semantic")["results"]
     ctx = e.get_context_for_prompt(query="login user", path=root, token_budget=200, min_relevance=0.1)
     assert ctx["metadata"]["total_tokens"] <= 200 and ctx["chunks"][0]["file"]
+    assert ctx["metadata"]["cache_hit"] is False
+    same = e.get_context_for_prompt(query=" login user ", path=root, token_budget=200, min_relevance=0.1)
+    assert same["metadata"]["cache_hit"] is True and same["chunks"] == ctx["chunks"]
+    assert e.search_code(query="login", path=root, mode="semantic")["metadata"]["cache_hit"] is True
     os.remove(f"{root}/src/db.py")
     with open(f"{root}/src/auth.py", "a") as f:
         f.write("\ndef logout():\n    pass\n")
@@ -107,6 +111,39 @@ def test_stream(spark, tmp_path):
     assert [r.rel_path for r in Store.open(spark, root).chunks.collect()] == ["a.md"]
 
 
+def test_stream_waits_for_quiet(spark, tmp_path):
+    """A burst is indexed once, with its last text; a file that has not been quiet yet waits."""
+    src, root = str(tmp_path / "changes"), str(tmp_path / "store")
+    schema = "rel_path string, ts timestamp, content string"
+    for i, (path, ts, text) in enumerate([("a.md", "00:00:00.0", "first"), ("a.md", "00:00:00.1", "last"), ("b.md", "01:00:00.0", "other"), ("c.md", "01:00:30.0", "late")]):
+        spark.sql(f"select '{path}' as rel_path, timestamp'2024-01-01 {ts}' as ts, '{text}' as content").coalesce(1).write.parquet(f"{src}/{i}")
+    e = HashEmbedder(8)
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    reindex_stream(read, root, e, str(tmp_path / "cp"), quiet="200 milliseconds").awaitTermination()
+    assert {r.content for r in Store.open(spark, root).chunks.collect()} == {"last", "other"}
+
+
+def test_blank_queries(spark, tmp_path):
+    """White space of any kind is blank."""
+    from quarry.plans.engine import search
+
+    store = Store.create(spark, str(tmp_path / "s"), model="hashing", dim=8, buckets=2)
+    index_files(spark.createDataFrame([("a.md", "some words", 1)], FILE), store, HashEmbedder(8))
+    q = spark.createDataFrame([(0, "\u00a0\t "), (1, "words")], "query_id int, query string")
+    assert {r.query_id for r in search(store, q, 3, HashEmbedder(8)).collect()} == {1}
+
+
+def test_settings_reach_the_backend(tmp_path):
+    config = load_config(env={"QUARRY__EMBEDDING__BACKEND": "openai", "QUARRY__EMBEDDING__MODEL": "m", "QUARRY__EMBEDDING__API_KEY": "k", "QUARRY__EMBEDDING__DIM": "7", "QUARRY__INDEX__CHUNK_MAX_LINES": "9"})
+    e = build_embedder(config.embedding.backend, **config.embedding.options())
+    assert (e.name, e.dim, e.api_key) == ("m", 7, "k") and e.base_url.startswith("https://") and config.index.chunking()["max_lines"] == 9
+    assert build_embedder("ollama", model="m", dim=3, base_url="http://x").base_url == "http://x"
+    config = load_config(env={"QUARRY__EMBEDDING__BACKEND": "onnx"})
+    with pytest.raises(FileNotFoundError, match="folder"):
+        build_embedder(config.embedding.backend, **config.embedding.options())
+    assert config.watch.quiet == "200 milliseconds"
+
+
 def test_cache():
     now = [0.0]
     c = QueryCache(2, 60, lambda: now[0])
