@@ -19,9 +19,9 @@ from quarry.operators.fusion import hydrate, query_weights, rrf_fuse
 from quarry.operators.keyword import keyword_search, top_k, words_of
 from quarry.operators.vector import search_vectors
 from quarry.plans.indexing import coverage, index_files, index_shallow
-from quarry.plans.store import Store
+from quarry.plans.store import Store, buckets_for
 from quarry.sources.embedders import HashEmbedder, prefixes
-from quarry.sources.files import read_sources
+from quarry.sources.files import discover_files, read_sources
 
 MODES = ("hybrid", "semantic", "keyword")
 HEALTH_SECONDS = 30
@@ -146,13 +146,16 @@ class Engine:
         return Store.open(self.spark, self.root(path), model=self.embedder.name, dim=self.embedder.dim)
 
     def sources(self, path: str, extensions: list[str] | None = None) -> DataFrame:
-        size = {} if self.max_file_size_kb is None else {"max_file_kb": self.max_file_size_kb}
-        return read_sources(self.spark, path, extensions=extensions, **size)
+        return read_sources(self.spark, path, extensions=extensions, **self._limits())
+
+    def _limits(self) -> dict:
+        return {} if self.max_file_size_kb is None else {"max_file_kb": self.max_file_size_kb}
 
     def index_codebase(self, path: str, force_full: bool = False, extensions: list[str] | None = None) -> dict:
         try:
             files = self.sources(path, extensions)
-            store = Store.open_or_create(self.spark, self.root(path), model=self.embedder.name, dim=self.embedder.dim)
+            size = discover_files(self.spark, path, extensions=extensions, with_content=False, **self._limits()).agg(F.sum("length")).first()[0]
+            store = Store.open_or_create(self.spark, self.root(path), model=self.embedder.name, dim=self.embedder.dim, buckets=buckets_for(size or 0))
             whole = os.path.isdir(path) and extensions is None
             if whole:
                 index_shallow(files, store)

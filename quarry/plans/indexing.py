@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,21 +50,31 @@ def coverage(files: DataFrame, state: DataFrame, text_ready: bool = True) -> Dat
     return df.withColumn("pct", pct).withColumn("status", F.when(F.col("indexed") == 0, "empty").when((F.col("indexed") == F.col("total")) & F.lit(text_ready), "full").otherwise("partial"))
 
 
-def _kept(df: DataFrame, store: Store, name: str) -> DataFrame:
-    path = f"{store.root}/work/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def _work(store: Store):
+    """Gives a function that writes a table once and reads it back; the tables go at the end of the block."""
+    top = f"work/{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{store.root}/{top}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{store.root}/{top}/{name}")
+
+    try:
+        yield kept
+    finally:
+        store.drop(top)
 
 
 def index_shallow(files: DataFrame, store: Store) -> int:
     """A projected document for every file that has no deep ones yet; secrets never enter the index."""
     deep = store.table("texts").filter("index_depth = 'deep'").select("rel_path").distinct()
     docs = shallow_documents(files.filter(~skip_file("rel_path")).join(deep, "rel_path", "left_anti")).filter(~contains_secret("content"))
-    docs = _kept(docs.withColumn("index_depth", F.lit("shallow")).select(*[f.split()[0] for f in TABLES["texts"].split(", ")]), store, "shallow")
-    n = docs.count()
-    if n:
-        store.replace(docs.select("rel_path").distinct(), store.text_rows(docs))
-        store.set_phase("partial")
+    with _work(store) as kept:
+        docs = kept(docs.withColumn("index_depth", F.lit("shallow")).select(*[f.split()[0] for f in TABLES["texts"].split(", ")]), "shallow")
+        n = docs.count()
+        if n:
+            store.replace(docs.select("rel_path").distinct(), store.text_rows(docs))
+            store.set_phase("partial")
     return n
 
 
@@ -76,26 +87,27 @@ def index_files(files: DataFrame, store: Store, embedder, *, force: bool = False
     """
     files = files.filter(~skip_file("rel_path")).withColumn("hash", file_hash(F.col("content").cast("binary")))
     state = store.table("state")
-    todo = _kept(changed_files(files, state, force), store, "todo")
-    gone = vanished_files(files, state) if complete else state.limit(0).select("rel_path")
-    total, changed, vanished = files.count(), todo.count(), gone.count()
-    stats = {"status": "ok", "files": total, "changed": changed, "unchanged": total - changed, "failed": 0, "chunks": 0, "embeddings": 0, "reused": 0, "skipped_secrets": 0, "removed": vanished}
-    if vanished:
-        gone = _kept(gone, store, "gone")
-        store.delete_by_files(gone, ("chunks", "texts", "postings", "lengths", "state"))
-    if changed:
-        paths = todo.select("rel_path")
-        store.set_status(todo, "pending")
-        chunks = chunk_files(todo, max_lines=max_lines, overlap=overlap, doc_lines=doc_lines).withColumn("secret", contains_secret("content"))
-        planned = _kept(plan_reuse(chunks.filter("not secret"), store.existing_embeddings(paths)), store, "planned")
-        counts = planned.agg(F.count(F.lit(1)), F.count_if(F.col("vector").isNotNull())).first()
-        stats |= {"chunks": counts[0], "reused": counts[1], "embeddings": counts[0] - counts[1], "skipped_secrets": chunks.filter("secret").count()}
-        rows = _kept(embed_missing(planned, embedder), store, "rows")
-        docs = rows.withColumn("index_depth", F.lit("deep")).withColumn("symbol_name", F.coalesce("symbol_name", F.lit("")))
-        docs = docs.select(*[f.split()[0] for f in TABLES["texts"].split(", ")])
-        store.replace(paths, {"chunks": rows} | store.text_rows(docs), inserted=store.manifest["inserted"] + counts[0])
-        store.set_status(todo, "indexed", now)
-        store.optimize()
-    if complete:
-        store.set_phase("full", now)
-    return stats
+    with _work(store) as kept:
+        todo = kept(changed_files(files, state, force), "todo")
+        gone = vanished_files(files, state) if complete else state.limit(0).select("rel_path")
+        total, changed, vanished = files.count(), todo.count(), gone.count()
+        stats = {"status": "ok", "files": total, "changed": changed, "unchanged": total - changed, "failed": 0, "chunks": 0, "embeddings": 0, "reused": 0, "skipped_secrets": 0, "removed": vanished}
+        if vanished:
+            gone = kept(gone, "gone")
+            store.delete_by_files(gone, ("chunks", "texts", "postings", "lengths", "state"))
+        if changed:
+            paths = todo.select("rel_path")
+            store.set_status(todo, "pending")
+            chunks = chunk_files(todo, max_lines=max_lines, overlap=overlap, doc_lines=doc_lines).withColumn("secret", contains_secret("content"))
+            planned = kept(plan_reuse(chunks.filter("not secret"), store.existing_embeddings(paths)), "planned")
+            counts = planned.agg(F.count(F.lit(1)), F.count_if(F.col("vector").isNotNull())).first()
+            stats |= {"chunks": counts[0], "reused": counts[1], "embeddings": counts[0] - counts[1], "skipped_secrets": chunks.filter("secret").count()}
+            rows = kept(embed_missing(planned, embedder), "rows")
+            docs = rows.withColumn("index_depth", F.lit("deep")).withColumn("symbol_name", F.coalesce("symbol_name", F.lit("")))
+            docs = docs.select(*[f.split()[0] for f in TABLES["texts"].split(", ")])
+            store.replace(paths, {"chunks": rows} | store.text_rows(docs), inserted=store.manifest["inserted"] + counts[0])
+            store.set_status(todo, "indexed", now)
+            store.optimize()
+        if complete:
+            store.set_phase("full", now)
+        return stats

@@ -1,9 +1,10 @@
 """A versioned store of chunk, text and state tables.
 
-Every table is split by a hash of rel_path into buckets.  A change writes new files for the buckets that it touches and then
-replaces the manifest, which names the version of every bucket; readers follow the manifest, so a change is visible as a whole
-or not at all, and its cost follows what changed, not the store.  Postings are sorted by term within a bucket, so a term
-lookup skips row groups.
+Every table is split by a hash of rel_path into buckets of about BUCKET_BYTES of sources, so their number follows the tree
+and what one task writes does not; a store that outgrows its buckets is dealt anew.  A change writes new files for the
+buckets that it touches and then replaces the manifest, which names the version of every bucket; readers follow the manifest, so a
+change is visible as a whole or not at all, and it costs the touched buckets, whatever the store's size.  Postings are
+sorted by term within a bucket, so a term lookup skips row groups.
 """
 
 from __future__ import annotations
@@ -27,6 +28,20 @@ TABLES = {
     "state": "rel_path string, hash string, status string, indexed_at long",
 }
 SORTED = {"postings": ["term", "id"], "chunks": ["rel_path", "start_line"]}
+#: Sources that one bucket is to hold; fewer buckets than LEAST_BUCKETS are never made.
+BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 16
+
+
+def buckets_for(source_bytes: int) -> int:
+    return max(LEAST_BUCKETS, -(-source_bytes // BUCKET_BYTES))
+
+
+def shared_root(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, on one machine else below /tmp/checkpoints."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+    return f"{(top or '/tmp/checkpoints').rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 class Store:
@@ -36,7 +51,7 @@ class Store:
     # -- opening -------------------------------------------------------------
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, *, model: str, dim: int, buckets: int = 16) -> Store:
+    def create(cls, spark: SparkSession, root: str, *, model: str, dim: int, buckets: int = LEAST_BUCKETS) -> Store:
         store = cls(spark, root, {"model": model, "dim": dim, "n_buckets": buckets, "version": 0, "tables": {t: {} for t in TABLES}, "last_full_index_at": None, "inserted": 0, "deleted": 0, "phase": "building"})
         store._publish()
         return store
@@ -55,11 +70,15 @@ class Store:
         return cls(spark, root, manifest)
 
     @classmethod
-    def open_or_create(cls, spark: SparkSession, root: str, *, model: str, dim: int, buckets: int = 16) -> Store:
+    def open_or_create(cls, spark: SparkSession, root: str, *, model: str, dim: int, buckets: int = LEAST_BUCKETS) -> Store:
+        """The store at ``root``, with at least half as many buckets as are asked for."""
         try:
-            return cls.open(spark, root, model=model, dim=dim)
+            store = cls.open(spark, root, model=model, dim=dim)
         except FileNotFoundError:
             return cls.create(spark, root, model=model, dim=dim, buckets=buckets)
+        if buckets > 2 * store.manifest["n_buckets"]:
+            store.rebucket(buckets)
+        return store
 
     def _publish(self) -> None:
         """Write the manifest beside the old one and rename it over: readers see one or the other."""
@@ -122,11 +141,8 @@ class Store:
         for name, new in rows.items():
             cols = [f.split()[0] for f in TABLES[name].split(", ")]
             kept = self.table(name, touched).join(files.select("rel_path"), "rel_path", "left_anti").select(*cols)
-            out = kept.unionByName(new.select(*cols)).withColumn("bucket", self.bucket())
-            out = out.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", *SORTED.get(name, ["rel_path"]))
-            path = f"{self.root}/{name}/v{version}"
-            out.write.partitionBy("bucket").mode("overwrite").parquet(path)
-            there = {r[0] for r in self.spark.read.parquet(path).select("bucket").distinct().collect()} if not self._empty(path) else set()
+            out = kept.unionByName(new.select(*cols)).withColumn("bucket", self.bucket()).repartition(max(1, len(touched)), "bucket")
+            there = self._write(out, name, version)
             for b in touched:
                 if b in there:
                     tables[name][str(b)] = version
@@ -135,10 +151,25 @@ class Store:
         self.manifest |= facts | {"version": version, "tables": tables}
         self._publish()
 
-    def _empty(self, path: str) -> bool:
+    def rebucket(self, n: int) -> None:
+        """Deal all rows into ``n`` buckets and publish them at once; readers of the old manifest keep the old files."""
+        old, version = Store(self.spark, self.root, dict(self.manifest)), self.manifest["version"] + 1
+        self.manifest |= {"n_buckets": n, "version": version}
+        self.manifest["tables"] = {t: {str(b): version for b in self._write(old.table(t).withColumn("bucket", self.bucket()).repartition(n, "bucket"), t, version)} for t in TABLES}
+        self._publish()
+
+    def _write(self, rows: DataFrame, name: str, version: int) -> set[int]:
+        """Write rows with their bucket as one version of a table; the buckets that have any."""
+        path = f"{self.root}/{name}/v{version}"
+        rows.sortWithinPartitions("bucket", *SORTED.get(name, ["rel_path"])).write.partitionBy("bucket").mode("overwrite").parquet(path)
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return not any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(p))
+        names = [s.getPath().getName() for s in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
+        return {int(x.removeprefix("bucket=")) for x in names if x.startswith("bucket=")}
+
+    def drop(self, path: str) -> None:
+        """Delete a folder below the store's root."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def text_rows(self, docs: DataFrame) -> dict[str, DataFrame]:
         """texts, postings and lengths of docs (texts' columns)."""

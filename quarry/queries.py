@@ -14,6 +14,7 @@ from quarry.functions import relevance as R
 from quarry.functions import secrets, synonyms, text
 from quarry.operators import chunk, context, evaluate, fusion, keyword, vector
 from quarry.plans import indexing
+from quarry.plans.store import Store, shared_root
 from quarry.sources.embedders import HashEmbedder, embedded
 from quarry.sources.files import table_sources
 from quarry.streaming import changes
@@ -248,6 +249,27 @@ def bm25_stemmed(spark, d):
     return keyword.top_k(keyword.score(index, terms).withColumn("score", F.round("score", 6)), 10)
 
 
+@query(f"with {ITEMS}, {BM25}, kept as (select *, row_number() over (partition by query_id order by score desc, id) as k from sc where id in (select doc_id from documents where source = 'src0')) select query_id, id, score, k::int as rank from kept where k <= 10")
+def bm25_filtered(spark, d):
+    """A filter on the documents' columns holds before the cut: ten results each, though other documents score better."""
+    terms = _item_terms(spark, d)
+    docs = doc_files(spark, d).select(F.col("doc_id").alias("id"), "rel_path", "content", F.lit("").alias("symbol_name"))
+    index = keyword.build_index(docs, stem=False, positions=False, terms=keyword.analysed(terms, False))
+    scored = keyword.score(index, terms, stem=False, phrases=False).withColumn("score", F.round("score", 6))
+    return keyword.best_of(scored, index["docs"], 10, text.in_scope("rel_path", "src0"))
+
+
+@query(
+    EXPANDED
+    + rf""", uq as (select conv_id * 1000 + turn as query_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) as token from conversations where role = 'user'),
+    ex as (select query_id, unnest(coalesce(string_split(w, ' '), [token])) as term from uq left join s on s.term = uq.token), qt as (select query_id, term, count(*) as weight from ex group by query_id, term),
+    {BM25} select query_id, id, score, rank::int as rank from rk where rank <= 5"""
+)
+def bm25_expanded(spark, d):
+    """The keyword leg: every user turn with its synonyms against all documents."""
+    return keyword.top_k(_bm25(spark, d, synonym_terms(spark, d)), 5)
+
+
 @query(f"with {ITEMS.split(', qt')[0]}, {BM25.split('len_ as')[0].rstrip().rstrip(',')} select term, count(distinct id) as df, count(*) as cf from tok group by term")
 def term_statistics(spark, d):
     p = keyword.build_index(_docs(spark, d), stem=False, positions=False)["postings"].filter("field = 'content'")
@@ -286,6 +308,26 @@ def hybrid_hydrated(spark, d):
     return fusion.hydrate(fusion.fused_top_k(s, k, 50), c).select("id", "score", "rank", "rel_path")
 
 
+@query(
+    rf"""with {ITEMS}, {BM25}, dist as (select item_id as query_id, e.vec_id as id, {L2.format('e.embedding', 'q.embedding')} as distance from benchmark join embeddings q on q.vec_id = item_id, embeddings e),
+    s as (select query_id, id, row_number() over (partition by query_id order by distance, id) as rank from dist qualify rank <= 40), k as (select query_id, id, rank from rk where rank <= 40),
+    f as (select coalesce(s.query_id, k.query_id) as query_id, coalesce(s.id, k.id) as id, (coalesce((0.7::float / (60 + s.rank))::float, 0::float) + coalesce((0.3::float / (60 + k.rank))::float, 0::float))::float as score
+          from s full join k on s.query_id = k.query_id and s.id = k.id),
+    r as (select *, row_number() over (partition by query_id order by score desc, id)::int as rank from f)
+    select query_id, r.id, rank, round(score::double, 6) as score, {PATH} as rel_path from r join documents on doc_id = r.id where rank <= 10"""
+)
+def hybrid_search(spark, d):
+    """Both legs of every benchmark passage, fused by weights of its words and hydrated: vectors of equal numbers stand for the
+    passages' and the documents' vectors."""
+    b, e = read(spark, d, "benchmark"), read(spark, d, "embeddings")
+    q = b.join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    semantic = vector.search_vectors(e, q, R.candidate_limit(10), vector="embedding", id_col="vec_id")
+    kw = keyword.top_k(_bm25(spark, d, _item_terms(spark, d)), R.candidate_limit(10))
+    ranked = fusion.fused_top_k(semantic, kw, 10, fusion.query_weights(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))))
+    c = doc_files(spark, d).select(F.col("doc_id").alias("id"), "rel_path", "content")
+    return fusion.hydrate(ranked, c).select("query_id", "id", "rank", F.round(F.col("score").cast("double"), 6).alias("score"), "rel_path")
+
+
 def _fallback(spark, d) -> DataFrame:
     """Ranked documents hydrated where the chunk table lacks every third one and the keyword index every second."""
     f = doc_files(spark, d).withColumnRenamed("doc_id", "id").select("id", "rel_path", "content", F.lit("markdown").alias("language"), F.col("n_chars").alias("last_modified"))
@@ -495,6 +537,53 @@ def embedding_reuse(spark, d):
     return p.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(~missing).alias("reused"), F.count_distinct(F.when(missing, F.col("content_hash"))).alias("embedded"))
 
 
+#: Documents as they are (now_) and as they were: some shorter by a line, some not there yet; and a file that is gone since.
+VERSIONS = f"""{FILES}, now_ as (select rel_path, content, doc_id from files), was as (
+    select rel_path, case when doc_id % 7 = 0 then content || chr(10) || 'an earlier last line' else content end as content, doc_id from files where doc_id % 11 != 0)"""
+NO_SECRET = f"not {BY_RULE} and len(list_filter({ASSIGNED}, lambda v: {BITS.format(v='v')} >= {secrets.LEAST_ENTROPY})) = 0"
+
+
+def _windows(files: str) -> str:
+    """SQL for the production windows of ``files`` without those that hold secrets."""
+    return rf"""(select * from (select rel_path, doc_id, start, least(start + 40, n) as end_line, array_to_string(list_slice(ls, start + 1, least(start + 40, n)), chr(10)) as content
+      from (select *, len(ls) as n, unnest(range(0, (((greatest(len(ls) - 40, 0) + 23) // 24) * 24 + 1)::bigint, 24)) as start from (select rel_path, doc_id, {LINES} as ls from {files}) where len(ls) > 0)) where {NO_SECRET})"""
+
+
+def _reindexed(spark, d) -> tuple[Store, dict]:
+    """A store that was brought up to the earlier documents and then to the present ones, and the second run's counts."""
+    now_ = files_of(spark, d)
+    number = F.regexp_extract("rel_path", r"(\d+)\.md$", 1).cast("long")
+    was = now_.filter(number % 11 != 0).withColumn("content", F.when(number % 7 == 0, F.concat("content", F.lit("\nan earlier last line"))).otherwise(F.col("content")))
+    gone = spark.createDataFrame([("gone/since.md", "a file that is not there any more", 0)], now_.schema)
+    e = HashEmbedder(16)
+    store = Store.create(spark, shared_root(spark), model=e.name, dim=e.dim)
+    indexing.index_files(was.unionByName(gone), store, e, now=1)
+    return store, indexing.index_files(now_, store, e, now=2)
+
+
+@query(
+    rf"""with {VERSIONS}, c as {_windows("now_")} select 'chunk' as kind, rel_path, (start + 1) || '-' || end_line || ' ' || sha256(rel_path || ':chunk_' || (start // 24) || ':' || sha256(content)) as fact from c
+    union all select 'state', rel_path, substr(sha256(content), 1, 16) || ' indexed ' || case when doc_id % 11 = 0 or doc_id % 7 = 0 then 2 else 1 end from now_"""
+)
+def incremental_index(spark, d):
+    """Chunk and state rows of a store after a second run over changed, new, vanished and unchanged files."""
+    store, _ = _reindexed(spark, d)
+    chunks = store.chunks.select(F.lit("chunk").alias("kind"), "rel_path", F.concat_ws(" ", text.line_range("start_line", "end_line"), "id").alias("fact"))
+    return chunks.unionByName(store.table("state").select(F.lit("state").alias("kind"), "rel_path", F.concat_ws(" ", "hash", "status", "indexed_at").alias("fact")))
+
+
+@query(
+    rf"""with {VERSIONS}, t as (select * from now_ where doc_id % 11 = 0 or doc_id % 7 = 0), c as {_windows("t")}, o as (select * from {_windows("was")} where doc_id % 7 = 0),
+    n as (select count(*) as chunks, count(*) filter (where sha256(content) in (select sha256(content) from o)) as reused from c)
+    select (select count(*) from now_) as files, (select count(*) from t) as changed, 1::bigint as removed, chunks, reused, chunks - reused as embeddings from n"""
+)
+def incremental_counts(spark, d):
+    """What the second run did: only changed files are chunked, and only chunks whose content they did not have are embedded."""
+    _, stats = _reindexed(spark, d)
+    names = ["files", "changed", "removed", "chunks", "reused", "embeddings"]
+    return spark.createDataFrame([tuple(stats[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query()
 def hashed_embeddings(spark, d):
     """Hash embeddings of all documents, each distinct text once."""

@@ -99,6 +99,26 @@ def test_store_and_recovery(spark, tmp_path):
     assert Store.open(spark, str(tmp_path / "s")).chunks.count() == 20
 
 
+def test_buckets_follow_the_sources(spark, tmp_path):
+    """A store that outgrows its buckets is dealt anew with the same rows, takes changes as before, and leaves no work tables."""
+    from quarry.plans.store import BUCKET_BYTES, LEAST_BUCKETS, TABLES, buckets_for
+
+    assert buckets_for(0) == LEAST_BUCKETS and buckets_for(100 * BUCKET_BYTES + 1) == 101
+    root, e = str(tmp_path / "s"), HashEmbedder(8)
+    files = spark.createDataFrame([(f"d/{i}.md", f"text number {i}", 1) for i in range(30)], FILE)
+    store = Store.create(spark, root, model=e.name, dim=8, buckets=2)
+    index_files(files, store, e, now=5)
+    before = {t: sorted(map(str, store.table(t).collect())) for t in TABLES}
+    assert Store.open_or_create(spark, root, model=e.name, dim=8, buckets=4).manifest["n_buckets"] == 2
+    store = Store.open_or_create(spark, root, model=e.name, dim=8, buckets=7)
+    assert store.manifest["n_buckets"] == 7 and set(store.manifest["tables"]["chunks"]) == {str(b) for b in store.buckets_of(files)}
+    assert {t: sorted(map(str, store.table(t).collect())) for t in TABLES} == before
+    store.optimize()
+    assert index_files(files, store, e)["changed"] == 0
+    assert index_files(files.filter("rel_path != 'd/3.md'"), store, e)["removed"] == 1 and store.chunks.count() == 29
+    assert not os.path.exists(f"{root}/work") or not os.listdir(f"{root}/work")
+
+
 def test_stream(spark, tmp_path):
     src, root = str(tmp_path / "changes"), str(tmp_path / "store")
     schema = "rel_path string, ts timestamp, content string"
