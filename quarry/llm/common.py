@@ -123,9 +123,18 @@ def release(spark: SparkSession) -> None:
 
 def map_rows(df: DataFrame, run) -> DataFrame:
     """mapInArrow over all columns, whatever their names: the batches' columns are c0, c1, ... and so are the results'."""
+    from quarry.llm.hashing import trim
+
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return plain.mapInArrow(mapped, plain.schema).toDF(*names)
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:

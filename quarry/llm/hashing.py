@@ -7,6 +7,7 @@ PIECE are cut at white space.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from functools import lru_cache
 
@@ -114,9 +115,20 @@ def shingles(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system.  Python workers outlive their tasks, and idle ones count beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library that has no such call
+        pass
+
+
 def slices(batch: pa.RecordBatch, rows: int = ROWS):
+    """A batch in parts of at most ``rows`` rows; what was freed meanwhile goes back once they are done with."""
     for lo in range(0, batch.num_rows, rows):
         yield batch.slice(lo, rows)
+    trim()
 
 
 def binaries(column: pa.Array) -> list[bytes | None]:

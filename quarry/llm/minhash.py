@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.common import choose_places, components, located, only, scratch, small_batches, staged, table
-from quarry.llm.hashing import binaries, shingles, slices
+from quarry.llm.hashing import binaries, shingles, slices, trim
 
 WORDS, SKETCH, INDEX, SHORT, BLOCK_HASHES = 5, 64, 16, 24, 1 << 19
 #: Similarity threshold of operator 7 as hundredths; the chance with which pruning or the estimate may miss a pair at a threshold.
@@ -209,6 +209,7 @@ def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: D
                     if 100 * k >= percent * (n + len(t) - k):
                         got.add((min(c, m_cid[m]), max(c, m_cid[m])))
         x = np.array(sorted(got), dtype=np.int64).reshape(-1, 2)
+        trim()
         return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
     with small_batches(texts.sparkSession):

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import located, only, staged, table
+from quarry.llm.hashing import trim
 
 CAPACITY, GROUP_ROWS = 2048, 100_000
 #: Outside of these characters, and where a special token's string occurs, the reference tokenizer itself runs.
@@ -87,7 +88,7 @@ def document_pieces(docs: DataFrame, *, capacity: int = CAPACITY, files: tuple[s
         rows, at = located(docs)
         docs, columns = rows.select("doc_id", "text", F.xxhash64(at[0]).alias("file"), F.col(at[1]).alias("row")), ["doc_id", "text", "file", "row"]
 
-    def run(batches):
+    def pieces(batches):
         encode = encoder(files)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -107,6 +108,13 @@ def document_pieces(docs: DataFrame, *, capacity: int = CAPACITY, files: tuple[s
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", *["file", "row"] * keep_place, *["ids"] * keep_ids]
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), names)
 
+    def run(batches):
+        try:
+            yield from pieces(batches)
+        finally:  # the vocabulary's tables would stay in the worker, beside whatever its executor does next
+            _loaded.clear()
+            trim()
+
     return docs.select(*columns).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", file long, row long" * keep_place + ", ids array<int>" * keep_ids)
 
 
