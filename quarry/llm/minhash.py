@@ -11,7 +11,7 @@ Candidates come in two steps, neither of which writes out all pairs of a long li
 1. each list's most central class (the one whose values are held by most classes) against all others of the list;
 2. where a list still spans several components: all pairs across components in lists of at most SHORT classes;
    in longer ones each class outside of the list's largest component, as a query, against all classes of the
-   list on full sets, in blocks of bounded size; only links are written.
+   list by their sketches, in blocks of bounded size; full sets are written once and read by place, and only links are written.
 The union's sketch estimates the similarity of candidates; what may reach the threshold is verified on the full sets, and
 components of the verified links give the groups.
 
@@ -26,19 +26,23 @@ doc_id count as documents that share an id; an empty table gives an empty result
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import choose_places, components, located, only, scratch, small_batches, staged, table
+from quarry.llm.common import choose_places, components, located, make_dir, new_path, only, release, scratch, small_batches, staged, table
 from quarry.llm.hashing import binaries, shingles, slices, trim
 
-WORDS, SKETCH, INDEX, SHORT, BLOCK_HASHES = 5, 64, 16, 24, 1 << 19
+WORDS, SKETCH, INDEX, SHORT = 5, 64, 16, 24
+#: Classes of a long list that one block holds, and bytes of full sets that a task keeps at hand.
+BLOCK_CLASSES, CACHE_BYTES = 8192, 16 << 20
 #: Similarity threshold of operator 7 as hundredths; the chance with which pruning or the estimate may miss a pair at a threshold.
 PERCENT, MISSED = 85, 1e-8
 
@@ -142,10 +146,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         return staged(_beside(likely, full).mapInArrow(check, "a long, b long"), "near-links")
 
 
-def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(cid, full binary) for the given classes: their sorted shingle hashes, from one text of each."""
+def _texts_of(cids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cid, text) for the given classes: one text of each."""
     used = staged(cids.distinct().join(classes.select("cid", "at", "row"), "cid"), "near-used")
     picked = choose_places(texts.select("at", "row", "text"), ["at", "row"], used, keep=True)
+    return picked.join(used, ["at", "row"]).select("cid", "text")
+
+
+def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(cid, full binary) for the given classes: their sorted shingle hashes."""
 
     def sets(batches):
         for part in (p for b in batches for p in slices(b, 256)):
@@ -153,62 +162,144 @@ def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(full, pa.binary())], ["cid", "full"])
 
     with small_batches(texts.sparkSession):
-        return staged(picked.join(used, ["at", "row"]).select("cid", "text").mapInArrow(sets, "cid long, full binary"), "near-sets")
+        return staged(_texts_of(cids, classes, texts).mapInArrow(sets, "cid long, full binary"), "near-sets")
+
+
+def _placed_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> tuple[DataFrame, str]:
+    """(cid, n, file, start) and the shared folder of the files: each class's full set is written once, and read by place."""
+    spark = texts.sparkSession
+    root = new_path(spark, "near-full")
+    make_dir(spark, root)
+
+    def write(batches):
+        store, top = fs.FileSystem.from_uri(root)
+        name, out, at = uuid.uuid4().hex, None, 0
+        try:
+            for part in (p for b in batches for p in slices(b, 256)):
+                sets = shingles(binaries(part.column(1)), words)
+                n = np.array([len(s) for s in sets], dtype=np.int64)
+                out = out or store.open_output_stream(f"{top}/{name}", compression=None)
+                for s in sets:
+                    out.write(s.tobytes())
+                start = at + 8 * (np.cumsum(n) - n)
+                at += 8 * int(n.sum())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array([name] * len(n), pa.string()), pa.array(start)], ["cid", "n", "file", "start"])
+        finally:
+            if out is not None:
+                out.close()
+
+    with small_batches(spark):
+        return staged(_texts_of(cids, classes, texts).mapInArrow(write, "cid long, n long, file string, start long"), "near-placed"), root
+
+
+class _SetFiles:
+    """Full sets by place; at most CACHE_BYTES of them are held, and few files are open."""
+
+    def __init__(self, root: str):
+        self.store, self.top = fs.FileSystem.from_uri(root)
+        self.sets: dict[tuple[str, int], np.ndarray] = {}
+        self.files: dict[str, pa.NativeFile] = {}
+        self.held = 0
+
+    def get(self, file: str, start: int, n: int) -> np.ndarray:
+        if (file, start) not in self.sets:
+            if self.held > CACHE_BYTES:
+                self.sets.clear()
+                self.held = 0
+            if file not in self.files:
+                if len(self.files) >= 64:
+                    self.close()
+                self.files[file] = self.store.open_input_file(f"{self.top}/{file}")
+            self.sets[file, start] = np.frombuffer(self.files[file].read_at(8 * n, start), np.uint64)
+            self.held += 8 * n
+        return self.sets[file, start]
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+        self.files.clear()
+
+
+def _block_rows(lists: DataFrame, main: DataFrame, classes: DataFrame, placed: DataFrame) -> DataFrame:
+    """What travels for long lists: a class's sketch and the place of its full set, once per block that it meets."""
+    rows = lists.join(main.withColumn("blocks", F.ceil(F.col("df") / BLOCK_CLASSES).cast("long")), "val")
+    rows = rows.join(placed.join(classes.select("cid", "sketch"), "cid"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    # Each row goes out once per block of the other kind; a class outside of the largest component is a query as well.
+    sides = F.when(F.col("root") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    rows = rows.withColumn("other", F.explode(every)).withColumn("q", F.explode(sides))
+    return rows.select("val", F.when(F.col("q"), F.col("other")).otherwise(F.col("own")).alias("m"), F.when(F.col("q"), F.col("own")).otherwise(F.col("other")).alias("k"), "q", "cid", "root", "n", "sketch", "file", "start")
 
 
-def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: DataFrame, words: int, index: int, percent: int) -> DataFrame:
+def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: DataFrame, words: int, index: int, sketch: int, percent: int) -> DataFrame:
     """Links of long lists: each class outside of its list's largest component against all of the list.
 
-    Members and queries are both dealt into blocks of a bounded number of hashes, and a task holds one block of each.
-    There, an element that no class of the other block has cannot be shared, which bounds the similarity of most pairs
-    below the threshold; the others are compared on their full sets.  A pair is compared only in
-    the list of the smallest value that both have, and only links are written.
+    Members and queries are both dealt into blocks of a bounded number of classes, and a task holds the sketches of one
+    block of each; full sets stay in the shared folder, whatever the number of blocks.  What the sketches have in common
+    bounds the union's estimate; pairs that it lets through are compared on their full sets, unless
+    links of the same task join them already.  A pair is compared only in the list of the smallest value that both have.
     """
-    blocks = F.ceil(F.col("hashes") / BLOCK_HASHES).cast("long")
-    rows = lists.join(main.withColumn("blocks", blocks), "val")
-    rows = rows.join(_full_sets(rows.select("cid"), classes, texts, words), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    # Each row goes out once per block of the other kind; a class outside of the largest component is a query as well.
-    sides = F.when(F.col("root") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-    rows = rows.withColumn("other", F.explode(every)).withColumn("q", F.explode(sides))
-    rows = rows.select("val", F.when(F.col("q"), F.col("other")).otherwise(F.col("own")).alias("m"), F.when(F.col("q"), F.col("own")).otherwise(F.col("other")).alias("k"), "q", "cid", "root", "full")
-
-    def shared(sets, cids, other_sets, other_cids):
-        """Of each set, how many elements some other class of the other block has; and the smallest values of each."""
-        values, count = np.unique(np.concatenate(other_sets), return_counts=True)
-        there = set(other_cids)
-        out = np.empty(len(sets), dtype=np.int64)
-        for i, (s, c) in enumerate(zip(sets, cids, strict=True)):
-            at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-            out[i] = np.count_nonzero((values[at] == s) & (count[at] > (c in there)))
-        return out
+    release(texts.sparkSession)
+    placed, root = _placed_sets(lists.join(main, "val").select("cid"), classes, texts, words)
+    release(texts.sparkSession)
+    rows = _block_rows(lists, main, classes, placed)
+    least = _least(percent, sketch) / sketch
 
     def run(key, both):
         val = np.array([key[0].as_py()], dtype=np.int64).view(np.uint64)[0]
-        got: set[tuple[int, int]] = set()
+        links: list[tuple[int, int]] = []
         members, queries = both.filter(pc.invert(both["q"])), both.filter(both["q"])
         if queries.num_rows and members.num_rows:
-            m_cid, q_cid = members["cid"].to_pylist(), queries["cid"].to_pylist()
-            m_root, q_root = np.array(members["root"].to_pylist()), queries["root"].to_pylist()
-            m_set, q_set = ([np.frombuffer(x, np.uint64) for x in t["full"].to_pylist()] for t in (members, queries))
-            m_n = np.array([len(x) for x in m_set])
-            m_most, q_most = shared(m_set, m_cid, q_set, q_cid), shared(q_set, q_cid, m_set, m_cid)
-            for c, r, s, most in zip(q_cid, q_root, q_set, q_most, strict=True):
-                n = len(s)
-                if 100 * most < percent * n:
-                    continue
-                bound = np.minimum(m_most, most)
-                near = (m_root != r) & (100 * bound >= percent * (n + m_n - bound))
-                low = s[:index]
-                low = low[low < val]
-                for m in np.flatnonzero(near):
-                    t = m_set[m]
-                    if len(low) and np.isin(low, t[:index], assume_unique=True).any():
+            low = [np.frombuffer(x.as_buffer(), np.uint64) for x in members["sketch"]]
+            size, m_n, m_root, m_cid = np.array([len(x) for x in low]), *(members[c].to_numpy() for c in ("n", "root", "cid"))
+            m_at = list(zip(members["file"].to_pylist(), members["start"].to_pylist(), m_n.tolist(), strict=True))
+            values, owner = np.concatenate(low), np.repeat(np.arange(len(low)), size)
+            padded = np.zeros((len(low), size.max()), dtype=np.uint64)
+            padded[np.arange(size.max()) < size[:, None]] = values
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            there, up, files = set(m_cid.tolist()), {}, _SetFiles(root)
+
+            def top(v):
+                while v in up:
+                    v = up[v]
+                return v
+
+            for x in queries.select(["cid", "root", "n", "sketch", "file", "start"]).to_batches(max_chunksize=256):
+                for c, r, n, s, file, start in zip(*(x.column(i).to_pylist() for i in range(6)), strict=True):
+                    s = np.frombuffer(s, np.uint64)
+                    begin, end = np.searchsorted(values, s), np.searchsorted(values, s, side="right")
+                    used = np.flatnonzero(end - begin > (c in there))
+                    if len(used) < least * len(s):
+                        continue
+                    # So many values have to be shared that a partner has one of the others, of which the rarest are looked up.
+                    rare = used[np.argsort((end - begin)[used], kind="stable")][: len(used) - math.ceil(least * len(s)) + 1]
+                    near = np.zeros(len(low), dtype=bool)
+                    for i in rare:
+                        near[owner[begin[i] : end[i]]] = True
+                    near &= (m_root != r) & (100 * n >= percent * m_n) & (100 * m_n >= percent * n)
+                    who = np.flatnonzero(near)
+                    if not len(who):
                         continue
-                    k = len(np.intersect1d(s, t, assume_unique=True))
-                    if 100 * k >= percent * (n + len(t) - k):
-                        got.add((min(c, m_cid[m]), max(c, m_cid[m])))
-        x = np.array(sorted(got), dtype=np.int64).reshape(-1, 2)
+                    # Ranks in the union of the values that both have: those before in either sketch, less those before in both.
+                    t = padded[who]
+                    place = np.searchsorted(s, t)
+                    both = (s[np.minimum(place, len(s) - 1)] == t) & (np.arange(t.shape[1]) < size[who, None])
+                    rank = place + np.arange(t.shape[1]) - (np.cumsum(both, axis=1) - both)
+                    union = size[who] + len(s) - both.sum(axis=1)
+                    union = np.where((size[who] == sketch) | (len(s) == sketch), np.minimum(union, sketch), union)
+                    again = (both & (place < index) & (t < val))[:, :index].any(axis=1)
+                    who = who[~again & ((both & (rank < union[:, None])).sum(axis=1) >= least * union)]
+                    for m in who:
+                        a, b = top(r), top(int(m_root[m]))
+                        if a == b:
+                            continue
+                        k = len(np.intersect1d(files.get(file, start, n), files.get(*m_at[m]), assume_unique=True))
+                        if 100 * k >= percent * (n + int(m_n[m]) - k):
+                            up[max(a, b)] = min(a, b)
+                            links.append((min(c, int(m_cid[m])), max(c, int(m_cid[m]))))
+            files.close()
+        x = np.array(links, dtype=np.int64).reshape(-1, 2)
         trim()
         return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
@@ -232,6 +323,7 @@ def _grouped(rows: DataFrame, at: list[str], words: int, sketch: int, index: int
     classes = staged(known.groupBy("sig").agg(F.min(F.struct("id", "at", "row")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("sig", F.col("x.id").alias("cid"), F.col("x.at").alias("at"), F.col("x.row").alias("row"), "n", "sketch"), "near-classes", compression="zstd")
     lists = _prune(_index(classes, index), index, percent)
 
+    release(texts.sparkSession)
     # Step 1: the centre of each list against the others.
     centre = lists.groupBy("val").agg(F.min(F.struct((-F.col("central")).alias("o"), "cid", "n")).alias("p")).select("val", F.col("p.cid").alias("pivot"), F.col("p.n").alias("n_b"))
     star = lists.join(centre, "val").filter("cid != pivot").withColumnRenamed("n", "n_a").filter(_sized(percent))
@@ -240,9 +332,10 @@ def _grouped(rows: DataFrame, at: list[str], words: int, sketch: int, index: int
 
     # Step 2: what lists still hold apart.
     roots = components(links, "near-roots")
+    release(texts.sparkSession)
     joined = staged(lists.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "near-lists")
-    per_root = joined.groupBy("val", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    main = per_root.groupBy("val").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("df"), F.sum("n").alias("hashes")).filter("roots > 1").select("val", "main", "df", "hashes")
+    per_root = joined.groupBy("val", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = per_root.groupBy("val").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("df")).filter("roots > 1").select("val", "main", "df")
     main = staged(main, "near-main")
     open_short = joined.drop("df").join(main.filter(F.col("df") <= short).select("val"), "val").select("val", "cid", "n", "root")
     left = open_short.select("val", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
@@ -252,7 +345,7 @@ def _grouped(rows: DataFrame, at: list[str], words: int, sketch: int, index: int
     more = _verified(pairs, classes, texts, words, sketch, percent)
     long_lists = main.filter(F.col("df") > short)
     if not long_lists.isEmpty():
-        more = more.unionByName(_block_links(joined.select("val", "cid", "root"), long_lists, classes, texts, words, index, percent))
+        more = more.unionByName(_block_links(joined.select("val", "cid", "root"), long_lists, classes, texts, words, index, sketch, percent))
     if not more.isEmpty():
         roots = components(links.unionByName(more), "near-roots")
     group = classes.select("sig", "cid").join(roots.withColumnRenamed("v", "cid"), "cid", "left").select("sig", F.coalesce("root", "cid").alias("root"))

@@ -60,3 +60,31 @@ def test_chains(spark, short):
             rows.append((rng.randrange(10**6), " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(df, short=short) == brute(rows)
+
+
+def test_blocks(spark, monkeypatch):
+    """Long lists dealt into several blocks: the links of all pairs, and rows whose size does not follow the documents'."""
+    rng = random.Random(11)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}x{rng.randrange(10**6)}" for _ in range(250 if g < 6 else 40)]
+        for k in range(4):
+            text = passage + own
+            for _ in range(rng.randrange(6)):
+                text[rng.randrange(len(text))] = f"new{rng.randrange(10**6)}"
+            rows.append((100 * k + g, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    travelled, block_rows = [], N._block_rows
+
+    def spied(*args):
+        out = block_rows(*args)
+        travelled.extend(out.toPandas().drop(columns="file").itertuples(index=False))
+        return out
+
+    monkeypatch.setattr(N, "_block_rows", spied)
+    monkeypatch.setattr(N, "BLOCK_CLASSES", 5)
+    monkeypatch.setattr(N, "CACHE_BYTES", 4000)
+    assert got(df, short=2) == brute(rows)
+    assert len({(r.m, r.k) for r in travelled}) > 4
+    assert max(r.n for r in travelled) > 300 and max(len(x) for r in travelled for x in r if isinstance(x, bytes | bytearray)) <= 8 * N.SKETCH
