@@ -208,3 +208,20 @@ def test_labelled_fixture(spark):
     queries = spark.createDataFrame([(str(i), f"how does the {t} work in all files", [f"src/{t.split()[0]}.rs"]) for i, t in enumerate(topics)], "query_id string, query string, relevant array<string>")
     r = evaluate.benchmark(corpus, queries).first()
     assert r.queries == len(topics) and r.recall_at_5 == 1.0 and r.mrr >= 0.975
+
+
+def test_whole_index(spark):
+    """Postings of a whole index are made where a document is read: nothing is shuffled unless ids repeat, and then rows of an id are one document."""
+    rows = [("1", "Handlers handle the handler, the RATES", "rateOf"), ("2", "", "handles"), ("3", None, None), ("4", "naïve 漢字 2 the", "")]
+
+    def made(rows):
+        d = spark.createDataFrame(rows, "id string, content string, symbol_name string").withColumn("rel_path", F.concat("id", F.lit(".md")))
+        return keyword.build_index(d, keep=("rel_path",))["postings"]
+
+    got = {(r.field, r.term, r.id): (r.tf, list(r.positions), r.rel_path) for r in made(rows).collect()}
+    assert got[("content", "handler", "1")] == (2, [0, 3], "1.md") and got[("content", "the", "1")] == (2, [2, 4], "1.md")
+    assert got[("symbol_name", "handl", "2")] == (1, [0], "2.md") and got[("content", "漢字", "4")] == (1, [1], "4.md")
+    assert {k[2] for k in got} == {"1", "2", "4"}
+    assert "Exchange" not in made(rows)._jdf.queryExecution().executedPlan().toString()
+    twice = {(r.field, r.term, r.id): (r.tf, list(r.positions)) for r in made([*rows, ("1", "the end", "")]).collect()}
+    assert twice[("content", "the", "1")] == (3, [0, 2, 4]) and twice[("content", "end", "1")] == (1, [1])
