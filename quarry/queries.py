@@ -267,7 +267,9 @@ def bm25_filtered(spark, d):
 )
 def bm25_expanded(spark, d):
     """The keyword leg: every user turn with its synonyms against all documents."""
-    return keyword.top_k(_bm25(spark, d, synonym_terms(spark, d)), 5)
+    terms = synonym_terms(spark, d)
+    index = keyword.build_index(_docs(spark, d), stem=False, positions=False, terms=keyword.analysed(terms, False))
+    return keyword.top_words(index, terms, 5, stem=False)
 
 
 @query(f"with {ITEMS.split(', qt')[0]}, {BM25.split('len_ as')[0].rstrip().rstrip(',')} select term, count(distinct id) as df, count(*) as cf from tok group by term")

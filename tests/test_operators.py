@@ -225,3 +225,18 @@ def test_whole_index(spark):
     assert "Exchange" not in made(rows)._jdf.queryExecution().executedPlan().toString()
     twice = {(r.field, r.term, r.id): (r.tf, list(r.positions)) for r in made([*rows, ("1", "the end", "")]).collect()}
     assert twice[("content", "the", "1")] == (3, [0, 2, 4]) and twice[("content", "end", "1")] == (1, [1])
+
+
+def test_top_words(spark, monkeypatch):
+    """Scores of many queries by blocks are those of all pairs, cut after rounding and with ties by id; no pair is shuffled."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(5 + i % 9)) if i % 10 else None, "") for i in range(60)]
+    rows += [(100 - i, rows[i][1], "w3 W3") for i in range(1, 9)]
+    d = spark.createDataFrame(rows, "id long, content string, symbol_name string")
+    t = spark.createDataFrame([(q, f"w{(q * j) % 25}", j) for q in range(1, 30) for j in range(1, 4)] + [(99, "nowhere", 1), (98, "two words", 1)], "query_id int, term string, weight int").groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
+    index = keyword.build_index(d, stem=False, positions=False, terms=keyword.analysed(t, False))
+    want = keyword.top_k(keyword.score(index, t, stem=False, phrases=False).withColumn("score", F.round("score", 6)), 4)
+    monkeypatch.setattr(keyword, "BLOCK_DOCS", 11)
+    monkeypatch.setattr(keyword, "BLOCK_QUERIES", 7)
+    got = keyword.top_words(index, t, 4, stem=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    assert got.count() > 80 and max(r.id for r in got.collect()) > 90
