@@ -5,9 +5,17 @@ the statistics gives each other document a path-length score, and one threshold
 decides.  The forest sees rates per word in levels of STEP: within a level good texts differ by chance only, and splits
 between levels are what isolates a text, so the score depends on the forest as a whole and on no single rule.
 
-The forest and the threshold are fitted on bounded samples (``trees * leaf_sample`` documents, ``most_labels`` labelled
-rows), both the rows of least hash among all; every document is scored.  One labelled row in HELD_OUT is kept out of the
-calibration; the model reports reject rates for both parts.
+The forest is grown from every document that passes the base rule: the rows are dealt at random into groups of about
+``leaf_sample``, each to exactly one of them, and every group grows one tree.  Where that gives fewer than ``trees`` trees, all rows are
+dealt again, so that each is in equally many.  Only levels matter to a tree, so what is dealt are counts of rows by level vector:
+any range of trees can be grown anywhere from these counts alone, tasks walk the distinct vectors through their own
+trees and send back sums of path lengths, and no tree is kept.  The threshold is calibrated on every labelled row that passes.  What it does on
+labels that it has not seen is measured apart: each of HELD_OUT folds is judged by a threshold from the others; the
+model reports reject rates for both.
+
+The driver holds one count and one score per distinct level vector (20 at sf0.1).  A text whose words have c characters on
+average takes c bytes at least, and at most 100 * (c + 1) vectors have that level, so their number grows at most with
+input ** (2 / 3).
 
 Defined results: a null text has no words and fails the base rule; an empty table gives an empty result; rows that repeat a
 doc_id are each judged; equal statistics have equal scores, and a score at the threshold stays; several labels of one
@@ -22,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import map_rows, scratch, staged, table
@@ -33,8 +41,10 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MOST_REPEAT = 50, 50
-#: Width of a level, per word, and the share of labelled rows that calibration doesn't see (one in so many).
+#: Width of a level, per word, and the number of folds in which labelled rows are held out.
 STEP, HELD_OUT = 0.25, 4
+#: Sums of path lengths are whole numbers of this unit, so they don't depend on the order of tasks; trees a task grows.
+UNIT, TREES_A_TASK = 2.0**-40, 64
 
 
 def rule_stats(text: str | None) -> tuple[int, int, int, int, int]:
@@ -82,57 +92,125 @@ def _average_path(n: float) -> float:
 
 
 class IsolationForest:
-    """Trees of random splits, kept as flat arrays so that a batch is scored by array gathers."""
-
-    def __init__(self, rows: np.ndarray, trees: int, leaf_sample: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.size = min(leaf_sample, len(rows))
+    """Trees of random splits over all ``rows`` (each ``counts`` times), every row in one tree of each of ``rounds`` deals.
+    Trees are grown when they are asked for, the same ones whatever range is asked for."""
+
+    def __init__(self, rows: np.ndarray, trees: int, leaf_sample: int, seed: int, counts: np.ndarray | None = None):
+        self.rows, at = np.unique(rows + 0.0, axis=0, return_inverse=True)
+        self.counts = np.zeros(len(self.rows), dtype=np.int64)
+        np.add.at(self.counts, at.reshape(-1), 1 if counts is None else counts)
+        self.seed, n = seed, int(self.counts.sum())
+        self.groups = max(1, math.ceil(n / leaf_sample))
+        self.rounds = max(1, math.ceil(trees / self.groups))
+        self.size = n / self.groups
         self.depth = max(1, math.ceil(math.log2(max(self.size, 2))))
-        self.trees = [self._grow(rows[rng.permutation(len(rows))[: self.size]], rng) for _ in range(trees)]
-
-    def _grow(self, rows: np.ndarray, rng: np.random.Generator):
+        self.known: dict[bytes, float] = {}
+
+    def __len__(self) -> int:
+        return self.groups * self.rounds
+
+    def _deal(self, turn: int, low: int, high: int, part: np.ndarray, counts: np.ndarray, first: int, last: int):
+        """(group, rows, counts) of the groups from ``first`` to before ``last``: halves of the groups share rows by chance."""
+        if last <= low or high <= first:
+            return
+        if high - low == 1:
+            yield low, part, counts
+            return
+        mid = (low + high) // 2
+        below = np.random.default_rng([self.seed, turn, low, high]).binomial(counts, (mid - low) / (high - low))
+        for x, y, share in ((low, mid, below), (mid, high, counts - below)):
+            there = share > 0
+            yield from self._deal(turn, x, y, part[there], share[there], first, last)
+
+    def grown(self, first: int, last: int):
+        """The trees from number ``first`` to before ``last``, as flat arrays: feature, cut, left, right, path."""
+        for turn in range(first // self.groups, -(-last // self.groups)):
+            at = turn * self.groups
+            for group, part, counts in self._deal(turn, 0, self.groups, self.rows, self.counts, first - at, last - at):
+                yield self._grow(part, counts, np.random.default_rng([self.seed, turn, group, group + 1]))
+
+    @property
+    def trees(self):
+        return self.grown(0, len(self))
+
+    def _grow(self, rows: np.ndarray, counts: np.ndarray, rng: np.random.Generator):
         feature, cut, left, right, path = [], [], [], [], []
 
-        def node(part: np.ndarray, depth: int) -> int:
+        def node(part: np.ndarray, n: np.ndarray, depth: int) -> int:
             at = len(feature)
-            for x, v in ((feature, 0), (cut, 0.0), (left, at), (right, at), (path, depth + _average_path(len(part)))):
+            for x, v in ((feature, 0), (cut, 0.0), (left, at), (right, at), (path, depth + _average_path(int(n.sum())))):
                 x.append(v)
-            low, high = (part.min(0), part.max(0)) if len(part) else (np.zeros(1), np.zeros(1))
-            usable = np.flatnonzero(high > low)
-            if depth < self.depth and len(part) > 1 and len(usable):
-                f = int(rng.choice(usable))
+            if depth < self.depth and len(part) > 1:
+                low, high = part.min(0), part.max(0)
+                f = int(rng.choice(np.flatnonzero(high > low)))
                 c = float(rng.uniform(low[f], high[f]))
                 below = part[:, f] <= c
                 feature[at], cut[at] = f, c
-                left[at] = node(part[below], depth + 1)
-                right[at] = node(part[~below], depth + 1)
+                left[at] = node(part[below], n[below], depth + 1)
+                right[at] = node(part[~below], n[~below], depth + 1)
             return at
 
-        node(rows, 0)
+        node(rows, counts, 0)
         return tuple(np.array(x) for x in (feature, cut, left, right, path))
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        """2 ** (-mean path / usual path): near 1 for anomalies, under 0.5 for ordinary rows."""
-        total = np.zeros(len(rows))
+    def clip(self, rows: np.ndarray) -> np.ndarray:
+        """Rows outside the range of all cuts take the same paths as those at its border."""
+        return np.clip(rows + 0.0, self.rows.min(0), self.rows.max(0))
+
+    def walk(self, rows: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Sum of the path lengths of each row over a range of trees, in UNIT."""
+        total = np.zeros(len(rows), dtype=np.int64)
         every = np.arange(len(rows))
-        for feature, cut, left, right, path in self.trees:
+        for feature, cut, left, right, path in self.grown(first, last):
             at = np.zeros(len(rows), dtype=np.int64)
             for _ in range(self.depth):
                 at = np.where(rows[every, feature[at]] <= cut[at], left[at], right[at])
-            total += path[at]
-        return np.exp2(-(total / max(len(self.trees), 1)) / max(_average_path(self.size), 1e-9))
+            total += np.rint(path / UNIT).astype(np.int64)[at]
+        return total
 
+    def learn(self, rows: np.ndarray, total) -> np.ndarray:
+        """Scores from the sums over all trees; they are kept, so that :meth:`score` looks these rows up."""
+        mean = np.array([int(t) for t in total], dtype=np.float64) * UNIT / len(self)
+        got = np.exp2(-mean / max(_average_path(self.size), 1e-9))
+        self.known.update(zip(map(bytes, np.ascontiguousarray(rows)), got.tolist(), strict=True))
+        return got
 
-def calibrate(scores: np.ndarray, good: np.ndarray, most_false_rejects: float) -> float:
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        """2 ** (-mean path / usual path): near 1 for anomalies, under 0.5 for ordinary rows."""
+        distinct, at = np.unique(self.clip(rows), axis=0, return_inverse=True)
+        keys = list(map(bytes, distinct))
+        new = distinct[[k not in self.known for k in keys]]
+        if len(new):
+            steps = range(0, len(self), TREES_A_TASK)
+            self.learn(new, sum(self.walk(new, i, min(i + TREES_A_TASK, len(self))).astype(object) for i in steps))
+        return np.array([self.known[k] for k in keys])[at.reshape(-1)]
+
+    def score_apart(self, spark: SparkSession, rows: np.ndarray) -> None:
+        """Scores of distinct, clipped rows to be looked up, each task growing its own trees."""
+        n = len(self)
+        tasks = math.ceil(n / TREES_A_TASK)
+
+        def run(batches):
+            for i in (i for b in batches for i in b.column(0).to_pylist()):
+                total = self.walk(rows, i * TREES_A_TASK, min((i + 1) * TREES_A_TASK, n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(total)], ["at", "total"])
+
+        parts = spark.range(0, tasks, 1, tasks).mapInArrow(run, "at long, total long")
+        got = parts.groupBy("at").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).toPandas()
+        self.learn(rows[got["at"].to_numpy()], got["total"])
+
+
+def calibrate(scores: np.ndarray, good: np.ndarray, most_false_rejects: float, counts: np.ndarray | None = None) -> float:
     """The score above which rows are rejected: best (true minus false reject rate) of the cuts that reject at most
-    ``most_false_rejects`` of the good rows; infinity where no cut does better than none."""
-    n_good, n_bad = int(good.sum()), int((~good).sum())
+    ``most_false_rejects`` of the good rows; infinity where no cut does better than none.  A row counts ``counts`` times."""
+    counts = np.ones(len(scores), dtype=np.int64) if counts is None else counts
+    n_good, n_bad = int(counts[good].sum()), int(counts[~good].sum())
     if not n_good or not n_bad:
         return math.inf
     best, cut = 0.0, math.inf
     order = np.argsort(-scores, kind="stable")
-    s, g = scores[order], good[order]
-    false, true = np.cumsum(g) / n_good, np.cumsum(~g) / n_bad
+    s, g, n = scores[order], good[order], counts[order]
+    false, true = np.cumsum(n * g) / n_good, np.cumsum(n * ~g) / n_bad
     for i in np.flatnonzero(np.append(s[1:] < s[:-1], True)):
         if false[i] > most_false_rejects:
             break
@@ -162,7 +240,8 @@ def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 class QualityModel:
-    """A forest and its threshold; ``rates`` has the reject rates of good and bad labelled rows, fitted and held out."""
+    """A forest and its threshold; ``rates`` has the reject rates of good and bad labelled rows, fitted
+    (all, at ``cut``) and held out (all, each fold at a threshold from the others)."""
 
     def __init__(self, forest: IsolationForest | None = None, cut: float = math.inf):
         self.forest, self.cut, self.rates = forest, cut, {}
@@ -174,37 +253,46 @@ class QualityModel:
         return failed, anomaly, ~failed & (anomaly <= self.cut)
 
 
-def _least_by_hash(df: DataFrame, n: int, seed: int):
-    """The ``n`` rows of least hash, on the driver.  A bound on the hash, set from the count, keeps what each task
-    sorts and sends near its share of ``n``; rows that repeat in all columns have one hash."""
-    total = df.count()
-    h = F.xxhash64(F.lit(seed), "id", *STATS)
-    if total > 2 * n + 1000:
-        df = df.filter(F.pmod(h, F.lit(2**32)) < int((1.2 * n + 1000) / total * 2**32))
-    return df.orderBy(F.pmod(h, F.lit(2**32)), "id", *STATS).limit(n).toPandas()
+def _histogram(rows: DataFrame, clip=None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct level vectors of all ``rows`` (STATS and further whole numbers, which are appended) and their counts, on the driver."""
+    names = [f"k{i}" for i in range(len(rows.columns) - 1)]
+    at = len(STATS)
 
-
-def fit_quality(stats: DataFrame, labels: DataFrame | None, *, trees: int = 64, leaf_sample: int = 256, most_labels: int = 20_000, most_false_rejects: float = 0.001, seed: int = 7) -> QualityModel:
-    """Forest and threshold.  At most ``trees * leaf_sample`` and ``most_labels`` rows of numbers are kept on the driver, the same on
-    every run.  ``most_false_rejects`` bounds the share of good labelled rows that the threshold may reject."""
+    def run(batches):
+        for b in (x for x in batches if x.num_rows):
+            s = np.column_stack([c.to_numpy() for c in b.columns])
+            levels = features(s[:, :at])
+            keys, n = np.unique(np.column_stack([clip(levels) if clip else levels, s[:, at:]]), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, i]) for i in range(len(names))), pa.array(n)], [*names, "n"])
+
+    parts = rows.mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", n long")
+    got = parts.groupBy(*names).agg(F.sum("n").alias("n")).toPandas()
+    return got[names].to_numpy(dtype=np.float64), got["n"].to_numpy(dtype=np.int64)
+
+
+def fit_quality(stats: DataFrame, labels: DataFrame | None, *, trees: int = 64, leaf_sample: int = 256, most_false_rejects: float = 0.001, seed: int = 7) -> QualityModel:
+    """Forest, from all rows that pass the base rule, and threshold, from all labelled ones of them.  There are at least
+    ``trees`` trees, of about ``leaf_sample`` rows each.  ``most_false_rejects`` bounds the share of good labelled rows
+    that the threshold may reject."""
+    spark = stats.sparkSession
     passing = stats.filter(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MOST_REPEAT} * n_words")
-    sample = _least_by_hash(passing, trees * leaf_sample, seed)
-    if not len(sample):
+    levels, counts = _histogram(passing.select(*STATS))
+    if not len(levels):
         return QualityModel()
-    model = QualityModel(IsolationForest(features(sample[STATS].to_numpy()), trees, leaf_sample, seed))
+    model = QualityModel(IsolationForest(levels, trees, leaf_sample, seed, counts))
+    model.forest.score_apart(spark, _histogram(stats.select(*STATS), model.forest.clip)[0])
     if labels is None:
         return model
     best = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    known = _least_by_hash(passing.join(best, "id"), most_labels, seed)
+    fold = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(HELD_OUT))
+    known, n = _histogram(passing.join(best, "id").select(*STATS, (F.col("quality") > 0).cast("long").alias("good"), fold.alias("fold")))
     if not len(known):
         return model
-    good, score = known["quality"].to_numpy() > 0, model.forest.score(features(known[STATS].to_numpy()))
-    held = np.arange(len(known)) % HELD_OUT == 0
-    if len(set(good[~held])) < 2:
-        held[:] = False
-    model.cut = calibrate(score[~held], good[~held], most_false_rejects)
-    for name, part in (("fitted", ~held), ("held out", held)):
-        model.rates[name] = tuple(float((score[part & k] > model.cut).mean()) if (part & k).any() else None for k in (good, ~good))
+    score, good, fold = model.forest.score(known[:, :-2]), known[:, -2] > 0, known[:, -1]
+    model.cut = calibrate(score, good, most_false_rejects, n)
+    unseen = {k: calibrate(score[fold != k], good[fold != k], most_false_rejects, n[fold != k]) for k in np.unique(fold)}
+    for name, cut in (("fitted", model.cut), ("held out", np.array([unseen[k] for k in fold]))):
+        model.rates[name] = tuple(float(n[k & (score > cut)].sum() / n[k].sum()) if k.any() else None for k in (good, ~good))
     return model
 
 

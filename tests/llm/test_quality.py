@@ -91,3 +91,51 @@ def test_held_out(spark):
     got = Q.quality_scores(df, labels).filter("doc_id >= 300").toPandas()
     bad = got.doc_id % 10 == 0
     assert got.kept[~bad].mean() > 0.98 and got.kept[bad].mean() < 0.2
+
+
+def made(spark, *kinds):
+    """Statistics of texts of 100 words: (rows, characters, symbols) by kind, ids from 0 in order of the kinds."""
+    rows = [(n, chars, symbols) for n, chars, symbols in kinds for _ in range(n)]
+    return spark.createDataFrame([(i, 100, chars, symbols, 0, 0) for i, (_, chars, symbols) in enumerate(rows)], "id long, " + ", ".join(f"{c} long" for c in Q.STATS))
+
+
+def test_every_row_fits_the_forest(spark):
+    """No row is left out of the forest: it changes with each single one, here 1 of 3004."""
+    kinds = [(2000, 500, 0), (1000, 400, 0), (1, 600, 0), (1, 900, 100), (1, 400, 300), (1, 2000, 0)]
+    score = lambda ks: Q.fit_quality(made(spark, *ks), None, trees=4, leaf_sample=16).judge(np.array([[100, 500, 0, 0, 0], [100, 600, 0, 0, 0], [100, 900, 100, 0, 0]]))[1]
+    whole = score(kinds)
+    assert (score(kinds[::-1]) == whole).all()
+    for k in kinds[2:]:
+        assert (score([x for x in kinds if x != k]) != whole).any(), k
+
+
+def test_every_label_sets_the_threshold(spark):
+    """Rates are those of all 24 030 labelled rows, and a cut that rejects 23 of 22 623 good rows is too much for 0.001."""
+    stats = made(spark, (22_600, 500, 0), (7, 500, 0), (1_400, 900, 300), (23, 1_400, 700))
+    labels = stats.select(F.col("id").alias("doc_id"), (~F.col("id").between(22_600, 24_006)).cast("int").alias("quality"))
+    model = Q.fit_quality(stats, labels)
+    score = model.judge(np.array([[100, 500, 0, 0, 0], [100, 900, 300, 0, 0], [100, 1_400, 700, 0, 0]]))[1]
+    assert score[0] < score[1] < score[2] and model.cut == np.inf and model.rates["fitted"] == (0.0, 0.0)
+    model = Q.fit_quality(stats, labels, most_false_rejects=0.00102)
+    assert score[0] < model.cut < score[1] and model.rates["fitted"] == (23 / 22_623, 1_400 / 1_407)
+    assert set(model.judge(np.array([[100, 500, 0, 0, 0], [100, 900, 300, 0, 0]]))[2]) == {True, False}
+
+
+def test_deals(spark):
+    """Each row is in as many trees as every other, any range of trees is the same, and tasks score as one walk does."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, size=(2000, 4)).astype(float)
+    forest = Q.IsolationForest(x, 50, 64, 1)
+    assert (forest.groups, forest.rounds, len(forest)) == (32, 2, 64)
+    for turn in range(2):
+        dealt = np.zeros((32, len(forest.rows)), dtype=np.int64)
+        for group, part, counts in forest._deal(turn, 0, 32, np.arange(len(forest.rows)), forest.counts, 0, 32):
+            dealt[group, part] = counts
+        assert (dealt.sum(0) == forest.counts).all() and dealt.sum(1).min() > 30 and dealt.sum(1).max() < 100
+    trees = list(forest.trees)
+    assert len(trees) == 64 and all((a == b).all() for s, t in zip(trees[5:41], forest.grown(5, 41), strict=True) for a, b in zip(s, t, strict=True))
+    forest = Q.IsolationForest(x, 300, 64, 1)
+    apart = Q.IsolationForest(x, 300, 64, 1)
+    apart.score_apart(spark, apart.rows)
+    assert len(apart.known) == len(apart.rows) and (apart.score(x) == forest.score(x)).all()
+    assert (forest.score(x + 100) == forest.score(np.full((1, 4), 5.0))).all()
