@@ -87,12 +87,117 @@ def scratch(spark: SparkSession):
             drop_path(spark, path)
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow; :func:`write_table` writes such rows in the worker that makes them."""
+    out = df.mapInArrow(run, schema)
+    out.mapped_from = (df, run)
+    return out
+
+
+def grouped(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """applyInArrow for a few large groups; :func:`write_table` writes a file for each of them, in the worker that makes it."""
+    out = df.groupBy(*keys).applyInArrow(run, schema)
+    out.grouped_from = (df, keys, run)
+    return out
+
+
+#: Types that Arrow and Parquet hand on to Spark's reader as they are.
+_PLAIN = {"boolean", "byte", "short", "integer", "long", "float", "double", "string", "binary"}
+#: Bytes of a row group of work tables.
+GROUP_BYTES = 8 << 20
+
+
+def _plain(kind) -> bool:
+    name = kind.typeName()
+    return name in _PLAIN or (name == "array" and _plain(kind.elementType)) or (name == "struct" and all(_plain(f.dataType) for f in kind.fields))
+
+
+def write_table(df: DataFrame, path: str, compression: str = "snappy") -> None:
+    """Write ``df`` as Parquet files to the new folder ``path``, from Python workers.
+
+    Without its native library Hadoop starts a ``chmod`` for each file and folder that it makes under ``file:``.  Until such a
+    child runs its program it shares all memory of the executor that starts it, which then counts twice; pyarrow starts none.
+    Files of tasks that ended well are moved to their place by the driver; what other attempts leave goes.
+    """
+    from pyarrow import fs
+
+    if not path.startswith("file:") or not all(_plain(f.dataType) for f in df.schema.fields):
+        df.write.option("compression", compression).parquet(path)
+        return
+    names = df.columns
+    source, run = getattr(df, "mapped_from", None) or (df.toDF(*[f"c{i}" for i in range(len(names))]), None)
+    whole, keys, solve = getattr(df, "grouped_from", (None, None, None))
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import parquet
+        from pyspark import TaskContext
+
+        from quarry.llm.hashing import trim
+
+        store, top = fs.FileSystem.from_uri(path)
+        file = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet"
+        out, held, size = None, [], 0
+
+        def flush():
+            nonlocal out, held, size
+            t = pa.concat_tables([b if isinstance(b, pa.Table) else pa.Table.from_batches([b]) for b in held]).rename_columns(names)
+            if out is None:
+                texts = [f.name for f in t.schema if pa.types.is_string(f.type)]
+                out = parquet.ParquetWriter(f"{top}/_temporary/{file}", t.schema, filesystem=store, compression=compression, use_dictionary=texts, write_statistics=False)
+            out.write_table(t, row_group_size=t.num_rows)
+            held, size = [], 0
+
+        try:
+            for b in run(batches) if run else batches:
+                if b.num_rows:
+                    held.append(b)
+                    size += b.nbytes
+                    if size >= GROUP_BYTES:
+                        flush()
+            if held:
+                flush()
+        finally:
+            if out is not None:
+                out.close()
+            trim()
+        if out is not None:
+            yield pa.RecordBatch.from_pydict({"file": [file]})
+
+    store, top = fs.FileSystem.from_uri(path)
+    store.create_dir(f"{top}/_temporary")
+    def write_group(key, t):
+        import pyarrow as pa
+
+        done = [b["file"][0].as_py() for b in write([solve(key, t).combine_chunks()])]
+        return pa.table({"file": pa.array(done, pa.string())})
+
+    rows = int(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    with small_batches(df.sparkSession, min(rows, 2000) if rows > 0 else 2000):
+        out = whole.groupBy(*keys).applyInArrow(write_group, "file string") if solve else source.mapInArrow(write, "file string")
+        files = [r[0] for r in out.collect()]
+    for file in files:
+        store.move(f"{top}/_temporary/{file}", f"{top}/{file}")
+    store.delete_dir(f"{top}/_temporary")
+
+
 def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, and a lost executor costs no rerun."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return _read_back(df, path)
+
+
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """As :func:`staged`, but by :func:`write_table`."""
+    path = new_path(df.sparkSession, name)
+    write_table(df, path, **options)
+    return _read_back(df, path)
+
+
+def _read_back(df: DataFrame, path: str) -> DataFrame:
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
@@ -128,13 +233,15 @@ def map_rows(df: DataFrame, run) -> DataFrame:
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
 
-    def mapped(batches):
+    def trimmed(batches):
         try:
             yield from run(batches)
         finally:
             trim()
 
-    return plain.mapInArrow(mapped, plain.schema).toDF(*names)
+    out = plain.mapInArrow(trimmed, plain.schema).toDF(*names)
+    out.mapped_from = (plain, trimmed)
+    return out
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -184,8 +291,7 @@ def choose_places(rows: DataFrame, at: list[str], chosen: DataFrame, keep: bool)
         store.move(part, f"{top}/{name(file)}")
         return pa.table({"file": [file], "n": [t.num_rows]})
 
-    listed = staged(chosen.select("at", "row").groupBy("at").applyInArrow(write, "file string, n long"), "places-listed")
-    total = listed.agg({"n": "sum"}).first()[0]
+    total = chosen.select("at", "row").groupBy("at").applyInArrow(write, "file string, n long").agg({"n": "sum"}).first()[0]
     if not total:
         return rows.limit(0) if keep else rows
     i, j = rows.columns.index(at[0]), rows.columns.index(at[1])
@@ -237,7 +343,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     Self-links and repeated links are harmless.
     """
     spark = edges.sparkSession
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).filter("u > w").distinct(), name)
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).filter("u > w").distinct(), name)
     mark = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("w").alias("u"), F.col("u").alias("w")))
@@ -246,7 +352,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k"))
         small = small.select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u > w").unionByName(small.select("u", F.col("m").alias("w"))).distinct()
-        e = staged(small, name)
+        e = written(small, name)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
         if mark == now:
             break

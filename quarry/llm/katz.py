@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, make_dir, new_path, release, small_batches, staged, table
+from quarry.llm.common import discard, grouped, make_dir, mapped, new_path, release, small_batches, table, written
 from quarry.llm.hashing import ODD, binaries, mix, slices, word_hashes
 
 ORDER, UNIT_TOKENS, BUCKET_TOKENS, K, TAIL = 3, 1_000_000, 2_000_000, 5, 0.01
@@ -108,7 +108,7 @@ def units_of(docs: DataFrame, unit_tokens: int) -> DataFrame:
         if ids:
             yield pack(number, ids, lens, words)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "unit long, n long, ids array<long>, lens binary, vocab binary, tokens binary")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), run, "unit long, n long, ids array<long>, lens binary, vocab binary, tokens binary")
 
 
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +250,7 @@ def _save(replies: DataFrame, root: str, name: str) -> None:
         store.move(part, f"{top}/{name}-{key[0].as_py()}")
         return pa.table({"unit": [key[0].as_py()]})
 
-    staged(replies.select("unit", "order", "bucket", "data").groupBy("unit").applyInArrow(write, "unit long"), "katz-saved")
+    replies.select("unit", "order", "bucket", "data").groupBy("unit").applyInArrow(write, "unit long").count()
     release(replies.sparkSession)
 
 
@@ -282,7 +282,7 @@ def katz_scores(docs: DataFrame, *, order: int = ORDER, unit_tokens: int = UNIT_
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     with small_batches(spark, 2000):
-        units = staged(units_of(docs, unit_tokens), "katz-units", compression="none")
+        units = written(units_of(docs, unit_tokens), "katz-units", compression="none")
     tokens = units.agg(F.sum("n")).first()[0]
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if not tokens:
@@ -339,8 +339,9 @@ def katz_scores(docs: DataFrame, *, order: int = ORDER, unit_tokens: int = UNIT_
     stats = []
     for k in range(1, order + 1):
         asked = units.mapInArrow(ask(k), message)
-        added = staged(asked.groupBy("order", "bucket").applyInArrow(add, "unit long, order int, bucket long, data binary, stats array<long>"), "katz-counts", compression="none")
+        added = written(grouped(asked, ["order", "bucket"], add, "unit long, order int, bucket long, data binary, stats array<long>"), "katz-counts", compression="none")
         del asked
+        release(spark)
         stats.append([x or 0 for x in added.filter("unit is null").agg(*[F.sum(F.col("stats")[i]) for i in range(K + 3)]).first()])
         _save(added.filter("unit is not null"), root, f"c{k}")
         discard(added)
@@ -381,8 +382,9 @@ def katz_scores(docs: DataFrame, *, order: int = ORDER, unit_tokens: int = UNIT_
         return pa.table({"unit": pa.array(units, pa.int64()), "order": pa.array([key[0].as_py()] * n, pa.int32()), "bucket": pa.array([key[1].as_py()] * n, pa.int64()), "data": pa.array(out, pa.binary())})
 
     if order > 1:
-        summed = units.mapInArrow(sums, message).groupBy("order", "bucket").applyInArrow(weigh, "unit long, order int, bucket long, data binary")
-        summed = staged(summed, "katz-sums", compression="none")
+        summed = grouped(units.mapInArrow(sums, message), ["order", "bucket"], weigh, "unit long, order int, bucket long, data binary")
+        summed = written(summed, "katz-sums", compression="none")
+        release(spark)
         _save(summed, root, "w")
         discard(summed)
 
