@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import located, make_dir, new_path, release, scratch, small_batches, staged, table
+from quarry.llm.common import grouped, located, make_dir, mapped, new_path, release, scratch, small_batches, table, written
 from quarry.llm.hashing import ODD, binaries, mix, slices
 from quarry.llm.suffixes import permuted_lcp, suffix_arrays
 
@@ -213,10 +213,10 @@ def repeated_keys(texts: DataFrame, root: str, buckets: int) -> None:
         return pa.table({"unit": [key[1].as_py()]})
 
     asked = texts.mapInArrow(ask, "bucket long, file long, unit long, keys binary, again binary")
-    replied = staged(asked.groupBy("bucket").applyInArrow(match, "file long, unit long, keys binary"), "sub-replied")
+    replied = written(grouped(asked, ["bucket"], match, "file long, unit long, keys binary"), "sub-replied")
     del asked
     release(texts.sparkSession)
-    staged(replied.groupBy("file", "unit").applyInArrow(write, "unit long"), "sub-written")
+    replied.groupBy("file", "unit").applyInArrow(write, "unit long").count()
 
 
 def repeated_segments(texts: DataFrame, root: str) -> DataFrame:
@@ -246,7 +246,7 @@ def repeated_segments(texts: DataFrame, root: str) -> DataFrame:
                         cols = [pa.array(x.m[keep].view(np.int64)), pa.array(sig, pa.binary()), part.column(2).take(own), pa.array(np.full(len(keep), file)), part.column(1).take(own)]
                         yield pa.RecordBatch.from_arrays([*cols, pa.array(start), pa.array(end - start), pa.array(x.times[keep].astype(np.int32))], ["m", "sig", "id", "file", "row", "pos", "len", "times"])
 
-    return texts.mapInArrow(run, _SEGMENT)
+    return mapped(texts, run, _SEGMENT)
 
 
 def shard_spans(seg: list[bytes], shards: np.ndarray, place: list[np.ndarray], pos: np.ndarray) -> list[tuple[int, int, int]]:
@@ -334,8 +334,7 @@ def _fetched(texts: DataFrame, wanted: DataFrame, *, windows: bool) -> DataFrame
         _write(store, f"{top}/{key[0].as_py()}-{key[1].as_py()}", a[:, np.lexsort((a[1], a[0]))].tobytes())
         return pa.table({"unit": [key[1].as_py()]})
 
-    units = wanted.withColumn("unit", F.floor(F.col("row") / UNIT_ROWS)).groupBy("file", "unit").applyInArrow(write, "unit long")
-    staged(units, "sub-wanted-listed")
+    wanted.withColumn("unit", F.floor(F.col("row") / UNIT_ROWS)).groupBy("file", "unit").applyInArrow(write, "unit long").count()
 
     def run(batches):
         store, top = fs.FileSystem.from_uri(root)
@@ -362,14 +361,14 @@ def _fetched(texts: DataFrame, wanted: DataFrame, *, windows: bool) -> DataFrame
                         cols = [pa.array(k), pa.array(m), b.column(2).take(i), pa.array(np.full(len(row), file)), pa.array(row), pa.array(pos), data]
                         yield pa.RecordBatch.from_arrays(cols, ["k", "m", "id", "file", "row", "pos", "bytes"])
 
-    return texts.mapInArrow(run, _SEGMENT if windows else "k long, m long, id long, file long, row long, pos long, bytes binary")
+    return mapped(texts, run, _SEGMENT if windows else "k long, m long, id long, file long, row long, pos long, bytes binary")
 
 
 def _collapsed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the first of equal segments, spans of the others)."""
     order = F.struct(F.col("id").isNull().alias("n"), "id", "file", "row", "pos")
     firsts = found.groupBy("m", "sig").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.max("len").alias("len"), F.max("times").alias("times"))
-    firsts = staged(firsts, "sub-distinct", compression="zstd")
+    firsts = written(firsts, "sub-distinct", compression="zstd")
     copies = found.select("m", "sig", "file", "row", "pos", "len").join(firsts.filter("n > 1").select("m", "sig", "first"), ["m", "sig"])
     later = copies.filter("file != first.file or row != first.row or pos != first.pos")
     return firsts, later.select("file", "row", F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end"))
@@ -382,16 +381,16 @@ def repeated_spans(texts: DataFrame, *, most: int = MOST, shard_bytes: int = SHA
     make_dir(spark, root)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     repeated_keys(texts, root, parts)
-    found = staged(repeated_segments(texts, root), "sub-segments", compression="zstd")
+    found = written(repeated_segments(texts, root), "sub-segments", compression="zstd")
     firsts, spans = _collapsed(found)
-    spans = staged(spans, "sub-copies")
+    spans = written(spans, "sub-copies")
     release(spark)
     per_m = firsts.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.max("times").alias("t")).filter("k > 1 or t > 1").select("m", "k")
-    wanted = staged(firsts.select("m", "first.file", "first.row", "first.pos", "len").join(per_m, "m"), "sub-wanted")
+    wanted = written(firsts.select("m", "first.file", "first.row", "first.pos", "len").join(per_m, "m"), "sub-wanted")
     spans = spans.unionByName(_shard_links(_fetched(texts, wanted.filter(F.col("k") <= most), windows=False), shard_bytes))
     hot = wanted.filter(F.col("k") > most)
     if not hot.isEmpty():
-        spans = spans.unionByName(_collapsed(staged(_fetched(texts, hot, windows=True), "sub-windows", compression="zstd"))[1])
+        spans = spans.unionByName(_collapsed(written(_fetched(texts, hot, windows=True), "sub-windows", compression="zstd"))[1])
     return spans
 
 
@@ -419,7 +418,7 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False, **options) -> Da
 
     with scratch(spark), small_batches(spark, 2000):
         spans = repeated_spans(texts, **options).distinct().withColumn("unit", F.floor(F.col("row") / UNIT_ROWS))
-        staged(spans.groupBy("file", "unit").applyInArrow(write, "n long"), "spans-listed")
+        spans.groupBy("file", "unit").applyInArrow(write, "n long").count()
 
     def run(batches):
         store, top = fs.FileSystem.from_uri(root)
