@@ -13,7 +13,7 @@ the mix takes words, not documents, as its measure; an empty table passes every
 from __future__ import annotations
 
 from quarry.llm import dedup, minhash, mixing, packing, quality
-from quarry.llm.common import staged, table
+from quarry.llm.common import table, written
 
 STAGES = [
     ("quality rules", lambda spark, docs, sf_dir: quality.quality_filter(docs, table(spark, sf_dir, "labels"))),
@@ -32,5 +32,5 @@ def run(spark, sf_dir):
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{k}")
+            docs = written(docs, f"stage-{k}")
     return docs

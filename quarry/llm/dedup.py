@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, choose_places, conf, located, new_path, only, scratch, staged, table
+from quarry.llm.common import SPACE, choose_places, conf, drop_path, located, new_path, only, scratch, table, write_table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -53,7 +53,9 @@ def keyed_state(log: DataFrame, log_path: str, state_path: str | None = None, fi
     grouped = read.parquet(log_path).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best().alias("best"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        path = f"{out}/batch={number}"
+        drop_path(spark, path)
+        write_table(batch, path)
 
     with conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true", spark__sql__streaming__stateStore__unloadOnCommit="true"):
         grouped.writeStream.outputMode("update").option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
@@ -75,18 +77,18 @@ def _classes(rows: DataFrame, at: list[str], digest_bytes: int = 32, files_per_t
     spark = rows.sparkSession
     light = records(rows, at, digest_bytes)
     path = new_path(spark, "dedup-log")
-    light.write.parquet(path)
+    write_table(light, path)
     log = spark.read.schema(light.schema).parquet(path)
-    groups = staged(keyed_state(log, path, files_per_trigger=files_per_trigger), "dedup-groups")
+    groups = written(keyed_state(log, path, files_per_trigger=files_per_trigger), "dedup-groups")
     again = groups.filter("n > 1").select("digest", F.col("best.at").alias("b_at"), F.col("best.row").alias("b_row"))
     places = log.join(again, "digest").select("at", "row")
     texts = choose_places(rows.select(*at, "text"), at, places, keep=True)
     digest = F.unhex(F.sha2(F.col("bytes").cast("binary"), 256))
     texts = texts.select(F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), normalised("text").alias("bytes")).withColumn("digest", F.substring(digest, 1, digest_bytes) if digest_bytes < 32 else digest)
-    hits = staged(texts.join(again, "digest"), "dedup-hits")
+    hits = written(texts.join(again, "digest"), "dedup-hits")
     retained = hits.filter("at = b_at and row = b_row").select("digest", F.col("bytes").alias("b_bytes"))
     odd = hits.join(retained, "digest").filter("bytes != b_bytes").select("digest", "at", "row", "bytes")
-    odd = staged(odd, "dedup-odd")
+    odd = written(odd, "dedup-odd")
     if odd.isEmpty():
         out = log.join(groups, "digest")
         return out.select("at", "row", "id", "sha", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), ((F.col("at") == F.col("best.at")) & (F.col("row") == F.col("best.row"))).alias("kept"))
@@ -102,7 +104,7 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     rows, at = located(docs)
     with scratch(docs.sparkSession) as keep:
-        dropped = keep(staged(_classes(rows, at, **options).filter("not kept").select("at", "row"), "dedup-dropped"))
+        dropped = keep(written(_classes(rows, at, **options).filter("not kept").select("at", "row"), "dedup-dropped"))
     return only(choose_places(rows, at, dropped, keep=False), docs.columns)
 
 

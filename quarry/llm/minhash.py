@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import choose_places, components, located, make_dir, new_path, only, release, scratch, small_batches, staged, table
+from quarry.llm.common import choose_places, components, located, make_dir, mapped, new_path, only, release, scratch, small_batches, table, written
 from quarry.llm.hashing import binaries, shingles, slices, trim
 
 WORDS, SKETCH, INDEX, SHORT = 5, 64, 16, 24
@@ -68,7 +68,7 @@ def document_sketches(docs: DataFrame, words: int = WORDS, sketch: int = SKETCH)
             low = pa.array([s[:sketch].tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns[:3], n, sig, low], ["id", "at", "row", "n", "sig", "sketch"])
 
-    return docs.mapInArrow(run, "id long, at string, row long, n long, sig binary, sketch binary")
+    return mapped(docs, run, "id long, at string, row long, n long, sig binary, sketch binary")
 
 
 def _index(classes: DataFrame, index: int) -> DataFrame:
@@ -93,10 +93,10 @@ def _prune(rows: DataFrame, index: int, percent: int, rounds: int = 2) -> DataFr
     need = F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(index)) * _least(percent, index) / index))
     for k in range(rounds):
         shared = rows.groupBy("val").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        rows = staged(rows.join(shared, "val"), "near-shared")
+        rows = written(rows.join(shared, "val"), "near-shared")
         enough = rows.groupBy("cid", "n").agg(F.count(F.lit(1)).alias("k"), F.sum("df").alias("central")).filter(F.col("k") >= need).select("cid", "central")
         rows = rows.join(enough, "cid")
-        rows = staged(rows if k == rounds - 1 else rows.drop("df", "central"), "near-index")
+        rows = written(rows if k == rounds - 1 else rows.drop("df", "central"), "near-index")
     return rows
 
 
@@ -140,15 +140,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         return 100 * both >= percent * (len(x) + len(y) - both)
 
     sift, check = _pairs_where(lambda x, y: _estimate(x, y, sketch) >= least), _pairs_where(similar)
-    likely = staged(_beside(pairs, classes.select("cid", "sketch")).mapInArrow(sift, "a long, b long"), "near-likely")
+    likely = written(mapped(_beside(pairs, classes.select("cid", "sketch")), sift, "a long, b long"), "near-likely")
     full = _full_sets(likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid"))), classes, docs, words)
     with small_batches(docs.sparkSession):
-        return staged(_beside(likely, full).mapInArrow(check, "a long, b long"), "near-links")
+        return written(mapped(_beside(likely, full), check, "a long, b long"), "near-links")
 
 
 def _texts_of(cids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(cid, text) for the given classes: one text of each."""
-    used = staged(cids.distinct().join(classes.select("cid", "at", "row"), "cid"), "near-used")
+    used = written(cids.distinct().join(classes.select("cid", "at", "row"), "cid"), "near-used")
     picked = choose_places(texts.select("at", "row", "text"), ["at", "row"], used, keep=True)
     return picked.join(used, ["at", "row"]).select("cid", "text")
 
@@ -162,7 +162,7 @@ def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(full, pa.binary())], ["cid", "full"])
 
     with small_batches(texts.sparkSession):
-        return staged(_texts_of(cids, classes, texts).mapInArrow(sets, "cid long, full binary"), "near-sets")
+        return written(mapped(_texts_of(cids, classes, texts), sets, "cid long, full binary"), "near-sets")
 
 
 def _placed_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> tuple[DataFrame, str]:
@@ -189,7 +189,7 @@ def _placed_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: i
                 out.close()
 
     with small_batches(spark):
-        return staged(_texts_of(cids, classes, texts).mapInArrow(write, "cid long, n long, file string, start long"), "near-placed"), root
+        return written(mapped(_texts_of(cids, classes, texts), write, "cid long, n long, file string, start long"), "near-placed"), root
 
 
 class _SetFiles:
@@ -304,7 +304,7 @@ def _block_links(lists: DataFrame, main: DataFrame, classes: DataFrame, texts: D
         return pa.table({"a": x[:, 0], "b": x[:, 1]})
 
     with small_batches(texts.sparkSession):
-        return staged(rows.groupBy("val", "m", "k").applyInArrow(run, "a long, b long").distinct(), "near-block-links")
+        return written(rows.groupBy("val", "m", "k").applyInArrow(run, "a long, b long").distinct(), "near-block-links")
 
 
 def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, index: int = INDEX, short: int = SHORT, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -312,15 +312,15 @@ def near_groups(docs: DataFrame, *, words: int = WORDS, sketch: int = SKETCH, in
     documents are linked at a similarity of ``percent`` hundredths or more."""
     rows, at = located(docs)
     with scratch(docs.sparkSession) as keep, small_batches(docs.sparkSession, 2000):
-        return rows, keep(staged(_grouped(rows, at, words, sketch, index, short, percent), "near-found")), at
+        return rows, keep(written(_grouped(rows, at, words, sketch, index, short, percent), "near-found")), at
 
 
 def _grouped(rows: DataFrame, at: list[str], words: int, sketch: int, index: int, short: int, percent: int) -> DataFrame:
     """The groups, by way of staged tables."""
     texts = rows.select(F.col("doc_id").cast("long").alias("id"), F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), "text")
-    all_docs = staged(document_sketches(texts, words, sketch), "near-sketches", compression="zstd")
+    all_docs = written(document_sketches(texts, words, sketch), "near-sketches", compression="zstd")
     known = all_docs.filter("n > 0 and id is not null")
-    classes = staged(known.groupBy("sig").agg(F.min(F.struct("id", "at", "row")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("sig", F.col("x.id").alias("cid"), F.col("x.at").alias("at"), F.col("x.row").alias("row"), "n", "sketch"), "near-classes", compression="zstd")
+    classes = written(known.groupBy("sig").agg(F.min(F.struct("id", "at", "row")).alias("x"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("sig", F.col("x.id").alias("cid"), F.col("x.at").alias("at"), F.col("x.row").alias("row"), "n", "sketch"), "near-classes", compression="zstd")
     lists = _prune(_index(classes, index), index, percent)
 
     release(texts.sparkSession)
@@ -333,15 +333,15 @@ def _grouped(rows: DataFrame, at: list[str], words: int, sketch: int, index: int
     # Step 2: what lists still hold apart.
     roots = components(links, "near-roots")
     release(texts.sparkSession)
-    joined = staged(lists.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "near-lists")
+    joined = written(lists.join(roots.withColumnRenamed("v", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "near-lists")
     per_root = joined.groupBy("val", "root").agg(F.count(F.lit(1)).alias("k"))
     main = per_root.groupBy("val").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("df")).filter("roots > 1").select("val", "main", "df")
-    main = staged(main, "near-main")
+    main = written(main, "near-main")
     open_short = joined.drop("df").join(main.filter(F.col("df") <= short).select("val"), "val").select("val", "cid", "n", "root")
     left = open_short.select("val", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
     right = open_short.select("val", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
     pairs = left.join(right, "val").filter("a < b and r_a != r_b").filter(_sized(percent)).select("a", "b").distinct()
-    pairs = staged(pairs.join(star, ["a", "b"], "left_anti"), "near-pairs")
+    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "near-pairs")
     more = _verified(pairs, classes, texts, words, sketch, percent)
     long_lists = main.filter(F.col("df") > short)
     if not long_lists.isEmpty():

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 from quarry.llm.katz import katz_scores
+from quarry.llm.minhash import near_dedup
+from quarry.llm.substrings import remove_repeats
 
 
 def shared(spark):
@@ -61,3 +63,13 @@ def test_other_types_and_failing_tasks(spark):
 def test_katz_starts_no_children_for_its_tables(docs, made):
     assert katz_scores(docs, unit_tokens=500, bucket_tokens=500).count() == docs.count()
     assert made() and not by_jvm(made())
+
+
+def test_substrings_start_no_children_for_their_tables(docs, made):
+    assert remove_repeats(docs).count() == docs.count()
+    assert made() and not by_jvm(made())
+
+
+def test_near_dedup_starts_no_children_for_its_tables(docs, made):
+    assert 0 < near_dedup(docs, percent=80).count() < docs.count()
+    assert made() and not by_jvm(made())
