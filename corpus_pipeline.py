@@ -8,19 +8,22 @@ are not carried along: they are the tokens [start, start + length) of the docume
 Defined results: documents with a null or empty text have no words and go with the quality rules, very long ones pass whole;
 of equal or near-equal documents one row stays, as the operators' docstrings say for ties and for null or repeated ids;
 the mix takes words, not documents, as its measure; an empty table passes every stage and gives an empty result.
+
+A stage's rows are made when its caller writes them, so the stages leave the session with Arrow batches of at most BATCH_ROWS
+rows (``spark.sql.execution.arrow.maxRecordsPerBatch``); this changes no result.
 """
 
 from __future__ import annotations
 
 from quarry.llm import dedup, minhash, mixing, packing, quality
-from quarry.llm.common import table, written
+from quarry.llm.common import few_rows, table, written
 
 STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality.quality_filter(docs, table(spark, sf_dir, "labels"))),
-    ("exact dedup", lambda spark, docs, sf_dir: dedup.exact_dedup(docs)),
-    ("near dedup", lambda spark, docs, sf_dir: minhash.near_dedup(docs, percent=80)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mix_documents(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack_documents(docs, keep_place=True)),
+    ("quality rules", lambda spark, docs, sf_dir: quality.quality_filter(few_rows(docs), table(spark, sf_dir, "labels"))),
+    ("exact dedup", lambda spark, docs, sf_dir: dedup.exact_dedup(few_rows(docs))),
+    ("near dedup", lambda spark, docs, sf_dir: minhash.near_dedup(few_rows(docs), percent=80)),
+    ("mixing", lambda spark, docs, sf_dir: mixing.mix_documents(few_rows(docs))),
+    ("packing", lambda spark, docs, sf_dir: packing.pack_documents(few_rows(docs), keep_place=True)),
 ]
 
 #: Quality model, stream state and packing have no SQL form; tests hold run() against a brute-force version.

@@ -35,6 +35,22 @@ def small_batches(spark: SparkSession, rows: int = 1000):
     return conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
 
 
+#: Rows of an Arrow batch of texts, where a caller makes the rows.
+BATCH_ROWS = 512
+
+
+def few_rows(docs: DataFrame) -> DataFrame:
+    """``docs``; from now on its session has Arrow batches of at most BATCH_ROWS rows.
+
+    Frames that are made of it take the setting of the time when they are run.  Spark's 10 000 texts in a batch take large buffers
+    on both sides of each worker, and an allocator does not give all of them back.
+    """
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

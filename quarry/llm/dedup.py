@@ -81,11 +81,11 @@ def _classes(rows: DataFrame, at: list[str], digest_bytes: int = 32, files_per_t
     log = spark.read.schema(light.schema).parquet(path)
     groups = written(keyed_state(log, path, files_per_trigger=files_per_trigger), "dedup-groups")
     again = groups.filter("n > 1").select("digest", F.col("best.at").alias("b_at"), F.col("best.row").alias("b_row"))
-    places = log.join(again, "digest").select("at", "row")
+    places = written(log.join(again, "digest").select("at", "row", "digest", "b_at", "b_row"), "dedup-places")
     texts = choose_places(rows.select(*at, "text"), at, places, keep=True)
-    digest = F.unhex(F.sha2(F.col("bytes").cast("binary"), 256))
-    texts = texts.select(F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), normalised("text").alias("bytes")).withColumn("digest", F.substring(digest, 1, digest_bytes) if digest_bytes < 32 else digest)
-    hits = written(texts.join(again, "digest"), "dedup-hits")
+    texts = texts.select(F.col(at[0]).alias("at"), F.col(at[1]).alias("row"), normalised("text").alias("bytes"))
+    # Never broadcast: choosing and writing in one task would take two Python workers, and both stay.
+    hits = written(texts.join(places.hint("merge"), ["at", "row"]), "dedup-hits")
     retained = hits.filter("at = b_at and row = b_row").select("digest", F.col("bytes").alias("b_bytes"))
     odd = hits.join(retained, "digest").filter("bytes != b_bytes").select("digest", "at", "row", "bytes")
     odd = written(odd, "dedup-odd")

@@ -116,7 +116,8 @@ def shingles(texts: list[bytes | None], words: int) -> list[np.ndarray]:
 
 
 def trim() -> None:
-    """Give freed memory back to the system.  Python workers outlive their tasks, and idle ones count beside an executor's heap."""
+    """Give freed memory and the powers back to the system.  Python workers outlive their tasks, and idle ones count beside an executor's heap."""
+    _powers.cache_clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -150,7 +150,8 @@ def _texts_of(cids: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     """(cid, text) for the given classes: one text of each."""
     used = written(cids.distinct().join(classes.select("cid", "at", "row"), "cid"), "near-used")
     picked = choose_places(texts.select("at", "row", "text"), ["at", "row"], used, keep=True)
-    return picked.join(used, ["at", "row"]).select("cid", "text")
+    # Never broadcast: choosing and what follows in one task would take two Python workers, and both stay.
+    return picked.join(used.hint("merge"), ["at", "row"]).select("cid", "text")
 
 
 def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:

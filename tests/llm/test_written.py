@@ -3,10 +3,12 @@
 import glob
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import common
+import corpus_pipeline
+from quarry.llm import common, dedup, hashing, minhash
 from quarry.llm.katz import katz_scores
 from quarry.llm.minhash import near_dedup
 from quarry.llm.substrings import remove_repeats
@@ -73,3 +75,31 @@ def test_substrings_start_no_children_for_their_tables(docs, made):
 def test_near_dedup_starts_no_children_for_its_tables(docs, made):
     assert 0 < near_dedup(docs, percent=80).count() < docs.count()
     assert made() and not by_jvm(made())
+
+
+def test_stages_are_made_in_small_batches(spark, tmp_path):
+    """Rows of a stage go to and from Python in small batches, whenever the caller makes them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "concat('text ', id) as text").write.parquet(f"{tmp_path}/d")
+    for old, most in (("10000", common.BATCH_ROWS), ("0", common.BATCH_ROWS), ("100", 100)):
+        with common.conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=old):
+            out = dict(corpus_pipeline.STAGES)["exact dedup"](spark, spark.read.parquet(f"{tmp_path}/d"), None)
+            sizes = [r.n for r in out.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()]
+            assert sum(sizes) == 3000 and max(sizes) <= most
+            assert int(spark.conf.get(key)) == most
+
+
+@pytest.mark.parametrize(("module", "name", "run"), [(dedup, "dedup-hits", dedup.exact_dedup), (minhash, "near-sets", minhash.near_dedup)])
+def test_no_task_holds_two_workers(docs, monkeypatch, module, name, run):
+    """Texts that are chosen by place are joined in another stage, however small the other side is."""
+    plans, write = {}, module.written
+    monkeypatch.setattr(module, "written", lambda df, at, **o: plans.setdefault(at, df._jdf.queryExecution().executedPlan().toString()) and write(df, at, **o))
+    run(docs).count()
+    assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name]
+
+
+def test_idle_workers_hold_no_powers():
+    hashing.shingles([b"some words of a text"], 2)
+    assert hashing._powers.cache_info().currsize
+    hashing.trim()
+    assert not hashing._powers.cache_info().currsize
