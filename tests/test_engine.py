@@ -242,3 +242,20 @@ def test_fixture(spark):
     for bad in ([("q", "x", ["b"])], [("q", "x", [])]):
         with pytest.raises(ValueError):
             validate_fixture(corpus, spark.createDataFrame(bad, good.schema))
+
+
+def test_a_change_writes_what_changed(spark, tmp_path, monkeypatch):
+    """A change adds its own rows only, texts are not kept twice, and a bucket of many versions is rewritten with the same rows."""
+    from quarry.plans import store as S
+
+    root, e = str(tmp_path / "s"), HashEmbedder(8)
+    store = Store.create(spark, root, model=e.name, dim=8, buckets=1)
+    index_files(spark.createDataFrame([(f"d/{i}.md", f"text number{i}", 1) for i in range(9)], FILE), store, e)
+    index_files(spark.createDataFrame([("d/3.md", "other words", 1)], FILE), store, e, complete=False)
+    versions = store.manifest["tables"]["chunks"]["0"]
+    assert spark.read.parquet(f"{root}/chunks/v{versions[-1]}").count() == 1 and not store.manifest["tables"]["texts"]
+    monkeypatch.setattr(S, "MOST_VERSIONS", 1)
+    names = {t: sorted(map(str, store.table(t).collect())) for t in S.TABLES}
+    assert len(names["chunks"]) == len(names["texts"]) == 9 and not [x for x in names["postings"] if "number3" in x]
+    store._compact([0])
+    assert len(store.manifest["tables"]["chunks"]["0"]) == 1 and {t: sorted(map(str, store.table(t).collect())) for t in S.TABLES} == names
